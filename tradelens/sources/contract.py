@@ -22,7 +22,8 @@ EFFECTIVE_PRICE = T.DecimalType(22, 6)
 
 
 def _schema(*cols: tuple[str, T.DataType]) -> T.StructType:
-    return T.StructType([T.StructField(n, t, i != 0) for i, (n, t) in enumerate(cols)])
+    # no DDL exists for the source tables, so nothing is declared NOT NULL
+    return T.StructType([T.StructField(n, t, True) for n, t in cols])
 
 
 _LINE = (("bill_id", L), ("goods_id", L), ("qty", MONEY), ("price", MONEY),
