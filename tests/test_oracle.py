@@ -99,11 +99,6 @@ def test_bundle_shares_staged_facts(spark, tmp_path):
     assert spark.read.json(f"{folder}/_headers").count() == 9 + 12
 
 
-def _plan(df) -> str:
-    return df._sc._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted") \
-        if hasattr(df._sc._jvm, "PythonSQLUtils") else ""
-
-
 def test_period_reaches_the_scan_and_no_cartesian(spark):
     t = derive_tables(spark, SF)
     for fn in (R.customer_summary, R.product_sale, R.receivable_summary, R.bill_relation_sale):
@@ -114,3 +109,37 @@ def test_period_reaches_the_scan_and_no_cartesian(spark):
     plan = R.customer_summary(t, TEST_PERIOD)._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(o_orderdate), GreaterThanOrEqual(o_orderdate" in plan or \
         "GreaterThanOrEqual(o_orderdate,1997-01-01" in plan
+
+
+@pytest.fixture
+def no_broadcast(spark):
+    """Every size check fails and Spark's own size-based broadcast is off:
+    lookup joins shuffle, no semi-join reduction (the paths taken at scale)."""
+    from tradelens.operators import lookup
+
+    saved = (lookup.BOUNDS.broadcast_rows, lookup.BOUNDS.reducer_rows)
+    keys = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    conf = {k: spark.conf.get(k, None) for k in keys}
+    lookup.BOUNDS.broadcast_rows = lookup.BOUNDS.reducer_rows = 0
+    for k in keys:
+        spark.conf.set(k, "-1")
+    yield
+    lookup.BOUNDS.broadcast_rows, lookup.BOUNDS.reducer_rows = saved
+    for k, v in conf.items():
+        if v is None:
+            spark.conf.unset(k)
+        else:
+            spark.conf.set(k, v)
+
+
+@pytest.mark.parametrize("name", [
+    "bill_relation_purchase", "bill_relation_sale", "product_sale", "product_category_sale",
+    "customer_product", "customer_summary", "customer_detail", "receivable_summary",
+    "receivable_detail", "null_aware_anti"])
+def test_shuffle_paths_match_oracle(spark, duck, no_broadcast, name):
+    sdf = E.queries()[name](spark, SF)
+    plan = sdf._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan or "ShuffledHashJoin" in plan
+    rel = duck.execute(E.oracle_sql()[name])
+    d_cols = [c[0] for c in rel.description]
+    assert _multiset(sdf.columns, [tuple(r) for r in sdf.collect()]) == _multiset(d_cols, rel.fetchall())

@@ -3,8 +3,10 @@
 ``sale_facts`` is the one fact DataFrame every sales and customer report
 reads: stock sale lines, live price adjustments and open plus archived retail
 lines, unioned by name after casting each branch to the same 14-column
-contract. A period predicate applied on top is pushed by Catalyst into every
-branch's scans.
+contract. With a period, every branch filters its bill headers first (the
+predicate reaches the parquet scan) and the line tables are semi-join reduced
+to those bills before the header ⟕ line join, so a report over one period
+never shuffles the whole line history.
 """
 
 from __future__ import annotations
@@ -12,7 +14,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from tradelens.functions import expressions as X
-from tradelens.operators.lookup import lookup_join
+from tradelens.functions.period import Period, in_period, in_period_by_day
+from tradelens.operators.lookup import BOUNDS, has_at_most, lookup_join, semi_reduce
 from tradelens.sources.contract import EFFECTIVE_PRICE, I, L, MONEY, RATE, S, TS, Tables
 
 SALE_FACT_COLUMNS = (
@@ -24,19 +27,45 @@ SALE_FACT_COLUMNS = (
 
 
 def _fact_contract(df: DataFrame) -> DataFrame:
-    return df.select(*[F.col(n).cast(t).alias(n) for n, t in SALE_FACT_COLUMNS])
+    have = {f.name: f.dataType for f in df.schema.fields}
+    return df.select(*[F.col(n) if have.get(n) == t and n in df.columns else F.col(n).cast(t).alias(n)
+                       for n, t in SALE_FACT_COLUMNS])
 
 
-def stock_sale_lines(t: Tables) -> DataFrame:
+def _bills_in(bills: DataFrame, period: Period | None) -> DataFrame:
+    return bills if period is None else bills.filter(in_period("bill_date", period))
+
+
+def header_with_lines(bills: DataFrame, lines: DataFrame, reduce: bool,
+                      header_table: DataFrame | None = None,
+                      line_table: DataFrame | None = None) -> DataFrame:
+    """``bills ⟕ lines`` on bill_id (line-less bills kept).
+
+    With ``reduce`` the lines are first semi-reduced to the given bills
+    (``header_table``: the stored table ``bills`` was filtered from, for the
+    size bound). The reduced lines are broadcast only when the whole stored
+    line table is within the bound; otherwise the period's bills and lines
+    meet in a shuffle join, of which AQE splits skewed partitions.
+    """
+    if not reduce:
+        return bills.join(lines, "bill_id", "left")
+    bound = (header_table,) if header_table is not None else ()
+    lines = semi_reduce(lines, bills.select("bill_id"), "bill_id", bound_by=bound)
+    small = line_table is not None and has_at_most(line_table, BOUNDS.broadcast_rows)
+    return bills.join(F.broadcast(lines) if small else lines, "bill_id", "left")
+
+
+def stock_sale_lines(t: Tables, period: Period | None = None) -> DataFrame:
     """B1: live sale invoices and returns with their lines (line-less bills kept).
 
     The return sign applies to the amount only; the price is discounted.
     """
-    bills = t.stock_bill.filter(
-        (F.col("use_id") >= 0) & F.col("bill_type").isin(X.SALE_INVOICE, X.SALE_RETURN))
+    bills = _bills_in(t.stock_bill.filter(
+        (F.col("use_id") >= 0) & F.col("bill_type").isin(X.SALE_INVOICE, X.SALE_RETURN)), period)
     lines = t.stock_line.select("bill_id", "goods_id", F.col("qty"), F.col("price").alias("line_price"),
                                 F.col("amount").alias("line_amount"), "disc_rate")
-    joined = bills.join(lines, "bill_id", "left")
+    joined = header_with_lines(bills, lines, reduce=period is not None, header_table=t.stock_bill,
+                               line_table=t.stock_line)
     return _fact_contract(joined.select(
         "bill_id", "dept_id", "party_id", "handler_id", "memo", "goods_id", "bill_date",
         "bill_code", "bill_type", "qty",
@@ -45,9 +74,10 @@ def stock_sale_lines(t: Tables) -> DataFrame:
         F.lit(0).alias("collect_amount"), "disc_rate"))
 
 
-def adjustment_lines(t: Tables) -> DataFrame:
+def adjustment_lines(t: Tables, period: Period | None = None) -> DataFrame:
     """B2: live price-adjustment bills as one goods-less line each."""
-    adj = t.adj_bill.filter((F.col("use_id") >= 0) & (F.col("bill_type") == X.PRICE_ADJUSTMENT))
+    adj = _bills_in(t.adj_bill.filter(
+        (F.col("use_id") >= 0) & (F.col("bill_type") == X.PRICE_ADJUSTMENT)), period)
     return _fact_contract(adj.select(
         "bill_id", "dept_id", "party_id", "handler_id", "memo",
         F.lit(0).alias("goods_id"), "bill_date", "bill_code", "bill_type",
@@ -55,34 +85,38 @@ def adjustment_lines(t: Tables) -> DataFrame:
         F.lit(0).alias("collect_amount"), F.lit(1).alias("disc_rate")))
 
 
-def _pos_branch(bills: DataFrame, lines: DataFrame) -> DataFrame:
-    joined = bills.join(lines, "bill_id", "left")
+def _pos_branch(bill_table: DataFrame, line_table: DataFrame, period: Period | None) -> DataFrame:
+    bills = bill_table.select("bill_id", "stock_id", "party_id", "handler_id", "bill_date",
+                              "sequence_id", "memo")
+    joined = header_with_lines(_bills_in(bills, period), line_table, reduce=period is not None,
+                               header_table=bill_table, line_table=line_table)
     return joined.select(
         "bill_id", F.lit(X.RETAIL_BILL).cast("int").alias("bill_type"), "stock_id", "party_id",
         "handler_id", "bill_date", F.col("sequence_id").cast("string").alias("bill_code"),
         "memo", "goods_id", "qty", "price", "amount", "disc_rate")
 
 
-def pos_open_lines(t: Tables) -> DataFrame:
+def pos_open_lines(t: Tables, period: Period | None = None) -> DataFrame:
     """Retail bills not yet archived (no cancel filter; price not discounted)."""
-    return _pos_branch(t.pos_bill, t.pos_line)
+    return _pos_branch(t.pos_bill, t.pos_line, period)
 
 
-def pos_hist_lines(t: Tables) -> DataFrame:
+def pos_hist_lines(t: Tables, period: Period | None = None) -> DataFrame:
     """Archived retail bills."""
-    return _pos_branch(t.pos_bill_hist.drop("bill_amount", "custom_code"), t.pos_line_hist)
+    return _pos_branch(t.pos_bill_hist, t.pos_line_hist, period)
 
 
-def pos_lines(t: Tables) -> DataFrame:
+def pos_lines(t: Tables, period: Period | None = None) -> DataFrame:
     """B3 ∪ B4 with the department of the selling site (null if unknown)."""
-    pos = pos_open_lines(t).unionByName(pos_hist_lines(t))
+    pos = pos_open_lines(t, period).unionByName(pos_hist_lines(t, period))
     with_dept = lookup_join(pos, t.stock_site, "stock_id", "left")
     return _fact_contract(with_dept.withColumn("collect_amount", F.lit(0)))
 
 
-def sale_facts(t: Tables) -> DataFrame:
-    """The unified 14-column sale fact DataFrame."""
-    return stock_sale_lines(t).unionByName(adjustment_lines(t)).unionByName(pos_lines(t))
+def sale_facts(t: Tables, period: Period | None = None) -> DataFrame:
+    """The unified 14-column sale fact DataFrame (of one period if given)."""
+    return (stock_sale_lines(t, period).unionByName(adjustment_lines(t, period))
+            .unionByName(pos_lines(t, period)))
 
 
 # ---------------------------------------------------------------- receivables
@@ -91,23 +125,30 @@ RECEIVABLE_COLUMNS = ("bill_id", "bill_date", "full_bill_date", "party_id", "bil
                       "bill_amount", "original_bill_amount", "bill_code", "status")
 
 
-def receivables(t: Tables, detail: bool = False) -> DataFrame:
+def receivables(t: Tables, detail: bool = False, period: Period | None = None) -> DataFrame:
     """Amounts owed by customers.
 
     Retail credit parts of archived retail bills (never cancelled) plus stock
     bills of types 1201/1207 (cancelled kept). ``bill_date`` is the day,
     ``full_bill_date`` the timestamp. ``status`` is the cancel status
     (0 / −1) for the summary flavour and the raw ``use_id`` for the detail
-    flavour (0 for retail credit).
+    flavour (0 for retail credit). With a period, only receivables whose
+    *day* lies in it (F2) are kept, filtered on the headers before any join.
     """
+    hist = t.pos_bill_hist
+    stock_bills = t.stock_bill.filter(F.col("bill_type").isin(X.SALE_INVOICE, X.RETAIL_BILL))
     credit = t.pos_collect_hist.filter(F.col("collect_amount") > 0)
-    pos = credit.join(t.pos_bill_hist, "bill_id").select(
+    if period is not None:
+        hist = hist.filter(in_period_by_day("bill_date", period))
+        stock_bills = stock_bills.filter(in_period_by_day("bill_date", period))
+        credit = semi_reduce(credit, hist.select("bill_id"), "bill_id", bound_by=(t.pos_bill_hist,))
+    pos = lookup_join(credit, hist, "bill_id", "inner", bound_by=t.pos_bill_hist).select(
         "bill_id", X.day_of("bill_date").alias("bill_date"), F.col("bill_date").alias("full_bill_date"),
         "party_id", F.lit(X.RETAIL_BILL).alias("bill_type"),
         F.col("collect_amount").alias("bill_amount"),
         F.col("bill_amount").alias("original_bill_amount"),
         F.col("custom_code").alias("bill_code"), F.lit(0).alias("status"))
-    stock = t.stock_bill.filter(F.col("bill_type").isin(X.SALE_INVOICE, X.RETAIL_BILL)).select(
+    stock = stock_bills.select(
         "bill_id", X.day_of("bill_date").alias("bill_date"), F.col("bill_date").alias("full_bill_date"),
         "party_id", "bill_type", "bill_amount",
         F.col("bill_amount").alias("original_bill_amount"), "bill_code",
@@ -121,16 +162,28 @@ def receivables(t: Tables, detail: bool = False) -> DataFrame:
     return cast(pos).unionByName(cast(stock))
 
 
-def settlements(t: Tables, live_only: bool) -> DataFrame:
+def settlements(t: Tables, live_only: bool, for_receivables: DataFrame | None = None) -> DataFrame:
     """Payment lines with their payment bill (live bills only if asked).
 
     ``live_only`` keeps the summary's semantics: a line whose bill is
     cancelled keeps no bill columns (the filter sits in the join condition).
+
+    ``for_receivables`` (bill_id, bill_type of the receivables at hand) cuts
+    payment lines and then payment bills down by semi-join reductions before
+    they are joined, so one period's report does not shuffle the whole
+    payment history.
     """
-    bills = t.pay_bill.select(
+    lines, pay_bills = t.pay_line, t.pay_bill
+    if for_receivables is not None:
+        lines = semi_reduce(lines.filter(F.col("use_bill_type").isin(X.SALE_INVOICE, X.RETAIL_BILL)),
+                            for_receivables, [("use_id", "bill_id"), ("use_bill_type", "bill_type")],
+                            bound_by=(t.stock_bill, t.pos_bill_hist))
+        pay_bills = semi_reduce(pay_bills, lines.select("pay_bill_id"), "pay_bill_id",
+                                bound_by=(t.pay_line,))
+    bills = pay_bills.select(
         "pay_bill_id", F.col("bill_type").alias("pay_bill_type"),
         F.col("bill_code").alias("pay_bill_code"), F.col("bill_date").alias("pay_bill_date"),
         F.col("use_id").alias("pay_use_id"))
     if live_only:
         bills = bills.filter(F.col("pay_use_id") >= 0)
-    return t.pay_line.join(bills, "pay_bill_id", "left")
+    return lookup_join(lines, bills, "pay_bill_id", "left", bound_by=t.pay_bill)

@@ -15,25 +15,44 @@ would put that whole group into one task.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-DEFAULT_MAX_BROADCAST_ROWS = 2_000_000
 
-_bounded_cache: dict[int, tuple[DataFrame, bool]] = {}
+@dataclass
+class Bounds:
+    """Row bounds behind every broadcast decision.
+
+    ``broadcast_rows``: largest dimension / lookup side that is broadcast
+    (about 1M narrow rows, tens of MB per executor). ``reducer_rows``: largest
+    key set used for a broadcast semi-join reduction (keys only). Tests set
+    them to 0 to force the shuffle paths.
+    """
+
+    broadcast_rows: int = 1_000_000
+    reducer_rows: int = 5_000_000
+
+
+BOUNDS = Bounds()
+DEFAULT_MAX_BROADCAST_ROWS = None  # read BOUNDS.broadcast_rows at call time
+DEFAULT_MAX_REDUCER_ROWS = None    # read BOUNDS.reducer_rows at call time
+
+_bounded_cache: dict[tuple[int, int], tuple[DataFrame, bool]] = {}
 
 
-def has_at_most(df: DataFrame, max_rows: int) -> bool:
+def has_at_most(df: DataFrame, max_rows: int | None = None) -> bool:
     """True when ``df`` has at most ``max_rows`` rows (bounded work, memoized)."""
-    hit = _bounded_cache.get(id(df))
+    limit = BOUNDS.broadcast_rows if max_rows is None else max_rows
+    hit = _bounded_cache.get((id(df), limit))
     if hit is not None and hit[0] is df:
         return hit[1]
-    result = df.limit(max_rows + 1).count() <= max_rows
-    _bounded_cache[id(df)] = (df, result)
+    result = df.limit(limit + 1).count() <= limit
+    _bounded_cache[(id(df), limit)] = (df, result)
     return result
 
 
-def maybe_broadcast(dim: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> tuple[DataFrame, bool]:
+def maybe_broadcast(dim: DataFrame, max_rows: int | None = DEFAULT_MAX_BROADCAST_ROWS) -> tuple[DataFrame, bool]:
     """``(broadcast(dim), True)`` if the size bound holds, else ``(dim, False)``."""
     if has_at_most(dim, max_rows):
         return F.broadcast(dim), True
@@ -46,17 +65,19 @@ def fixed_broadcast(dim: DataFrame) -> DataFrame:
 
 
 def lookup_join(fact: DataFrame, dim: DataFrame, keys: str | Sequence[str],
-                how: str = "left", max_rows: int = DEFAULT_MAX_BROADCAST_ROWS,
-                broadcast: bool | None = None) -> DataFrame:
+                how: str = "left", max_rows: int | None = DEFAULT_MAX_BROADCAST_ROWS,
+                broadcast: bool | None = None, bound_by: DataFrame | None = None) -> DataFrame:
     """Join ``fact`` to ``dim`` on equally named ``keys``.
 
-    ``broadcast=None`` decides by the bounded row count; True/False force it
-    (True only for dimensions built from a fixed literal list).
+    ``broadcast=None`` decides by the bounded row count of ``bound_by`` (the
+    table ``dim`` was projected / filtered from, so the check is memoized per
+    table) or of ``dim`` itself; True/False force it (True only for
+    dimensions built from a fixed literal list).
     """
     key_list = [keys] if isinstance(keys, str) else list(keys)
     if broadcast is None:
-        dim, broadcast = maybe_broadcast(dim, max_rows)
-    elif broadcast:
+        broadcast = has_at_most(bound_by if bound_by is not None else dim, max_rows)
+    if broadcast:
         dim = F.broadcast(dim)
     if broadcast or how != "left":
         return fact.join(dim, key_list, how)
@@ -69,3 +90,35 @@ def lookup_join(fact: DataFrame, dim: DataFrame, keys: str | Sequence[str],
         if field.name not in key_list:
             unmatched = unmatched.withColumn(field.name, F.lit(None).cast(field.dataType))
     return matched.unionByName(unmatched.select(*matched.columns))
+
+
+
+def semi_reduce(big: DataFrame, small: DataFrame, on: Sequence[tuple[str, str]] | str,
+                max_rows: int | None = DEFAULT_MAX_REDUCER_ROWS,
+                bound_by: Sequence[DataFrame] = ()) -> DataFrame:
+    """Rows of ``big`` whose key occurs in ``small`` — a semi-join reduction.
+
+    Used before a join whose other side is already cut down (by the period, a
+    type list, an earlier reduction): when the bounded check shows ``small``
+    has at most ``max_rows`` rows, ``big`` is filtered by a broadcast
+    left-semi join while it is scanned, so only matching rows ever reach a
+    shuffle. Beyond the bound ``big`` is returned unchanged and the join
+    that follows shuffles both sides as usual. ``on`` is a column name or
+    ``(big_col, small_col)`` pairs. The reduction never changes a result:
+    the join that follows drops the same rows.
+
+    ``bound_by`` names the stored tables ``small`` was filtered from: when
+    they are within the bound together (a memoized check per table), so is
+    ``small`` and no check of its own is run.
+    """
+    pairs = [(on, on)] if isinstance(on, str) else list(on)
+    max_rows = BOUNDS.reducer_rows if max_rows is None else max_rows
+    bounded = bool(bound_by) and all(has_at_most(b, max_rows // len(bound_by)) for b in bound_by)
+    if not bounded and not has_at_most(small, max_rows):
+        return big
+    keys = small.select(*[F.col(s).alias(f"__k{i}") for i, (_, s) in enumerate(pairs)])
+    cond = None
+    for i, (b, _) in enumerate(pairs):
+        c = big[b] == keys[f"__k{i}"]
+        cond = c if cond is None else cond & c
+    return big.join(F.broadcast(keys), cond, "left_semi")

@@ -30,7 +30,9 @@ def stock_movements(t: Tables) -> DataFrame:
     bills = t.stock_bill.filter(F.col("bill_type").isin(*X.STOCK_MOVEMENT_TYPES)).select(
         "bill_id", "bill_type", "bill_date")
     lines = t.stock_line.select("bill_id", "goods_id", "qty")
-    return lines.join(bills, "bill_id")
+    # all-time: the bill side is broadcast only while the stored bill table is
+    # provably small; otherwise lines and bills meet in a shuffle join
+    return lookup_join(lines, bills, "bill_id", "inner", bound_by=t.stock_bill)
 
 
 def net_stock_by_goods(t: Tables) -> DataFrame:
@@ -62,8 +64,8 @@ def net_stock_by_class(t: Tables, by_goods: DataFrame | None = None) -> DataFram
     goods_totals = (by_goods if by_goods is not None else net_stock_by_goods(t)).select(
         "goods_id", "total_import")
     goods = t.goods.select("goods_id", "class_id")
-    with_class = lookup_join(lookup_join(goods_totals, goods, "goods_id", "inner"),
-                             t.goods_class.select("class_id", "class_code", "class_name"),
-                             "class_id", "left")
+    with_goods = lookup_join(goods_totals, goods, "goods_id", "inner", bound_by=t.goods)
+    with_class = lookup_join(with_goods, t.goods_class.select("class_id", "class_code", "class_name"),
+                             "class_id", "left", bound_by=t.goods_class)
     return with_class.groupBy("class_code", "class_name").agg(
         F.sum("total_import").cast(QTY_SUM).alias("total_import"))

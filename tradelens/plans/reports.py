@@ -18,7 +18,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, functions as F
 
 from tradelens.functions import expressions as X
-from tradelens.functions.period import Period, in_period, in_period_by_day
+from tradelens.functions.period import Period, in_period
 from tradelens.operators.anti import not_in
 from tradelens.operators.chain import bill_chain
 from tradelens.operators.facts import receivables, settlements
@@ -60,6 +60,12 @@ class SharedPlans:
         return self._get("product_summary", lambda: product_sale_summary(
             self.t, self.period, by_goods=sales_by_goods(self.facts())))
 
+    def by_party(self) -> DataFrame:
+        """Σ qty, Σ amount per party: from the staged (party, goods) totals in a
+        bundle, straight from the facts (one aggregation) otherwise."""
+        source = self.by_party_goods() if self._stage else self.facts()
+        return source.groupBy("party_id").agg(F.sum("qty").alias("qty"), F.sum("amount").alias("amount"))
+
     def imports(self) -> DataFrame:
         return self._get("imports", lambda: import_by_goods(self.t, self.period))
 
@@ -75,8 +81,9 @@ _CHAIN_KEYS = ("f_bill_id", "name_a", "a_bill_code", "a_qty", "a_bill_amount", "
                "name_link", "b_relation_from", "f_bill_date", "f_bill_amount")
 
 
-def _chain_report(t: Tables, a: DataFrame, b: DataFrame, with_amount_label: bool) -> DataFrame:
-    chain = bill_chain(t, a, b.filter(F.col("relation_from").isNotNull()))
+def _chain_report(t: Tables, a: DataFrame, b: DataFrame, with_amount_label: bool,
+                  selective: str) -> DataFrame:
+    chain = bill_chain(t, a, b.filter(F.col("relation_from").isNotNull()), selective=selective)
     chain = chain.filter(F.col("b_relation_from").isNotNull())
     g = chain.groupBy(*_CHAIN_KEYS).agg(F.sum("order_qty").cast(SUM).alias("quantity_3"))
     cols = [
@@ -100,7 +107,7 @@ def bill_relation_purchase(t: Tables, period: Period, shared: SharedPlans | None
     """Purchase invoices in the period → the bill they came from → its order."""
     browse = t.stock_bill_browse
     a = browse.filter((F.col("bill_type") == X.PURCHASE_INVOICE) & in_period("bill_date", period))
-    return _chain_report(t, a, browse, with_amount_label=False)
+    return _chain_report(t, a, browse, with_amount_label=False, selective="a")
 
 
 def bill_relation_sale(t: Tables, period: Period, shared: SharedPlans | None = None) -> DataFrame:
@@ -109,7 +116,7 @@ def bill_relation_sale(t: Tables, period: Period, shared: SharedPlans | None = N
     b = browse.filter((F.col("bill_type") == X.SALE_INVOICE) & in_period("bill_date", period))
     # the chain joins a.use_bill_type = b.bill_type, so only links to sale invoices can match
     a = browse.filter(F.col("use_bill_type") == X.SALE_INVOICE)
-    return _chain_report(t, a, b, with_amount_label=True)
+    return _chain_report(t, a, b, with_amount_label=True, selective="b")
 
 
 # ------------------------------------------------------------ Sale_Report
@@ -162,8 +169,8 @@ def customer_product(t: Tables, period: Period, shared: SharedPlans | None = Non
     """Per (customer name, goods name, goods code)."""
     s = _shared(t, period, shared)
     goods = t.goods.select("goods_id", "goods_code", "goods_name")
-    x = lookup_join(s.by_party_goods(), goods, "goods_id", "inner")
-    x = lookup_join(x, _party_names(t), "party_id", "left")
+    x = lookup_join(s.by_party_goods(), goods, "goods_id", "inner", bound_by=t.goods)
+    x = lookup_join(x, _party_names(t), "party_id", "left", bound_by=t.party)
     g = x.groupBy("name", "goods_name", "goods_code").agg(
         F.sum("qty").cast(SUM).alias("total_quantity"), F.sum("amount").cast(SUM).alias("total_amount"))
     return g.orderBy(F.col("name").asc(), F.col("total_amount").desc()).select(
@@ -174,9 +181,11 @@ def customer_product(t: Tables, period: Period, shared: SharedPlans | None = Non
 def customer_product_category(t: Tables, period: Period, shared: SharedPlans | None = None) -> DataFrame:
     """Per (customer name, class name)."""
     s = _shared(t, period, shared)
-    x = lookup_join(s.by_party_goods(), _party_names(t), "party_id", "left")
-    x = lookup_join(x, t.goods.select("goods_id", "class_id"), "goods_id", "inner")
-    x = lookup_join(x, t.goods_class.select("class_id", "class_name"), "class_id", "left")
+    x = lookup_join(s.by_party_goods(), _party_names(t), "party_id", "left", bound_by=t.party)
+    x = lookup_join(x, t.goods.select("goods_id", "class_id"), "goods_id", "inner",
+                    bound_by=t.goods)
+    x = lookup_join(x, t.goods_class.select("class_id", "class_name"), "class_id", "left",
+                    bound_by=t.goods_class)
     g = x.groupBy("name", "class_name").agg(
         F.sum("qty").cast(SUM).alias("total_quantity"), F.sum("amount").cast(SUM).alias("total_amount"))
     return g.orderBy(F.col("total_amount").desc()).select(
@@ -187,9 +196,8 @@ def customer_product_category(t: Tables, period: Period, shared: SharedPlans | N
 def customer_summary(t: Tables, period: Period, shared: SharedPlans | None = None) -> DataFrame:
     """Per customer name, over all facts (adjustments and line-less bills too)."""
     s = _shared(t, period, shared)
-    by_party = s.by_party_goods().groupBy("party_id").agg(
-        F.sum("qty").alias("qty"), F.sum("amount").alias("amount"))
-    x = lookup_join(by_party, _party_names(t), "party_id", "left")
+    by_party = s.by_party()
+    x = lookup_join(by_party, _party_names(t), "party_id", "left", bound_by=t.party)
     g = x.groupBy("name").agg(
         F.sum("qty").cast(SUM).alias("total_quantity"), F.sum("amount").cast(SUM).alias("total_amount"))
     return g.orderBy(F.col("total_amount").desc()).select(
@@ -201,8 +209,8 @@ def customer_detail(t: Tables, period: Period, shared: SharedPlans | None = None
     s = _shared(t, period, shared)
     facts = s.facts().select("party_id", "goods_id", "bill_date", "qty", "amount", "disc_rate")
     goods = t.goods.select("goods_id", "goods_code", "goods_name")
-    x = lookup_join(facts, goods, "goods_id", "inner")
-    x = lookup_join(x, _party_names(t), "party_id", "left")
+    x = lookup_join(facts, goods, "goods_id", "inner", bound_by=t.goods)
+    x = lookup_join(x, _party_names(t), "party_id", "left", bound_by=t.party)
     return x.orderBy(F.col("name").asc(), F.col("bill_date").asc(), F.col("amount").desc()).select(
         X.customer_name("name").alias("customer_name"), "bill_date",
         F.col("goods_code").alias("product_code"), F.col("goods_name").alias("product_name"),
@@ -225,32 +233,30 @@ def customer_info(t: Tables, period: Period | None = None, shared: SharedPlans |
 # ------------------------------------------------------------ Account_Receivable_Report
 
 def _receivables_in_period(t: Tables, period: Period, detail: bool) -> DataFrame:
-    return receivables(t, detail=detail).filter(
-        F.col("bill_type").isin(X.SALE_INVOICE, X.RETAIL_BILL) &
-        in_period_by_day("full_bill_date", period))
+    return receivables(t, detail=detail, period=period)
 
 
 def _type_names(t: Tables, as_key: str, as_name: str) -> tuple[DataFrame, bool]:
     names = t.bill_type.select(F.col("type_id").alias(as_key), F.col("name").alias(as_name))
-    return names, has_at_most(t.bill_type, 100_000)
+    return names, has_at_most(t.bill_type)
 
 
 def receivable_summary(t: Tables, period: Period, shared: SharedPlans | None = None) -> DataFrame:
     """Receivables settled by live payment bills, per visible receivable and
     per payment-bill status; receivables with no live payment drop out."""
     a = _receivables_in_period(t, period, detail=False)
-    pays = settlements(t, live_only=True).filter(
+    pays = settlements(t, live_only=True, for_receivables=a.select("bill_id", "bill_type")).filter(
         F.col("pay_use_id").isNotNull() & F.col("use_bill_type").isin(X.SALE_INVOICE, X.RETAIL_BILL))
     # Σ cleared per paid bill and payment-bill status, before meeting the receivables
     paid = pays.groupBy("use_id", "use_bill_type", "pay_use_id", "pay_bill_type").agg(
         F.sum("cleared_amount").alias("cleared"))
     paid = paid.withColumnRenamed("use_id", "bill_id").withColumnRenamed("use_bill_type", "bill_type")
-    x = a.join(paid, ["bill_id", "bill_type"], "inner")
+    x = lookup_join(a, paid, ["bill_id", "bill_type"], "inner", bound_by=t.pay_line)
     d, d_small = _type_names(t, "bill_type", "d_name")
     x = lookup_join(x, d, "bill_type", "inner", broadcast=d_small)
     e, e_small = _type_names(t, "pay_bill_type", "e_name")
     x = lookup_join(x, e, "pay_bill_type", "left", broadcast=e_small)
-    x = lookup_join(x, _party_names(t), "party_id", "inner")
+    x = lookup_join(x, _party_names(t), "party_id", "inner", bound_by=t.party)
     g = x.groupBy("d_name", "name", "bill_code", "bill_date", "bill_amount",
                   "original_bill_amount", "full_bill_date", "pay_use_id", "status").agg(
         F.coalesce(F.sum("cleared"), F.lit(0)).cast(SUM).alias("paid_amount"))
@@ -265,16 +271,16 @@ def receivable_summary(t: Tables, period: Period, shared: SharedPlans | None = N
 def receivable_detail(t: Tables, period: Period, shared: SharedPlans | None = None) -> DataFrame:
     """One row per receivable and payment line; unpaid receivables kept."""
     a = _receivables_in_period(t, period, detail=True)
-    pays = settlements(t, live_only=False).filter(
+    pays = settlements(t, live_only=False, for_receivables=a.select("bill_id", "bill_type")).filter(
         F.col("use_bill_type").isin(X.SALE_INVOICE, X.RETAIL_BILL)).select(
         F.col("use_id").alias("bill_id"), F.col("use_bill_type").alias("bill_type"),
         "cleared_amount", "pay_bill_type", "pay_bill_code", "pay_bill_date", "pay_use_id")
-    x = a.join(pays, ["bill_id", "bill_type"], "left")
+    x = lookup_join(a, pays, ["bill_id", "bill_type"], "left", bound_by=t.pay_line)
     d, d_small = _type_names(t, "bill_type", "d_name")
     x = lookup_join(x, d, "bill_type", "inner", broadcast=d_small)
     e, e_small = _type_names(t, "pay_bill_type", "e_name")
     x = lookup_join(x, e, "pay_bill_type", "left", broadcast=e_small)
-    x = lookup_join(x, _party_names(t), "party_id", "inner")
+    x = lookup_join(x, _party_names(t), "party_id", "inner", bound_by=t.party)
     return x.orderBy(F.col("status").desc(), F.col("full_bill_date").desc(),
                      F.col("bill_code").desc()).select(
         F.col("d_name").alias("bill_name_1"),

@@ -81,10 +81,15 @@ def conform(df: DataFrame, table: str) -> DataFrame:
     (so column pruning reaches the scan).
     """
     schema = SCHEMAS[table]
-    present = set(df.columns)
+    have = {f.name: f.dataType for f in df.schema.fields}
+    if list(have.items()) == [(f.name, f.dataType) for f in schema.fields]:
+        return df
     cols = []
     for field in schema.fields:
-        src = F.col(field.name) if field.name in present else F.lit(None)
+        if have.get(field.name) == field.dataType:
+            cols.append(F.col(field.name))
+            continue
+        src = F.col(field.name) if field.name in have else F.lit(None)
         cols.append(src.cast(field.dataType).alias(field.name))
     return df.select(*cols)
 
