@@ -92,3 +92,13 @@ def test_headers_and_rendering(spark):
     man = header_manifest(spark, {"R": df}).collect()
     assert [(m["position"], m["header"]) for m in man] == [(0, "Bill_Date"), (1, "N")]
     assert render_report(df).select(F.col("n")).collect()[0][0] == 3
+
+
+def test_left_join_split_hot_right_equals_left_join(spark):
+    from tradelens.operators.lookup import left_join_split_hot_right
+
+    left = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c"), (None, "d")], "k bigint, l string")
+    right = spark.createDataFrame([(1, 10)] * 50 + [(2, 20), (2, 21), (9, 90)], "k bigint, r int")
+    got = sorted((repr(tuple(r)) for r in left_join_split_hot_right(left, right, ["k"]).collect()))
+    want = sorted(repr(tuple(r)) for r in left.join(right, ["k"], "left").collect())
+    assert got == want and len(got) == 50 + 2 + 1 + 1

@@ -15,7 +15,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from tradelens.functions import expressions as X
 from tradelens.functions.period import Period, in_period, in_period_by_day
-from tradelens.operators.lookup import BOUNDS, has_at_most, lookup_join, semi_reduce
+from tradelens.operators.lookup import (
+    BOUNDS, has_at_most, left_join_split_hot_right, lookup_join, semi_reduce)
 from tradelens.sources.contract import EFFECTIVE_PRICE, I, L, MONEY, RATE, S, TS, Tables
 
 SALE_FACT_COLUMNS = (
@@ -44,15 +45,16 @@ def header_with_lines(bills: DataFrame, lines: DataFrame, reduce: bool,
     With ``reduce`` the lines are first semi-reduced to the given bills
     (``header_table``: the stored table ``bills`` was filtered from, for the
     size bound). The reduced lines are broadcast only when the whole stored
-    line table is within the bound; otherwise the period's bills and lines
-    meet in a shuffle join, of which AQE splits skewed partitions.
+    line table is within the bound; otherwise bills and lines meet in a
+    shuffle join written so that one bill holding a large share of all lines
+    can still be split across tasks (``left_join_split_hot_right``).
     """
-    if not reduce:
-        return bills.join(lines, "bill_id", "left")
-    bound = (header_table,) if header_table is not None else ()
-    lines = semi_reduce(lines, bills.select("bill_id"), "bill_id", bound_by=bound)
-    small = line_table is not None and has_at_most(line_table, BOUNDS.broadcast_rows)
-    return bills.join(F.broadcast(lines) if small else lines, "bill_id", "left")
+    if reduce:
+        bound = (header_table,) if header_table is not None else ()
+        lines = semi_reduce(lines, bills.select("bill_id"), "bill_id", bound_by=bound)
+    if line_table is not None and has_at_most(line_table, BOUNDS.broadcast_rows):
+        return bills.join(F.broadcast(lines), "bill_id", "left")
+    return left_join_split_hot_right(bills, lines, ["bill_id"])
 
 
 def stock_sale_lines(t: Tables, period: Period | None = None) -> DataFrame:

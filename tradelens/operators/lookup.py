@@ -66,13 +66,16 @@ def fixed_broadcast(dim: DataFrame) -> DataFrame:
 
 def lookup_join(fact: DataFrame, dim: DataFrame, keys: str | Sequence[str],
                 how: str = "left", max_rows: int | None = DEFAULT_MAX_BROADCAST_ROWS,
-                broadcast: bool | None = None, bound_by: DataFrame | None = None) -> DataFrame:
+                broadcast: bool | None = None, bound_by: DataFrame | None = None,
+                hot_right: bool = False) -> DataFrame:
     """Join ``fact`` to ``dim`` on equally named ``keys``.
 
     ``broadcast=None`` decides by the bounded row count of ``bound_by`` (the
     table ``dim`` was projected / filtered from, so the check is memoized per
     table) or of ``dim`` itself; True/False force it (True only for
-    dimensions built from a fixed literal list).
+    dimensions built from a fixed literal list). ``hot_right`` marks a left
+    join whose right side may hold one huge key group (see
+    ``left_join_split_hot_right``).
     """
     key_list = [keys] if isinstance(keys, str) else list(keys)
     if broadcast is None:
@@ -84,7 +87,10 @@ def lookup_join(fact: DataFrame, dim: DataFrame, keys: str | Sequence[str],
     any_null: Column = F.lit(False)
     for k in key_list:
         any_null = any_null | F.col(k).isNull()
-    matched = fact.filter(~any_null).join(dim, key_list, "left")
+    if hot_right:
+        matched = left_join_split_hot_right(fact.filter(~any_null), dim, key_list)
+    else:
+        matched = fact.filter(~any_null).join(dim, key_list, "left")
     unmatched = fact.filter(any_null)
     for field in dim.schema.fields:
         if field.name not in key_list:
@@ -122,3 +128,24 @@ def semi_reduce(big: DataFrame, small: DataFrame, on: Sequence[tuple[str, str]]
         c = big[b] == keys[f"__k{i}"]
         cond = c if cond is None else cond & c
     return big.join(F.broadcast(keys), cond, "left_semi")
+
+
+def left_join_split_hot_right(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``left ⟕ right`` on ``keys`` when one right-side key may hold a large
+    share of all rows (one bill with a third of all lines).
+
+    AQE can split a skewed partition only on the preserved side of an outer
+    join, so a hot key on the right of a left join would land in one task.
+    Written instead as ``left ⋈ right`` (inner: both sides splittable) plus
+    the unmatched left rows, found by an anti join against the right side's
+    distinct keys (partial aggregation shrinks the hot key to one row per
+    map task before the shuffle). Same rows as the outer join.
+    """
+    key_list = list(keys)
+    matched = left.join(right, key_list, "inner")
+    right_keys = right.select(*key_list).distinct()
+    unmatched = left.join(right_keys, key_list, "left_anti")
+    for field in right.schema.fields:
+        if field.name not in key_list:
+            unmatched = unmatched.withColumn(field.name, F.lit(None).cast(field.dataType))
+    return matched.unionByName(unmatched.select(*matched.columns))

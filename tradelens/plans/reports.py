@@ -275,7 +275,7 @@ def receivable_detail(t: Tables, period: Period, shared: SharedPlans | None = No
         F.col("use_bill_type").isin(X.SALE_INVOICE, X.RETAIL_BILL)).select(
         F.col("use_id").alias("bill_id"), F.col("use_bill_type").alias("bill_type"),
         "cleared_amount", "pay_bill_type", "pay_bill_code", "pay_bill_date", "pay_use_id")
-    x = lookup_join(a, pays, ["bill_id", "bill_type"], "left", bound_by=t.pay_line)
+    x = lookup_join(a, pays, ["bill_id", "bill_type"], "left", bound_by=t.pay_line, hot_right=True)
     d, d_small = _type_names(t, "bill_type", "d_name")
     x = lookup_join(x, d, "bill_type", "inner", broadcast=d_small)
     e, e_small = _type_names(t, "pay_bill_type", "e_name")
