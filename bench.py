@@ -6,8 +6,9 @@ The contract tables are first derived from the test tables and written as
 parquet (reported as ``stage_contract_tables_sec``, not part of the value).
 Each report is run to completion with the ``noop`` sink (all rows produced,
 nothing collected to the driver); the median of ``BENCH_REPEAT`` runs is
-kept. ``bundle`` runs the four report groups the way ``write_report_bundle``
-does (shared period facts staged once per group). Prints one JSON line.
+kept. ``bundle_all_groups`` runs the four report groups the way
+``write_report_bundle`` does (the period's facts and pre-aggregates computed
+once per group and persisted). Prints one JSON line.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from tradelens.functions.period import TEST_PERIOD  # noqa: E402
-from tradelens.plans.bundle import run_group, staged  # noqa: E402
+from tradelens.plans.bundle import persisted, run_group  # noqa: E402
 from tradelens.plans.reports import REPORT_GROUPS, SharedPlans  # noqa: E402
 from tradelens.session import local_session, scratch_path  # noqa: E402
 from tradelens.sources.fixtures import derive_tables  # noqa: E402
@@ -69,9 +70,10 @@ def main() -> None:
 
     t0 = time.perf_counter()
     for group in REPORT_GROUPS:
-        shared = SharedPlans(t, TEST_PERIOD, stage=staged(spark, f"bench-{group}"))
+        shared = SharedPlans(t, TEST_PERIOD, stage=persisted)
         for df in run_group(t, group, TEST_PERIOD, shared).values():
             _run(df)
+        shared.release()
     bundle = round(time.perf_counter() - t0, 3)
 
     total = round(sum(timings.values()), 3)

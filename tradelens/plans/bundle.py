@@ -2,16 +2,22 @@
 S5 rendered dates, S6 column layout profile).
 
 A group runs its reports against one :class:`SharedPlans`: the period's sale
-facts and their pre-aggregates are written once to the shared checkpoint
-folder (``spark.checkpoint.dir``) and read back, so every report of the group
-starts from stored data, lineage stays short and a lost executor costs a
-re-read instead of a recomputation of the fact union.
+facts and their pre-aggregates are computed once and reused by every report
+of the group. Two ways to hold them:
+
+* ``share="persist"`` (default): ``persist(MEMORY_AND_DISK)``; a lost
+  executor's cached blocks are recomputed from their (short) lineage of
+  scans and joins; released when the group is written.
+* ``share="write"``: written to the shared checkpoint folder
+  (``spark.checkpoint.dir``) and read back — lineage is cut and a lost
+  executor costs a re-read; for long chains of groups or flaky clusters.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from tradelens.functions.layout import display_header, fitted_width, python_text, text_width
@@ -33,6 +39,23 @@ def staged(spark: SparkSession, run_id: str | None = None):
     return stage
 
 
+def persisted(df: DataFrame, name: str) -> DataFrame:
+    """A ``stage(df, name)`` function keeping the shared piece in executor
+    memory (spilling to local disk); recomputed from lineage if lost."""
+    return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def sharing(spark: SparkSession, share: str | None, run_id: str):
+    """The stage function for a sharing mode (``persist``, ``write``, None)."""
+    if share is None:
+        return None
+    if share == "persist":
+        return persisted
+    if share == "write":
+        return staged(spark, run_id)
+    raise ValueError(f"unknown sharing mode {share!r}")
+
+
 def run_group(t: Tables, name: str, period: Period,
               shared: SharedPlans | None = None) -> dict[str, DataFrame]:
     """The reports of one group, in order, as lazy DataFrames.
@@ -86,14 +109,14 @@ def column_layout_profile(df: DataFrame) -> DataFrame:
 
 
 def write_report_bundle(spark: SparkSession, t: Tables, group: str, period: Period,
-                        out_dir: str, fmt: str = "parquet", share: bool = True) -> str:
+                        out_dir: str, fmt: str = "parquet", share: str | None = "persist") -> str:
     """S3: write every report of ``group`` under ``out_dir/<group>_<start>__<end>/``.
 
     Each report is written by the executors (one folder per report, many
     part files, sort order kept); the header manifest goes next to them.
     ``fmt='csv'`` writes the rendered flavour (S5) with a header line.
     """
-    shared = SharedPlans(t, period, stage=staged(spark, f"{group}-{period.label}") if share else None)
+    shared = SharedPlans(t, period, stage=sharing(spark, share, f"{group}-{period.label}"))
     reports = run_group(t, group, period, shared)
     folder = f"{out_dir.rstrip('/')}/{group}_{period.label}"
     for sheet, df in reports.items():
@@ -103,4 +126,5 @@ def write_report_bundle(spark: SparkSession, t: Tables, group: str, period: Peri
         else:
             df.write.mode("overwrite").parquet(path)
     header_manifest(spark, reports).coalesce(1).write.mode("overwrite").json(f"{folder}/_headers")
+    shared.release()
     return folder

@@ -49,6 +49,13 @@ class SharedPlans:
             self._cache[name] = self._stage(df, name) if self._stage else df
         return self._cache[name]
 
+    def release(self) -> None:
+        """Drop cached shared pieces (no-op for written or unstaged ones)."""
+        for df in self._cache.values():
+            if df.is_cached:
+                df.unpersist()
+        self._cache.clear()
+
     def facts(self) -> DataFrame:
         """B6 restricted to the period (F1)."""
         return self._get("facts", lambda: facts_in_period(self.t, self.period))
