@@ -39,6 +39,7 @@ DEFAULT_MAX_BROADCAST_ROWS = None  # read BOUNDS.broadcast_rows at call time
 DEFAULT_MAX_REDUCER_ROWS = None    # read BOUNDS.reducer_rows at call time
 
 _bounded_cache: dict[tuple[int, int], tuple[DataFrame, bool]] = {}
+_CACHE_ENTRIES = 512
 
 
 def has_at_most(df: DataFrame, max_rows: int | None = None) -> bool:
@@ -48,6 +49,8 @@ def has_at_most(df: DataFrame, max_rows: int | None = None) -> bool:
     if hit is not None and hit[0] is df:
         return hit[1]
     result = df.limit(limit + 1).count() <= limit
+    if len(_bounded_cache) >= _CACHE_ENTRIES:  # oldest first (insertion order)
+        _bounded_cache.pop(next(iter(_bounded_cache)))
     _bounded_cache[(id(df), limit)] = (df, result)
     return result
 

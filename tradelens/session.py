@@ -57,6 +57,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError(
+            "spark.checkpoint.dir is not set: name a folder on the shared file system "
+            "(a machine-local folder is not visible to other executors)")
     path = tempfile.mkdtemp(prefix="tradelens-ckpt-")
     spark.conf.set(CHECKPOINT_CONF, path)
     spark.sparkContext.setCheckpointDir(path)
