@@ -216,3 +216,15 @@ def test_m18_retail_bill_at_unknown_site_is_kept(spark):
                     pos_line=[line(5, 1, 1, 9)])
     (r,) = rows(sale_facts(t))
     assert r["dept_id"] is None and r["bill_code"] == "4" and r["bill_type"] == 1207
+
+
+def test_import_totals_null_goods_gets_no_period_entry(spark):
+    from tradelens.operators.stock import import_by_goods, period_entry_by_goods
+
+    t = make_tables(spark,
+                    stock_bill=[sale_bill(3, 12, d(6), bill_type=1102), sale_bill(5, 12, d(7), bill_type=1204)],
+                    stock_line=[line(3, None, 4, 0), line(3, 1, 2, 0), line(5, None, 1, 0)])
+    got = {r["goods_id"]: (r["total_import_cp"], r["total_import"]) for r in rows(import_by_goods(t, JAN))}
+    assert got == {None: (None, D("3.00")), 1: (D("2.00"), D("2.00"))}
+    entries = {r["goods_id"]: r["total_import_cp"] for r in rows(period_entry_by_goods(t, JAN))}
+    assert entries == {None: D("4.00"), 1: D("2.00")}

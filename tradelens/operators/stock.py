@@ -49,11 +49,19 @@ def period_entry_by_goods(t: Tables, period: Period) -> DataFrame:
 
 
 def import_by_goods(t: Tables, period: Period) -> DataFrame:
-    """Both import totals per goods from one aggregation."""
+    """Both import totals per goods from one aggregation.
+
+    In the two-level form period entries reach a goods row through an
+    equality join on goods id, so the NULL-goods row never gets one; kept.
+    """
     in_cp = (F.col("bill_type") == X.WAREHOUSE_ENTRY) & in_period("bill_date", period)
-    return stock_movements(t).groupBy("goods_id").agg(
+    g = stock_movements(t).groupBy("goods_id").agg(
         F.sum(F.when(in_cp, F.col("qty"))).cast(QTY_SUM).alias("total_import_cp"),
         F.sum(X.stock_signed("qty", "bill_type")).cast(QTY_SUM).alias("total_import"))
+    return g.select("goods_id",
+                    F.when(F.col("goods_id").isNotNull(), F.col("total_import_cp"))
+                    .cast(QTY_SUM).alias("total_import_cp"),
+                    "total_import")
 
 
 def net_stock_by_class(t: Tables, by_goods: DataFrame | None = None) -> DataFrame:
