@@ -15,7 +15,8 @@ of the group. Two ways to hold them:
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
@@ -108,23 +109,46 @@ def column_layout_profile(df: DataFrame) -> DataFrame:
     return maxes.select(F.explode(F.array(*entries)).alias("e")).select("e.*")
 
 
+def run_concurrently(reports: Mapping[str, DataFrame], sink: Callable[[str, DataFrame], None],
+                     max_parallel: int = 4) -> None:
+    """Hand every report to ``sink`` from up to ``max_parallel`` threads.
+
+    Each report is its own Spark job; submitted together, their stages share
+    the executors instead of leaving them idle between small jobs. Errors
+    propagate after all submitted jobs have finished.
+    """
+    if max_parallel <= 1 or len(reports) <= 1:
+        for name, df in reports.items():
+            sink(name, df)
+        return
+    with ThreadPoolExecutor(max_workers=max_parallel, thread_name_prefix="report") as pool:
+        futures = [pool.submit(sink, name, df) for name, df in reports.items()]
+        for f in futures:
+            f.result()
+
+
 def write_report_bundle(spark: SparkSession, t: Tables, group: str, period: Period,
-                        out_dir: str, fmt: str = "parquet", share: str | None = "persist") -> str:
+                        out_dir: str, fmt: str = "parquet", share: str | None = "persist",
+                        max_parallel: int = 4) -> str:
     """S3: write every report of ``group`` under ``out_dir/<group>_<start>__<end>/``.
 
     Each report is written by the executors (one folder per report, many
     part files, sort order kept); the header manifest goes next to them.
     ``fmt='csv'`` writes the rendered flavour (S5) with a header line.
+    Up to ``max_parallel`` reports are written at the same time.
     """
     shared = SharedPlans(t, period, stage=sharing(spark, share, f"{group}-{period.label}"))
     reports = run_group(t, group, period, shared)
     folder = f"{out_dir.rstrip('/')}/{group}_{period.label}"
-    for sheet, df in reports.items():
+
+    def write(sheet: str, df: DataFrame) -> None:
         path = f"{folder}/{sheet}"
         if fmt == "csv":
             render_report(df).write.mode("overwrite").option("header", True).csv(path)
         else:
             df.write.mode("overwrite").parquet(path)
+
+    run_concurrently(reports, write, max_parallel)
     header_manifest(spark, reports).coalesce(1).write.mode("overwrite").json(f"{folder}/_headers")
     shared.release()
     return folder
