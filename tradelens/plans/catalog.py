@@ -21,8 +21,18 @@ from tradelens.sources.fixtures import derive_tables
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+_derived: dict[tuple[int, str], tuple[SparkSession, Tables]] = {}
+
+
 def _tables(spark: SparkSession, sf_dir: str) -> Tables:
-    return derive_tables(spark, sf_dir)
+    """The derived contract tables of ``sf_dir`` (lazy DataFrames), kept per
+    session so the memoized size checks on them are reused across queries."""
+    key = (id(spark), sf_dir)
+    hit = _derived.get(key)
+    if hit is None or hit[0] is not spark:
+        hit = (spark, derive_tables(spark, sf_dir))
+        _derived[key] = hit
+    return hit[1]
 
 
 def _report(fn) -> Query:
