@@ -1,0 +1 @@
+"""Column expressions: period predicates, sign rules, guarded ratios, layout widths."""

@@ -1,0 +1 @@
+"""Reports, report groups and their outputs, and the registered query catalog."""

@@ -21,7 +21,7 @@ from concurrent.futures import ThreadPoolExecutor
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from tradelens.functions.layout import display_header, fitted_width, python_text, text_width
+from tradelens.functions.layout import display_header, python_text, text_width
 from tradelens.functions.period import Period
 from tradelens.plans.reports import REPORT_GROUPS, SharedPlans
 from tradelens.session import scratch_path

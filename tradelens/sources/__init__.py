@@ -1,0 +1 @@
+"""Contract schemas, loaders (parquet, JDBC, catalog), static dimensions, test-data derivation."""
