@@ -6,10 +6,14 @@ than that many rows per partition). Bigger dimensions take an ordinary
 shuffle join on the key, where AQE may still switch to a broadcast at run
 time and splits skewed partitions.
 
-For a shuffle *left* join the fact rows with a NULL key are split off before
-the join: they can never match, and in the source data they are the biggest
-group of all (cash sales carry no customer), so hashing them to one reducer
-would put that whole group into one task.
+For a shuffle *left* join the fact rows with a NULL key never match, and in
+the source data they are the biggest group of all (cash sales carry no
+customer); hashed by the key alone they would all land in one task. They get
+a salt instead: a second join column that is 0 for real keys (and on the
+dimension side) and 1..NULL_SPREAD for NULL keys, taken from a hash of the
+row (deterministic, so task retries see the same placement). NULL-key rows
+spread over all partitions, still match nothing, and the input is computed
+once (no split-and-union of the fact side).
 """
 
 from __future__ import annotations
@@ -38,6 +42,8 @@ BOUNDS = Bounds()
 DEFAULT_MAX_BROADCAST_ROWS = None  # read BOUNDS.broadcast_rows at call time
 DEFAULT_MAX_REDUCER_ROWS = None    # read BOUNDS.reducer_rows at call time
 
+NULL_SPREAD = 1024
+
 _bounded_cache: dict[tuple[int, int], tuple[DataFrame, bool]] = {}
 _CACHE_ENTRIES = 512
 
@@ -87,18 +93,23 @@ def lookup_join(fact: DataFrame, dim: DataFrame, keys: str | Sequence[str],
         dim = F.broadcast(dim)
     if broadcast or how != "left":
         return fact.join(dim, key_list, how)
-    any_null: Column = F.lit(False)
-    for k in key_list:
-        any_null = any_null | F.col(k).isNull()
+    salted_fact, salted_dim, salted_keys = _salt_null_keys(fact, dim, key_list)
     if hot_right:
-        matched = left_join_split_hot_right(fact.filter(~any_null), dim, key_list)
+        joined = left_join_split_hot_right(salted_fact, salted_dim, salted_keys)
     else:
-        matched = fact.filter(~any_null).join(dim, key_list, "left")
-    unmatched = fact.filter(any_null)
-    for field in dim.schema.fields:
-        if field.name not in key_list:
-            unmatched = unmatched.withColumn(field.name, F.lit(None).cast(field.dataType))
-    return matched.unionByName(unmatched.select(*matched.columns))
+        joined = salted_fact.join(salted_dim, salted_keys, "left")
+    return joined.drop("__null_salt")
+
+
+def _salt_null_keys(fact: DataFrame, dim: DataFrame,
+                    keys: list[str]) -> tuple[DataFrame, DataFrame, list[str]]:
+    any_null: Column = F.lit(False)
+    for k in keys:
+        any_null = any_null | F.col(k).isNull()
+    spread = F.pmod(F.xxhash64(*[F.col(c) for c in fact.columns]), F.lit(NULL_SPREAD)) + 1
+    salted_fact = fact.withColumn("__null_salt", F.when(any_null, spread).otherwise(F.lit(0)))
+    salted_dim = dim.withColumn("__null_salt", F.lit(0).cast("long"))
+    return salted_fact, salted_dim, keys + ["__null_salt"]
 
 
 
