@@ -151,16 +151,15 @@ def left_join_split_hot_right(left: DataFrame, right: DataFrame, keys: Sequence[
     AQE can split a skewed partition only on the preserved side of an outer
     join, so a hot key on the right of a left join would land in one task.
     Written instead as ``left ⋈ right`` (inner: both sides splittable) plus
-    the unmatched left rows, found by an anti join against the distinct keys
-    *of the inner join's output* (partial aggregation shrinks the hot key to
-    one row per map task). Column pruning narrows the second branch to the
-    key columns, so its extra cost is one more read of the keys (cheap in a
-    columnar file), not of the full rows. Same rows as the outer join.
+    the unmatched left rows, found by an anti join against the right side's
+    distinct keys (partial aggregation shrinks the hot key to one row per
+    map task before the shuffle). Column pruning narrows that second read of
+    the right side to its key columns. Same rows as the outer join.
     """
     key_list = list(keys)
     matched = left.join(right, key_list, "inner")
-    matched_keys = matched.select(*key_list).distinct()
-    unmatched = left.join(matched_keys, key_list, "left_anti")
+    right_keys = right.select(*key_list).distinct()
+    unmatched = left.join(right_keys, key_list, "left_anti")
     for field in right.schema.fields:
         if field.name not in key_list:
             unmatched = unmatched.withColumn(field.name, F.lit(None).cast(field.dataType))
