@@ -45,15 +45,19 @@ def header_with_lines(bills: DataFrame, lines: DataFrame, reduce: bool,
     With ``reduce`` the lines are first semi-reduced to the given bills
     (``header_table``: the stored table ``bills`` was filtered from, for the
     size bound). The reduced lines are broadcast only when the whole stored
-    line table is within the bound; otherwise bills and lines meet in a
-    shuffle join written so that one bill holding a large share of all lines
-    can still be split across tasks (``left_join_split_hot_right``).
+    line table is within the broadcast bound. Otherwise bills and lines meet
+    in a shuffle join; when the line table is large (beyond the reducer
+    bound) it is written so that one bill holding a large share of all lines
+    can still be split across tasks (``left_join_split_hot_right``) — below
+    that bound even the largest group is small enough for one task.
     """
     if reduce:
         bound = (header_table,) if header_table is not None else ()
         lines = semi_reduce(lines, bills.select("bill_id"), "bill_id", bound_by=bound)
     if line_table is not None and has_at_most(line_table, BOUNDS.broadcast_rows):
         return bills.join(F.broadcast(lines), "bill_id", "left")
+    if line_table is not None and has_at_most(line_table, BOUNDS.reducer_rows):
+        return bills.join(lines, "bill_id", "left")
     return left_join_split_hot_right(bills, lines, ["bill_id"])
 
 

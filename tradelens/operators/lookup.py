@@ -84,7 +84,8 @@ def lookup_join(fact: DataFrame, dim: DataFrame, keys: str | Sequence[str],
     table) or of ``dim`` itself; True/False force it (True only for
     dimensions built from a fixed literal list). ``hot_right`` marks a left
     join whose right side may hold one huge key group (see
-    ``left_join_split_hot_right``).
+    ``left_join_split_hot_right``); it is applied unless ``bound_by`` is
+    within the reducer bound (then no group can be large).
     """
     key_list = [keys] if isinstance(keys, str) else list(keys)
     if broadcast is None:
@@ -94,7 +95,8 @@ def lookup_join(fact: DataFrame, dim: DataFrame, keys: str | Sequence[str],
     if broadcast or how != "left":
         return fact.join(dim, key_list, how)
     salted_fact, salted_dim, salted_keys = _salt_null_keys(fact, dim, key_list)
-    if hot_right:
+    small_right = bound_by is not None and has_at_most(bound_by, BOUNDS.reducer_rows)
+    if hot_right and not small_right:
         joined = left_join_split_hot_right(salted_fact, salted_dim, salted_keys)
     else:
         joined = salted_fact.join(salted_dim, salted_keys, "left")
