@@ -34,6 +34,8 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", os.environ.get("TRADELENS_DRIVER_MEMORY", "8g"))
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # catalog tables of local runs (e.g. the bucketed layout) go to a temp folder
+        .config("spark.sql.warehouse.dir", tempfile.mkdtemp(prefix="tradelens-warehouse-"))
     )
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
