@@ -154,3 +154,24 @@ def test_reduced_shuffle_paths_match_oracle(spark, duck, mid_bounds, name):
     rel = duck.execute(E.oracle_sql()[name])
     d_cols = [c[0] for c in rel.description]
     assert _multiset(sdf.columns, [tuple(r) for r in sdf.collect()]) == _multiset(d_cols, rel.fetchall())
+
+
+def test_product_sale_with_reduced_movement_lines(spark, duck):
+    """A line history 'too large' for the plain plan (reducer bound below its
+    size) but a small set of goods sold in the period: R3 reduces the
+    movement lines to those goods first; same result as the oracle."""
+    from tradelens.operators import lookup
+
+    saved = lookup.BOUNDS.reducer_rows
+    lookup.BOUNDS.reducer_rows = 1000
+    try:
+        sdf = E.queries()["product_sale"](spark, SF)
+        plan = sdf._jdf.queryExecution().executedPlan().toString()
+        import re
+        assert re.search(r"BroadcastHashJoin \[goods_id#\d+L\], \[__k0#\d+L\], LeftSemi", plan)
+        rows = [tuple(r) for r in sdf.collect()]
+    finally:
+        lookup.BOUNDS.reducer_rows = saved
+    rel = duck.execute(E.oracle_sql()["product_sale"])
+    d_cols = [c[0] for c in rel.description]
+    assert _multiset(sdf.columns, rows) == _multiset(d_cols, rel.fetchall())

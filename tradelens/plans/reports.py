@@ -22,7 +22,7 @@ from tradelens.functions.period import Period, in_period
 from tradelens.operators.anti import not_in
 from tradelens.operators.chain import bill_chain
 from tradelens.operators.facts import receivables, settlements
-from tradelens.operators.lookup import has_at_most, lookup_join
+from tradelens.operators.lookup import BOUNDS, has_at_most, lookup_join
 from tradelens.operators.sales import (
     SUM, class_sale_summary, facts_in_period, product_sale_summary, sales_by_goods,
     sales_by_party_goods)
@@ -131,7 +131,13 @@ def bill_relation_sale(t: Tables, period: Period, shared: SharedPlans | None = N
 def product_sale(t: Tables, period: Period, shared: SharedPlans | None = None) -> DataFrame:
     """Per sold goods — amount, cost, profit, period entries, imports, move rate."""
     s = _shared(t, period, shared)
-    imports = s.imports()
+    if shared is None and not has_at_most(t.stock_line, BOUNDS.reducer_rows):
+        # standalone over a large line history: only the goods sold in the
+        # period need all-time import totals, so the movement lines are
+        # reduced to them before the all-time line ⋈ bill join
+        imports = import_by_goods(t, period, goods_keys=s.facts().select("goods_id"))
+    else:
+        imports = s.imports()
     joined = s.product_summary().join(imports, "goods_id", "left")
     return joined.orderBy(F.col("total_amount").desc()).select(
         "product_code", "product_name", "total_amount", "reference_cost_price",
