@@ -1,4 +1,5 @@
-"""Fact → dimension joins with a checked broadcast and null-key splitting.
+"""Joins for growing tables: size-checked broadcasts, semi-join reductions,
+NULL-key salting and a hot-key-safe left join.
 
 A dimension is broadcast only after a bounded count has shown that it has at
 most ``max_rows`` rows (``limit(max_rows + 1).count()`` never reads more
@@ -61,18 +62,6 @@ def has_at_most(df: DataFrame, max_rows: int | None = None) -> bool:
     return result
 
 
-def maybe_broadcast(dim: DataFrame, max_rows: int | None = DEFAULT_MAX_BROADCAST_ROWS) -> tuple[DataFrame, bool]:
-    """``(broadcast(dim), True)`` if the size bound holds, else ``(dim, False)``."""
-    if has_at_most(dim, max_rows):
-        return F.broadcast(dim), True
-    return dim, False
-
-
-def fixed_broadcast(dim: DataFrame) -> DataFrame:
-    """Broadcast a dimension whose size is fixed by construction (literals)."""
-    return F.broadcast(dim)
-
-
 def lookup_join(fact: DataFrame, dim: DataFrame, keys: str | Sequence[str],
                 how: str = "left", max_rows: int | None = DEFAULT_MAX_BROADCAST_ROWS,
                 broadcast: bool | None = None, bound_by: DataFrame | None = None,
