@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tradelens.llm.common import read, ship_package
 from tradelens.llm.packing import packed_digest
+from tradelens.llm.sharding import sharding_digest
 from tradelens.llm.token_counts import count_tokens
+from tradelens.llm.url_templates import RULES, judge_urls
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,13 +22,23 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(_documents(spark, sf_dir), limit=1024)
 
 
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding_digest(_documents(spark, sf_dir), shards=24)
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_digest(_documents(spark, sf_dir), length=2048)
 
 
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(read(spark, sf_dir, "pages"), RULES)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_token_counts": op4_token_counts,
+    "op6_sharding": op6_sharding,
     "op7_packing": op7_packing,
+    "op9_url_filter": op9_url_filter,
 }
 
 ORACLE_SQL: dict[str, str] = {}
