@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tradelens.llm.common import read, ship_package
+from tradelens.llm.decontaminate import judge_leaks
 from tradelens.llm.packing import packed_digest
+from tradelens.llm.quality_rules import judge_quality
 from tradelens.llm.sharding import sharding_digest
 from tradelens.llm.token_counts import count_tokens
 from tradelens.llm.url_templates import RULES, judge_urls
@@ -18,12 +20,20 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents")
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(_documents(spark, sf_dir), limit=1024)
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_quality(read(spark, sf_dir, "documents"))
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding_digest(_documents(spark, sf_dir), shards=24)
+    return sharding_digest(read(spark, sf_dir, "documents"), shards=24)
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,7 +45,9 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_decontamination": op3_decontamination,
     "op4_token_counts": op4_token_counts,
+    "op5_quality_rules": op5_quality_rules,
     "op6_sharding": op6_sharding,
     "op7_packing": op7_packing,
     "op9_url_filter": op9_url_filter,
