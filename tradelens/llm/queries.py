@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tradelens.llm.common import read, ship_package
 from tradelens.llm.decontaminate import judge_leaks
+from tradelens.llm.jaccard_join import jaccard_components
 from tradelens.llm.packing import packed_digest
 from tradelens.llm.quality_rules import judge_quality
 from tradelens.llm.sharding import sharding_digest
@@ -40,6 +41,10 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_digest(_documents(spark, sf_dir), length=2048)
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(_documents(spark, sf_dir), width=3, percent=90).drop("h")
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(read(spark, sf_dir, "pages"), RULES)
 
@@ -50,6 +55,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_quality_rules": op5_quality_rules,
     "op6_sharding": op6_sharding,
     "op7_packing": op7_packing,
+    "op8_jaccard_join": op8_jaccard_join,
     "op9_url_filter": op9_url_filter,
 }
 
