@@ -128,6 +128,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     empty text. Rows equal in doc_id and text are one document and treated
     alike. An empty table gives an empty result.
     """
+    docs = docs.drop("gone")
     gone = materialize(repeated_lines(docs), "repeated-lines").select(
         F.col("doc_id").alias("__id"), F.col("h").alias("__h"), "gone")
     doc_id, h = _key()

@@ -9,7 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from tradelens.llm.common import read, ship_package
 from tradelens.llm.decontaminate import judge_leaks
 from tradelens.llm.jaccard_join import jaccard_components
+from tradelens.llm.language_id import identify
+from tradelens.llm.line_dedup import dedup_report
 from tradelens.llm.packing import packed_digest
+from tradelens.llm.quality_mil import score_quality
 from tradelens.llm.quality_rules import judge_quality
 from tradelens.llm.sharding import sharding_digest
 from tradelens.llm.token_counts import count_tokens
@@ -21,6 +24,15 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents")
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(_documents(spark, sf_dir), read(spark, sf_dir, "labels"), accept=0.3).select(
+        "doc_id", "held_out", "score", "predicted")
+
+
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_report(_documents(spark, sf_dir))
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
@@ -49,7 +61,13 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(read(spark, sf_dir, "pages"), RULES)
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(_documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_classifier": op1_quality_classifier,
+    "op2_line_dedup": op2_line_dedup,
     "op3_decontamination": op3_decontamination,
     "op4_token_counts": op4_token_counts,
     "op5_quality_rules": op5_quality_rules,
@@ -57,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_packing": op7_packing,
     "op8_jaccard_join": op8_jaccard_join,
     "op9_url_filter": op9_url_filter,
+    "op10_language_id": op10_language_id,
 }
 
 ORACLE_SQL: dict[str, str] = {}
