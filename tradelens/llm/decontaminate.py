@@ -25,8 +25,6 @@ RADIUS = 15
 #: Bits of the Bloom bitmap per item shingle; at least and at most this many bits (128 KB to 2 MB).
 BLOOM_BITS, BLOOM_LEAST, BLOOM_MOST = 64, 1 << 20, 1 << 24
 
-_EMPTY = F.array().cast("array<bigint>")
-
 
 def _shingles(text: Column) -> tuple[Column, Column]:
     """(words, hashes of the five-word shingles of ``words``); the second reads a column ``words``."""
@@ -34,7 +32,7 @@ def _shingles(text: Column) -> tuple[Column, Column]:
     hashed = F.transform(
         F.sequence(F.lit(0), F.greatest(F.size("words") - SHINGLE, F.lit(0))),
         lambda i: F.xxhash64(*[F.get("words", i + k) for k in range(SHINGLE)]))
-    return words, F.when(F.size("words") > 0, hashed).otherwise(_EMPTY)
+    return words, F.when(F.size("words") > 0, hashed).otherwise(F.array().cast("array<bigint>"))
 
 
 def _add_lanes(g: int):
