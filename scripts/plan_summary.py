@@ -24,7 +24,6 @@ import tempfile
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 from tradelens.functions.period import TEST_PERIOD  # noqa: E402
-from tradelens.operators import lookup  # noqa: E402
 from tradelens.plans.reports import REPORT_GROUPS  # noqa: E402
 from tradelens.session import local_session  # noqa: E402
 from tradelens.sources.fixtures import derive_tables  # noqa: E402
@@ -67,7 +66,6 @@ def main() -> None:
     print("| --- | --- | " + " | ".join("---" for _ in PATTERNS) + " |")
     for regime in ("small", "scale"):
         if regime == "scale":
-            lookup.BOUNDS.broadcast_rows = lookup.BOUNDS.reducer_rows = 0
             for k in keys:
                 spark.conf.set(k, "-1")
         for group, reports in REPORT_GROUPS.items():

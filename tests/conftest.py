@@ -86,18 +86,12 @@ def rows(df):
 
 @pytest.fixture
 def no_broadcast(spark):
-    """Every size check fails and Spark's own size-based broadcast is off:
-    lookup joins shuffle, no semi-join reduction (the paths taken at scale)."""
-    from tradelens.operators import lookup
-
-    saved = (lookup.BOUNDS.broadcast_rows, lookup.BOUNDS.reducer_rows)
+    """Spark's own size-based broadcast is off: every join shuffles, as at scale."""
     keys = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
     conf = {k: spark.conf.get(k, None) for k in keys}
-    lookup.BOUNDS.broadcast_rows = lookup.BOUNDS.reducer_rows = 0
     for k in keys:
         spark.conf.set(k, "-1")
     yield
-    lookup.BOUNDS.broadcast_rows, lookup.BOUNDS.reducer_rows = saved
     for k, v in conf.items():
         if v is None:
             spark.conf.unset(k)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tradelens.functions.layout import display_header
 from tradelens.functions.period import Period, in_period, in_period_by_day
 from tradelens.operators.anti import not_in
-from tradelens.operators.lookup import has_at_most, lookup_join
+from tradelens.operators.lookup import lookup_join
 from tradelens.plans.bundle import column_layout_profile, header_manifest, render_report
 
 
@@ -47,17 +47,114 @@ def test_lookup_join_null_split_equals_plain_left_join(spark):
     fact = spark.createDataFrame([(1, 10), (None, 20), (2, 30), (None, 40), (9, 50)],
                                  "k bigint, v int")
     dim = spark.createDataFrame([(1, "one"), (2, "two")], "k bigint, name string")
-    for broadcast in (True, False):
-        got = sorted(rows(lookup_join(fact, dim, "k", "left", broadcast=broadcast)),
-                     key=lambda r: r["v"])
+    for options in ({}, {"broadcast": True}, {"spread": ("v",)}, {"spread": ("v",), "hot": (0, 1)}):
+        got = sorted(rows(lookup_join(fact, dim, "k", "left", **options)), key=lambda r: r["v"])
         assert [(r["v"], r["name"]) for r in got] == \
             [(10, "one"), (20, None), (30, "two"), (40, None), (50, None)]
 
 
-def test_size_check_is_bounded(spark):
-    df = spark.range(0, 1000)
-    assert has_at_most(df, 1000)
-    assert not has_at_most(spark.range(0, 1001), 1000)
+def test_hot_keys_are_spread_and_still_match(spark):
+    fact = spark.range(3000).select((F.col("id") % 3 - 1).alias("k"), F.col("id").alias("v"))
+    dim = spark.createDataFrame([(0, "zero"), (0, "null"), (1, "one"), (5, "five")], "k bigint, name string")
+    got = lookup_join(fact, dim, "k", "left", spread=("v",), hot=(0, -1))
+    want = fact.join(dim, "k", "left")
+    assert sorted(map(str, got.select(*want.columns).collect())) == sorted(map(str, want.collect()))
+
+
+def test_missing_columns_raise_unless_optional(spark):
+    import pytest
+
+    from tradelens.sources.contract import SCHEMAS, conform
+
+    bills = spark.createDataFrame([], SCHEMAS["stock_bill"])
+    with pytest.raises(ValueError, match="use_id"):
+        conform(bills.drop("use_id"), "stock_bill")
+    assert conform(bills.drop("memo"), "stock_bill").schema == SCHEMAS["stock_bill"]
+
+
+def test_parquet_loading_raises_other_errors(spark, tmp_path):
+    import pytest
+    from pyspark.errors import AnalysisException
+
+    from tradelens.sources.tables import load_parquet_tables
+
+    with pytest.raises(AnalysisException, match="PATH_NOT_FOUND"):
+        load_parquet_tables(spark, str(tmp_path), ["goods"])
+    assert load_parquet_tables(spark, str(tmp_path), ["bill_type_en"]).bill_type_en.count() == 8
+    (tmp_path / "bill_type_en").mkdir()
+    (tmp_path / "bill_type_en" / "part-0.parquet").write_bytes(b"not parquet")
+    with pytest.raises(Exception):
+        load_parquet_tables(spark, str(tmp_path), ["bill_type_en"])
+
+
+def test_jdbc_options_and_refusal(spark):
+    import pytest
+
+    from tradelens.sources.contract import SCHEMAS
+    from tradelens.sources.tables import load_jdbc_tables
+
+    class Reader:
+        def __init__(self):
+            self.options = {}
+
+        def format(self, name):
+            self.options["format"] = name
+            return self
+
+        def option(self, key, value):
+            self.options[key] = value
+            return self
+
+        def load(self):
+            name = self.options["dbtable"].removeprefix("erp.")
+            read[name] = self.options
+            return spark.createDataFrame([], SCHEMAS[name])
+
+    class Session:
+        read = property(lambda self: Reader())
+        createDataFrame = staticmethod(spark.createDataFrame)
+
+    read: dict = {}
+    names = {"goods": "erp.goods", "stock_line": "erp.stock_line"}
+    with pytest.raises(ValueError, match="stock_line"):
+        load_jdbc_tables(Session(), "jdbc:x", names)
+    t = load_jdbc_tables(Session(), "jdbc:x", names, {"user": "u"}, {"stock_line": ("bill_id", 1, 100, 8)})
+    assert set(t) == {"goods", "stock_line", "bill_type_en"}
+    assert read["goods"] == {"format": "jdbc", "url": "jdbc:x", "dbtable": "erp.goods", "user": "u"}
+    assert read["stock_line"] == {"format": "jdbc", "url": "jdbc:x", "dbtable": "erp.stock_line", "user": "u",
+                                  "partitionColumn": "bill_id", "lowerBound": "1", "upperBound": "100",
+                                  "numPartitions": "8"}
+    load_jdbc_tables(Session(), "jdbc:x", names, single_connection=["stock_line"])
+
+
+def test_small_ratios_are_not_rounded_away(spark):
+    from tradelens.functions import expressions as X
+
+    df = spark.createDataFrame([(4, 10_000_000), (5, 0), (None, 3)], "n bigint, d bigint")
+    got = df.select(X.ratio_or_zero("n", "d").alias("z"), X.ratio_or_null("n", "d").alias("x")).collect()
+    assert [tuple(r) for r in got] == [(4e-7, 4e-7), (0.0, None), (None, None)]
+
+
+def test_python_text_of_doubles_and_times(spark):
+    from tradelens.functions.layout import python_text
+    from pyspark.sql import types as T
+
+    values = [0.0, -0.5, 1.0, 12.25, 1.234e-07, 0.0001, 0.00012, 9.999e-05, 1e7, 12345678.5, 1e15, 1.5e16, 1e20, -2e-300,
+              123456789012345.6, float("nan"), float("inf"), float("-inf"), 1 / 3, 100.0]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double")
+    got = df.orderBy("i").select(python_text(F.col("v"), T.DoubleType()).alias("t")).collect()
+    assert [r.t for r in got] == [str(v) for v in values]
+    times = [dt.datetime(2024, 1, 2, 3, 4, 5), dt.datetime(2024, 1, 2, 3, 4, 5, 500000)]
+    df = spark.createDataFrame([(t,) for t in times], "v timestamp_ntz")
+    assert [r.t for r in df.select(python_text(F.col("v"), T.TimestampNTZType()).alias("t")).collect()] == \
+        [str(t) for t in times]
+
+
+def test_display_headers_in_csv(spark, tmp_path):
+    from tradelens.plans.bundle import with_display_headers
+
+    df = spark.createDataFrame([(1, 2, 3, "a")], "bill_name_1 int, bill_name_2 int, qty_label_1 int, qty_label_2 string")
+    assert with_display_headers(df).columns == ["Bill_Name", "Bill_Name ", "", " "]
 
 
 def test_period_bounds(spark):

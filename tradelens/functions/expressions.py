@@ -23,8 +23,6 @@ CANCELED = "Canceled"
 QTY_LABEL = "Qty:"
 AMT_LABEL = "Amt:"
 
-RATIO_DIGITS = 6
-
 
 def _c(col: Column | str) -> Column:
     return F.col(col) if isinstance(col, str) else col
@@ -49,14 +47,13 @@ def stock_signed(qty: Column | str, bill_type: Column | str) -> Column:
 def ratio_or_zero(num: Column | str, den: Column | str) -> Column:
     """``num / den``, 0 when ``den`` is 0 (null stays null), as DOUBLE."""
     d = _c(den)
-    value = F.when(d == 0, F.lit(0.0)).otherwise(_c(num).cast("double") / d.cast("double"))
-    return F.round(value, RATIO_DIGITS)
+    return F.when(d == 0, F.lit(0.0)).otherwise(_c(num).cast("double") / d.cast("double"))
 
 
 def ratio_or_null(num: Column | str, den: Column | str) -> Column:
     """``num / den``, NULL when ``den`` is 0 or NULL, as DOUBLE."""
     d = _c(den)
-    return F.round(_c(num).cast("double") / F.nullif(d, F.lit(0)).cast("double"), RATIO_DIGITS)
+    return _c(num).cast("double") / F.nullif(d, F.lit(0)).cast("double")
 
 
 def customer_name(name: Column | str) -> Column:

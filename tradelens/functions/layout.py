@@ -58,31 +58,60 @@ def display_header(column: str) -> str:
     return display_name(column).title()
 
 
+_THOUSANDTHS = 1000
+
+
+def _characters_by_width() -> dict[int, str]:
+    """Width in thousandths of a unit -> all characters of that width."""
+    out: dict[int, str] = {}
+    for ch, width in CHAR_WIDTHS:
+        key = round(width * _THOUSANDTHS)
+        out[key] = out.get(key, "") + ch
+    return out
+
+
 def text_width(text: Column) -> Column:
-    """Rendered width of ``text`` (left-to-right sum, like a per-character loop)."""
-    widths = F.create_map(*[x for ch, w in CHAR_WIDTHS for x in (F.lit(ch), F.lit(w))])
-    chars = F.filter(F.split(text, ""), lambda ch: ch != F.lit(""))
-    return F.aggregate(chars, F.lit(float(BASE_UNITS)),
-                       lambda acc, ch: acc + F.coalesce(F.element_at(widths, ch),
-                                                        F.lit(DEFAULT_CHAR_WIDTH)))
+    """Rendered width of ``text``: characters are counted by width (13 groups), in exact thousandths."""
+    total = F.lit(BASE_UNITS * _THOUSANDTHS).cast("long")
+    default = round(DEFAULT_CHAR_WIDTH * _THOUSANDTHS)
+    total = total + F.length(text) * F.lit(default)
+    for width, chars in _characters_by_width().items():
+        if width != default:
+            total = total + (F.length(text) - F.length(F.translate(text, chars, ""))) * F.lit(width - default)
+    return total / F.lit(float(_THOUSANDTHS))
 
 
 def python_text(col: Column, dtype: T.DataType) -> Column:
     """The value as Python's ``str`` would print it; NULL prints as ``None``.
 
-    Doubles (the reports' ratios, rounded to six places) print in shortest
-    form with at least one decimal (``0.4``, ``1.0``); other types print as
-    Spark casts them to text, which agrees with Python for strings, integers,
-    decimals and timestamps.
+    Doubles print positionally from 0.0001 to below 1e16 and with an exponent of
+    two digits or more elsewhere; half seconds print with six digits. Other
+    types print as Spark casts them to text, which agrees with Python.
     """
+    s = col.cast("string")
     if isinstance(dtype, (T.DoubleType, T.FloatType)):
-        s = F.regexp_replace(col.cast(T.DecimalType(38, 6)).cast("string"), "0+$", "")
-        s = F.when(s.endswith("."), F.concat(s, F.lit("0"))).otherwise(s)
-    else:
-        s = col.cast("string")
+        s = _python_double(col.cast("double"))
+    elif isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
+        s = F.when(F.instr(s, ".") > 0, F.rpad(s, 26, "0")).otherwise(s)
     return F.coalesce(s, F.lit("None"))
 
 
-def fitted_width(text: Column) -> Column:
-    """Column width for one cell: at least 700 units, truncated to an integer."""
-    return F.floor(F.greatest(F.lit(float(MIN_UNITS)), text_width(text))).cast("bigint")
+def _python_double(value: Column) -> Column:
+    text = value.cast("string")  # 12.5, 1.25E-5, NaN, Infinity
+    sign = F.when(text.startswith("-"), F.lit("-")).otherwise(F.lit(""))
+    mantissa = F.regexp_extract(text, r"^-?([0-9.]+)E", 1)
+    exponent = F.regexp_extract(text, r"E(-?[0-9]+)$", 1).try_cast("int")
+    digits = F.regexp_replace(F.replace(mantissa, F.lit("."), F.lit("")), "(?<=.)0+$", "")
+    whole = F.rpad(F.substring(digits, F.lit(1), exponent + 1), exponent + 1, F.lit("0"))
+    rest = F.substring(digits, exponent + 2, F.length(digits))
+    positional = F.when(exponent >= 0, F.concat(whole, F.lit("."), F.when(rest == "", F.lit("0")).otherwise(rest)))
+    positional = positional.otherwise(F.concat(F.lit("0."), F.repeat(F.lit("0"), -exponent - 1), digits))
+    tail = F.substring(digits, F.lit(2), F.length(digits))
+    power = F.abs(exponent).cast("string")
+    power = F.when(F.length(power) < 2, F.lpad(power, 2, "0")).otherwise(power)
+    scientific = F.concat(F.substring(digits, F.lit(1), F.lit(1)), F.when(tail != "", F.concat(F.lit("."), tail)).otherwise(""),
+                          F.lit("e"), F.when(exponent < 0, F.lit("-")).otherwise(F.lit("+")), power)
+    return (F.when(F.isnan(value), F.lit("nan"))
+            .when(text.endswith("Infinity"), F.concat(sign, F.lit("inf")))
+            .when(exponent.isNull(), text)
+            .otherwise(F.concat(sign, F.when(exponent.between(-4, 15), positional).otherwise(scientific))))

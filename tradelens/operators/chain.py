@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from tradelens.operators.lookup import has_at_most, lookup_join, semi_reduce
+from tradelens.operators.lookup import lookup_join
 from tradelens.sources.contract import Tables, conform
 
 
@@ -34,53 +34,42 @@ def order_qty_by_bill(order_line: DataFrame) -> DataFrame:
     return order_line.groupBy("bill_id").agg(F.sum("qty").cast("decimal(38,2)").alias("order_qty"))
 
 
-def bill_chain(t: Tables, a: DataFrame | None = None, b: DataFrame | None = None,
-               selective: str | None = None) -> DataFrame:
+# a bill made from nothing links to 0, a cancelled one to -1: the commonest link values
+HOT_LINKS = (0, -1)
+
+_ORDER_COLUMNS = ("f_bill_id", "f_bill_date", "f_bill_amount")
+
+
+def bill_chain(t: Tables, a: DataFrame | None = None, b: DataFrame | None = None) -> DataFrame:
     """Chain rows ``a → b → f`` with English type names and order qty.
 
     ``a`` / ``b`` default to the whole browse view; reports pass them
     pre-filtered so the self join only sees the bills of interest. Output
-    columns are prefixed ``a_``, ``b_``, ``f_``; ``name_a`` / ``name_b`` /
-    ``name_link`` are the English names of ``a.bill_type``, ``b.bill_type``
-    and ``b.use_bill_type``.
-
-    ``selective`` names the side a report has cut down by its period (``"a"``
-    or ``"b"``): the other side, then the order bills and the order lines are
-    semi-join reduced along the chain before any of them is shuffled.
+    columns are those of the browse view prefixed ``a_`` and ``b_``, then the
+    order's (``f_``), ``name_a`` / ``name_b`` / ``name_link`` (the English names
+    of ``a.bill_type``, ``b.bill_type`` and ``b.use_bill_type``) and
+    ``order_qty``.
     """
     browse = t.stock_bill_browse
     a = browse if a is None else a
     b = browse if b is None else b
-    order_bill, order_line = t.order_bill, t.order_line
-    link = [("use_id", "bill_id"), ("use_bill_type", "bill_type")]
-    if selective == "a":
-        b = semi_reduce(b, a, [(y, x) for x, y in link], bound_by=(browse,))
-    elif selective == "b":
-        a = semi_reduce(a, b, link, bound_by=(browse,))
-    if selective is not None:
-        order_bill = semi_reduce(order_bill, b.select("use_id"), [("bill_id", "use_id")],
-                                 bound_by=(browse,))
-        order_line = semi_reduce(order_line, order_bill.select("bill_id"), "bill_id",
-                                 bound_by=(t.order_bill,))
-    a_cols = a.select(*[F.col(c).alias(f"a_{c}") for c in a.columns])
-    b_cols = b.select(*[F.col(c).alias(f"b_{c}") for c in b.columns])
-    if has_at_most(browse):
-        b_cols = F.broadcast(b_cols)
-    ab = a_cols.join(b_cols, (F.col("a_use_id") == F.col("b_bill_id")) &
-                     (F.col("a_use_bill_type") == F.col("b_bill_type")), "left")
-    # f is looked up by b.use_id; f_bill_id comes from the order side (NULL if none)
-    orders = order_bill.select(F.col("bill_id").alias("__order_key"),
-                                 F.col("bill_id").alias("f_bill_id"),
-                                 F.col("bill_date").alias("f_bill_date"),
-                                 F.col("bill_amount").alias("f_bill_amount"))
-    abf = lookup_join(ab.withColumn("__order_key", F.col("b_use_id")), orders, "__order_key",
-                      "left", bound_by=t.order_bill).drop("__order_key")
+    a_cols = a.select(*[F.col(c).alias(f"a_{c}") for c in a.columns],
+                      F.col("use_id").alias("__id"), F.col("use_bill_type").alias("__type"))
+    b_cols = b.select(*[F.col(c).alias(f"b_{c}") for c in b.columns],
+                      F.col("bill_id").alias("__id"), F.col("bill_type").alias("__type"))
+    ab = lookup_join(a_cols, b_cols, ["__id", "__type"], spread=("a_bill_id",), hot=HOT_LINKS).drop("__id", "__type")
+    # f is looked up by b.use_id; f_bill_id comes from the order side (NULL if none).
+    # One row per order bill with its summed lines, joined before it meets the chain.
+    qty = order_qty_by_bill(t.order_line)
+    orders = t.order_bill.select("bill_id", "bill_date", "bill_amount").join(qty, "bill_id", "left").select(
+        F.col("bill_id").alias("__order"), F.col("bill_id").alias("f_bill_id"), F.col("bill_date").alias("f_bill_date"),
+        F.col("bill_amount").alias("f_bill_amount"), "order_qty")
+    chain = lookup_join(ab.withColumn("__order", F.col("b_use_id")), orders, "__order",
+                        spread=("a_bill_id",), hot=HOT_LINKS)
     names = bill_type_name_en(t)
-    names_small = has_at_most(t.bill_type)
     for src, out in (("a_bill_type", "name_a"), ("b_bill_type", "name_b"),
                      ("b_use_bill_type", "name_link")):
         lookup = names.select(F.col("type_id").alias(src), F.col("english_name").alias(out))
-        abf = lookup_join(abf, lookup, src, "left", broadcast=names_small)
-    # one row per order bill: broadcast only while the order-bill table is small
-    qty = order_qty_by_bill(order_line).withColumnRenamed("bill_id", "f_bill_id")
-    return lookup_join(abf, qty, "f_bill_id", "left", bound_by=t.order_bill)
+        chain = lookup_join(chain, lookup, src, spread=("a_bill_id",))
+    return chain.select(*[f"a_{c}" for c in a.columns], *[f"b_{c}" for c in b.columns], *_ORDER_COLUMNS,
+                        "name_a", "name_b", "name_link", "order_qty")

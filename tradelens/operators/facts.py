@@ -4,9 +4,9 @@
 reads: stock sale lines, live price adjustments and open plus archived retail
 lines, unioned by name after casting each branch to the same 14-column
 contract. With a period, every branch filters its bill headers first (the
-predicate reaches the parquet scan) and the line tables are semi-join reduced
-to those bills before the header ⟕ line join, so a report over one period
-never shuffles the whole line history.
+predicate reaches the parquet scan). Line tables stored with their bill's
+month (``write_monthly_tables``) are pruned to the period's months, so a
+report over one period never reads, let alone shuffles, the whole line history.
 """
 
 from __future__ import annotations
@@ -15,9 +15,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from tradelens.functions import expressions as X
 from tradelens.functions.period import Period, in_period, in_period_by_day
-from tradelens.operators.lookup import (
-    BOUNDS, has_at_most, left_join_split_hot_right, lookup_join, semi_reduce)
-from tradelens.sources.contract import EFFECTIVE_PRICE, I, L, MONEY, RATE, S, TS, Tables
+from tradelens.operators.lookup import left_join_split_hot_right, lookup_join
+from tradelens.sources.contract import EFFECTIVE_PRICE, I, L, MONEY, MONTH, RATE, S, TS, Tables
 
 SALE_FACT_COLUMNS = (
     ("bill_id", L), ("dept_id", L), ("party_id", L), ("handler_id", L), ("memo", S),
@@ -37,28 +36,25 @@ def _bills_in(bills: DataFrame, period: Period | None) -> DataFrame:
     return bills if period is None else bills.filter(in_period("bill_date", period))
 
 
-def header_with_lines(bills: DataFrame, lines: DataFrame, reduce: bool,
-                      header_table: DataFrame | None = None,
-                      line_table: DataFrame | None = None) -> DataFrame:
-    """``bills ⟕ lines`` on bill_id (line-less bills kept).
+def lines_in(lines: DataFrame, period: Period | None) -> DataFrame:
+    """Lines of the months that the period touches, where the stored table knows the month.
 
-    With ``reduce`` the lines are first semi-reduced to the given bills
-    (``header_table``: the stored table ``bills`` was filtered from, for the
-    size bound). The reduced lines are broadcast only when the whole stored
-    line table is within the broadcast bound. Otherwise bills and lines meet
-    in a shuffle join; when the line table is large (beyond the reducer
-    bound) it is written so that one bill holding a large share of all lines
-    can still be split across tasks (``left_join_split_hot_right``) — below
-    that bound even the largest group is small enough for one task.
+    Lines outside them belong to bills outside the period, and lines without
+    a bill (NULL month) meet no bill, so the join with the period's bills gives
+    the same rows.
     """
-    if reduce:
-        bound = (header_table,) if header_table is not None else ()
-        lines = semi_reduce(lines, bills.select("bill_id"), "bill_id", bound_by=bound)
-    if line_table is not None and has_at_most(line_table, BOUNDS.broadcast_rows):
-        return bills.join(F.broadcast(lines), "bill_id", "left")
-    if line_table is not None and has_at_most(line_table, BOUNDS.reducer_rows):
-        return bills.join(lines, "bill_id", "left")
-    return left_join_split_hot_right(bills, lines, ["bill_id"])
+    if MONTH not in lines.columns:
+        return lines
+    if period is not None:
+        first, last = period.start_ts, period.end_inclusive_ts
+        lines = lines.filter(F.col(MONTH).between(first.year * 100 + first.month, last.year * 100 + last.month))
+    return lines.drop(MONTH)
+
+
+def header_with_lines(bills: DataFrame, lines: DataFrame, period: Period | None = None) -> DataFrame:
+    """``bills ⟕ lines`` on bill_id (line-less bills kept); one bill may hold a
+    large share of all lines."""
+    return left_join_split_hot_right(bills, lines_in(lines, period), ["bill_id"])
 
 
 def stock_sale_lines(t: Tables, period: Period | None = None) -> DataFrame:
@@ -68,10 +64,10 @@ def stock_sale_lines(t: Tables, period: Period | None = None) -> DataFrame:
     """
     bills = _bills_in(t.stock_bill.filter(
         (F.col("use_id") >= 0) & F.col("bill_type").isin(X.SALE_INVOICE, X.SALE_RETURN)), period)
-    lines = t.stock_line.select("bill_id", "goods_id", F.col("qty"), F.col("price").alias("line_price"),
-                                F.col("amount").alias("line_amount"), "disc_rate")
-    joined = header_with_lines(bills, lines, reduce=period is not None, header_table=t.stock_bill,
-                               line_table=t.stock_line)
+    lines = lines_in(t.stock_line, period).select(
+        "bill_id", "goods_id", F.col("qty"), F.col("price").alias("line_price"),
+        F.col("amount").alias("line_amount"), "disc_rate")
+    joined = header_with_lines(bills, lines)
     return _fact_contract(joined.select(
         "bill_id", "dept_id", "party_id", "handler_id", "memo", "goods_id", "bill_date",
         "bill_code", "bill_type", "qty",
@@ -94,8 +90,7 @@ def adjustment_lines(t: Tables, period: Period | None = None) -> DataFrame:
 def _pos_branch(bill_table: DataFrame, line_table: DataFrame, period: Period | None) -> DataFrame:
     bills = bill_table.select("bill_id", "stock_id", "party_id", "handler_id", "bill_date",
                               "sequence_id", "memo")
-    joined = header_with_lines(_bills_in(bills, period), line_table, reduce=period is not None,
-                               header_table=bill_table, line_table=line_table)
+    joined = header_with_lines(_bills_in(bills, period), line_table, period)
     return joined.select(
         "bill_id", F.lit(X.RETAIL_BILL).cast("int").alias("bill_type"), "stock_id", "party_id",
         "handler_id", "bill_date", F.col("sequence_id").cast("string").alias("bill_code"),
@@ -112,17 +107,24 @@ def pos_hist_lines(t: Tables, period: Period | None = None) -> DataFrame:
     return _pos_branch(t.pos_bill_hist, t.pos_line_hist, period)
 
 
-def pos_lines(t: Tables, period: Period | None = None) -> DataFrame:
-    """B3 ∪ B4 with the department of the selling site (null if unknown)."""
+def pos_lines(t: Tables, period: Period | None = None, with_dept: bool = True) -> DataFrame:
+    """B3 ∪ B4 with the department of the selling site (null if unknown, or not asked for)."""
     pos = pos_open_lines(t, period).unionByName(pos_hist_lines(t, period))
-    with_dept = lookup_join(pos, t.stock_site, "stock_id", "left")
-    return _fact_contract(with_dept.withColumn("collect_amount", F.lit(0)))
+    if with_dept:
+        pos = lookup_join(pos, t.stock_site, "stock_id", "left", spread=("bill_id",))
+    else:
+        pos = pos.withColumn("dept_id", F.lit(None).cast(L))
+    return _fact_contract(pos.withColumn("collect_amount", F.lit(0)))
 
 
-def sale_facts(t: Tables, period: Period | None = None) -> DataFrame:
-    """The unified 14-column sale fact DataFrame (of one period if given)."""
+def sale_facts(t: Tables, period: Period | None = None, with_dept: bool = True) -> DataFrame:
+    """The unified 14-column sale fact DataFrame (of one period if given).
+
+    No report shows the department: they pass ``with_dept=False`` and save the
+    site join of the retail lines.
+    """
     return (stock_sale_lines(t, period).unionByName(adjustment_lines(t, period))
-            .unionByName(pos_lines(t, period)))
+            .unionByName(pos_lines(t, period, with_dept)))
 
 
 # ---------------------------------------------------------------- receivables
@@ -147,8 +149,7 @@ def receivables(t: Tables, detail: bool = False, period: Period | None = None) -
     if period is not None:
         hist = hist.filter(in_period_by_day("bill_date", period))
         stock_bills = stock_bills.filter(in_period_by_day("bill_date", period))
-        credit = semi_reduce(credit, hist.select("bill_id"), "bill_id", bound_by=(t.pos_bill_hist,))
-    pos = lookup_join(credit, hist, "bill_id", "inner", bound_by=t.pos_bill_hist).select(
+    pos = lookup_join(credit, hist, "bill_id", "inner").select(
         "bill_id", X.day_of("bill_date").alias("bill_date"), F.col("bill_date").alias("full_bill_date"),
         "party_id", F.lit(X.RETAIL_BILL).alias("bill_type"),
         F.col("collect_amount").alias("bill_amount"),
@@ -168,28 +169,20 @@ def receivables(t: Tables, detail: bool = False, period: Period | None = None) -
     return cast(pos).unionByName(cast(stock))
 
 
-def settlements(t: Tables, live_only: bool, for_receivables: DataFrame | None = None) -> DataFrame:
+def settlements(t: Tables, live_only: bool, receivable_types_only: bool = False) -> DataFrame:
     """Payment lines with their payment bill (live bills only if asked).
 
     ``live_only`` keeps the summary's semantics: a line whose bill is
     cancelled keeps no bill columns (the filter sits in the join condition).
-
-    ``for_receivables`` (bill_id, bill_type of the receivables at hand) cuts
-    payment lines and then payment bills down by semi-join reductions before
-    they are joined, so one period's report does not shuffle the whole
-    payment history.
+    ``receivable_types_only`` keeps payments of the types that are receivables.
     """
-    lines, pay_bills = t.pay_line, t.pay_bill
-    if for_receivables is not None:
-        lines = semi_reduce(lines.filter(F.col("use_bill_type").isin(X.SALE_INVOICE, X.RETAIL_BILL)),
-                            for_receivables, [("use_id", "bill_id"), ("use_bill_type", "bill_type")],
-                            bound_by=(t.stock_bill, t.pos_bill_hist))
-        pay_bills = semi_reduce(pay_bills, lines.select("pay_bill_id"), "pay_bill_id",
-                                bound_by=(t.pay_line,))
-    bills = pay_bills.select(
+    lines = t.pay_line
+    if receivable_types_only:
+        lines = lines.filter(F.col("use_bill_type").isin(X.SALE_INVOICE, X.RETAIL_BILL))
+    bills = t.pay_bill.select(
         "pay_bill_id", F.col("bill_type").alias("pay_bill_type"),
         F.col("bill_code").alias("pay_bill_code"), F.col("bill_date").alias("pay_bill_date"),
         F.col("use_id").alias("pay_use_id"))
     if live_only:
         bills = bills.filter(F.col("pay_use_id") >= 0)
-    return lookup_join(lines, bills, "pay_bill_id", "left", bound_by=t.pay_bill)
+    return lookup_join(lines, bills, "pay_bill_id", "left")

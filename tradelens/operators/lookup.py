@@ -1,138 +1,55 @@
-"""Joins for growing tables: size-checked broadcasts, semi-join reductions,
-NULL-key salting and a hot-key-safe left join.
-
-A dimension is broadcast only after a bounded count has shown that it has at
-most ``max_rows`` rows (``limit(max_rows + 1).count()`` never reads more
-than that many rows per partition). Bigger dimensions take an ordinary
-shuffle join on the key, where AQE may still switch to a broadcast at run
-time and splits skewed partitions.
-
-For a shuffle *left* join the fact rows with a NULL key never match, and in
-the source data they are the biggest group of all (cash sales carry no
-customer); hashed by the key alone they would all land in one task. They get
-a salt instead: a second join column that is 0 for real keys (and on the
-dimension side) and 1..NULL_SPREAD for NULL keys, taken from a hash of the
-row (deterministic, so task retries see the same placement). NULL-key rows
-spread over all partitions, still match nothing, and the input is computed
-once (no split-and-union of the fact side).
+"""Joins for growing tables.
+
+One plan per join at every size: nothing here counts rows, runs a job while a
+plan is built, or picks another plan for large inputs. Joins are plain
+equality joins; Spark's statistics and AQE decide whether a side is broadcast
+and split skewed partitions. Only fixed literal lists carry a broadcast hint.
+Two rewrites keep a hot key from landing in one task where AQE can't help:
+
+* salted keys (:func:`lookup_join` with ``spread``): rows whose key is NULL
+  (cash sales carry no customer) or one of the known hot values (a document
+  that was made from nothing has link 0, a cancelled one -1) are spread over
+  ``SPREAD`` partitions by a hash of columns the plan has anyway. The other
+  side's rows with a hot value are repeated for every salt;
+* :func:`left_join_split_hot_right` for a left join whose right side may hold
+  one huge group (AQE splits only the preserved side of an outer join).
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
-
-from pyspark.sql import Column, DataFrame, functions as F
-
-
-@dataclass
-class Bounds:
-    """Row bounds behind every broadcast decision.
-
-    ``broadcast_rows``: largest dimension / lookup side that is broadcast
-    (about 1M narrow rows, tens of MB per executor). ``reducer_rows``: largest
-    key set used for a broadcast semi-join reduction (keys only). Tests set
-    them to 0 to force the shuffle paths.
-    """
-
-    broadcast_rows: int = 1_000_000
-    reducer_rows: int = 5_000_000
-
-
-BOUNDS = Bounds()
-DEFAULT_MAX_BROADCAST_ROWS = None  # read BOUNDS.broadcast_rows at call time
-DEFAULT_MAX_REDUCER_ROWS = None    # read BOUNDS.reducer_rows at call time
 
-NULL_SPREAD = 1024
+from pyspark.sql import DataFrame, functions as F
 
-_bounded_cache: dict[tuple[int, int], tuple[DataFrame, bool]] = {}
-_CACHE_ENTRIES = 512
+SPREAD = 64
 
 
-def has_at_most(df: DataFrame, max_rows: int | None = None) -> bool:
-    """True when ``df`` has at most ``max_rows`` rows (bounded work, memoized)."""
-    limit = BOUNDS.broadcast_rows if max_rows is None else max_rows
-    hit = _bounded_cache.get((id(df), limit))
-    if hit is not None and hit[0] is df:
-        return hit[1]
-    result = df.limit(limit + 1).count() <= limit
-    if len(_bounded_cache) >= _CACHE_ENTRIES:  # oldest first (insertion order)
-        _bounded_cache.pop(next(iter(_bounded_cache)))
-    _bounded_cache[(id(df), limit)] = (df, result)
-    return result
-
-
-def lookup_join(fact: DataFrame, dim: DataFrame, keys: str | Sequence[str],
-                how: str = "left", max_rows: int | None = DEFAULT_MAX_BROADCAST_ROWS,
-                broadcast: bool | None = None, bound_by: DataFrame | None = None,
-                hot_right: bool = False) -> DataFrame:
+def lookup_join(fact: DataFrame, dim: DataFrame, keys: str | Sequence[str], how: str = "left",
+                spread: Sequence[str] = (), hot: Sequence[int] = (), broadcast: bool = False) -> DataFrame:
     """Join ``fact`` to ``dim`` on equally named ``keys``.
 
-    ``broadcast=None`` decides by the bounded row count of ``bound_by`` (the
-    table ``dim`` was projected / filtered from, so the check is memoized per
-    table) or of ``dim`` itself; True/False force it (True only for
-    dimensions built from a fixed literal list). ``hot_right`` marks a left
-    join whose right side may hold one huge key group (see
-    ``left_join_split_hot_right``); it is applied unless ``bound_by`` is
-    within the reducer bound (then no group can be large).
+    ``spread`` names columns of ``fact`` whose hash spreads rows with a NULL key
+    or with a first key among ``hot``. ``broadcast`` is for dimensions built
+    from a fixed literal list only.
     """
     key_list = [keys] if isinstance(keys, str) else list(keys)
-    if broadcast is None:
-        broadcast = has_at_most(bound_by if bound_by is not None else dim, max_rows)
     if broadcast:
-        dim = F.broadcast(dim)
-    if broadcast or how != "left":
+        return fact.join(F.broadcast(dim), key_list, how)
+    if not spread or how != "left":
         return fact.join(dim, key_list, how)
-    salted_fact, salted_dim, salted_keys = _salt_null_keys(fact, dim, key_list)
-    small_right = bound_by is not None and has_at_most(bound_by, BOUNDS.reducer_rows)
-    if hot_right and not small_right:
-        joined = left_join_split_hot_right(salted_fact, salted_dim, salted_keys)
+    spreads = F.lit(False)
+    for k in key_list:
+        spreads = spreads | F.col(k).isNull()
+    if hot:
+        spreads = spreads | F.col(key_list[0]).isin(*hot)
+    salt = F.pmod(F.xxhash64(*spread), F.lit(SPREAD)) + 1
+    salted = fact.withColumn("__salt", F.when(spreads, salt).otherwise(F.lit(0)))
+    if hot:
+        every = F.when(F.col(key_list[0]).isin(*hot), F.sequence(F.lit(1), F.lit(SPREAD))).otherwise(F.array(F.lit(0)))
+        dim = dim.withColumn("__salt", F.explode(every).cast("long"))
     else:
-        joined = salted_fact.join(salted_dim, salted_keys, "left")
-    return joined.drop("__null_salt")
-
-
-def _salt_null_keys(fact: DataFrame, dim: DataFrame,
-                    keys: list[str]) -> tuple[DataFrame, DataFrame, list[str]]:
-    any_null: Column = F.lit(False)
-    for k in keys:
-        any_null = any_null | F.col(k).isNull()
-    spread = F.pmod(F.xxhash64(*[F.col(c) for c in fact.columns]), F.lit(NULL_SPREAD)) + 1
-    salted_fact = fact.withColumn("__null_salt", F.when(any_null, spread).otherwise(F.lit(0)))
-    salted_dim = dim.withColumn("__null_salt", F.lit(0).cast("long"))
-    return salted_fact, salted_dim, keys + ["__null_salt"]
-
-
-
-def semi_reduce(big: DataFrame, small: DataFrame, on: Sequence[tuple[str, str]] | str,
-                max_rows: int | None = DEFAULT_MAX_REDUCER_ROWS,
-                bound_by: Sequence[DataFrame] = ()) -> DataFrame:
-    """Rows of ``big`` whose key occurs in ``small`` — a semi-join reduction.
-
-    Used before a join whose other side is already cut down (by the period, a
-    type list, an earlier reduction): when the bounded check shows ``small``
-    has at most ``max_rows`` rows, ``big`` is filtered by a broadcast
-    left-semi join while it is scanned, so only matching rows ever reach a
-    shuffle. Beyond the bound ``big`` is returned unchanged and the join
-    that follows shuffles both sides as usual. ``on`` is a column name or
-    ``(big_col, small_col)`` pairs. The reduction never changes a result:
-    the join that follows drops the same rows.
-
-    ``bound_by`` names the stored tables ``small`` was filtered from: when
-    they are within the bound together (a memoized check per table), so is
-    ``small`` and no check of its own is run.
-    """
-    pairs = [(on, on)] if isinstance(on, str) else list(on)
-    max_rows = BOUNDS.reducer_rows if max_rows is None else max_rows
-    bounded = bool(bound_by) and all(has_at_most(b, max_rows // len(bound_by)) for b in bound_by)
-    if not bounded and not has_at_most(small, max_rows):
-        return big
-    keys = small.select(*[F.col(s).alias(f"__k{i}") for i, (_, s) in enumerate(pairs)])
-    cond = None
-    for i, (b, _) in enumerate(pairs):
-        c = big[b] == keys[f"__k{i}"]
-        cond = c if cond is None else cond & c
-    return big.join(F.broadcast(keys), cond, "left_semi")
+        dim = dim.withColumn("__salt", F.lit(0).cast("long"))
+    return salted.join(dim, [*key_list, "__salt"], "left").drop("__salt")
 
 
 def left_join_split_hot_right(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:

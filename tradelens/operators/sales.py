@@ -22,7 +22,8 @@ COST_AMOUNT = "decimal(38,6)"
 
 
 def facts_in_period(t: Tables, period: Period) -> DataFrame:
-    return sale_facts(t, period)
+    """The facts a report needs: one period, without the department."""
+    return sale_facts(t, period, with_dept=False)
 
 
 def sales_by_party_goods(facts: DataFrame) -> DataFrame:
@@ -46,7 +47,7 @@ def product_sale_summary(t: Tables, period: Period, facts: DataFrame | None = No
     if by_goods is None:
         by_goods = sales_by_goods(facts if facts is not None else facts_in_period(t, period))
     goods = t.goods.select("goods_id", "goods_code", "goods_name", "ref_cost", "class_id")
-    joined = lookup_join(by_goods, goods, "goods_id", "inner", bound_by=t.goods)
+    joined = lookup_join(by_goods, goods, "goods_id", "inner")
     g = joined.groupBy("goods_name", "goods_code", "ref_cost", "goods_id", "class_id").agg(
         F.sum("amount").cast(SUM).alias("total_amount"),
         F.sum("qty").cast(SUM).alias("total_sale_quantity"))
@@ -66,7 +67,7 @@ def class_sale_summary(t: Tables, period: Period, product_summary: DataFrame | N
     """B10 regrouped by (class name, class code); unknown class → nulls."""
     b10 = product_summary if product_summary is not None else product_sale_summary(t, period)
     classes = t.goods_class.select("class_id", "class_code", "class_name")
-    joined = lookup_join(b10, classes, "class_id", "left", bound_by=t.goods_class)
+    joined = lookup_join(b10, classes, "class_id", "left", spread=("goods_id",))
     return joined.groupBy("class_name", "class_code").agg(
         F.sum("total_amount").cast(SUM).alias("total_sale_amount"),
         F.sum("reference_cost_amount").cast(COST_AMOUNT).alias("total_cost_amount"),

@@ -19,26 +19,19 @@ from pyspark.sql import DataFrame, functions as F
 
 from tradelens.functions import expressions as X
 from tradelens.functions.period import Period, in_period
-from tradelens.operators.lookup import lookup_join, semi_reduce
+from tradelens.operators.facts import lines_in
+from tradelens.operators.lookup import lookup_join
 from tradelens.sources.contract import Tables
 
 QTY_SUM = "decimal(38,2)"
 
 
-def stock_movements(t: Tables, goods_keys: DataFrame | None = None) -> DataFrame:
-    """Lines of stock-movement bills (1102, 1104, 1204) with type and date.
-
-    ``goods_keys`` (a ``goods_id`` column) restricts the lines to those goods
-    by a semi-join reduction before the all-time line ⋈ bill join.
-    """
+def stock_movements(t: Tables) -> DataFrame:
+    """Lines of stock-movement bills (1102, 1104, 1204) with type and date, all time."""
     bills = t.stock_bill.filter(F.col("bill_type").isin(*X.STOCK_MOVEMENT_TYPES)).select(
         "bill_id", "bill_type", "bill_date")
     lines = t.stock_line.select("bill_id", "goods_id", "qty")
-    if goods_keys is not None:
-        lines = semi_reduce(lines, goods_keys, "goods_id", bound_by=(t.goods,))
-    # all-time: the bill side is broadcast only while the stored bill table is
-    # provably small; otherwise lines and bills meet in a shuffle join
-    return lookup_join(lines, bills, "bill_id", "inner", bound_by=t.stock_bill)
+    return lookup_join(lines, bills, "bill_id", "inner")
 
 
 def net_stock_by_goods(t: Tables) -> DataFrame:
@@ -49,20 +42,20 @@ def net_stock_by_goods(t: Tables) -> DataFrame:
 
 def period_entry_by_goods(t: Tables, period: Period) -> DataFrame:
     """Σ qty of warehouse entries (1102 only) in the period, per goods."""
-    entries = stock_movements(t).filter(
-        (F.col("bill_type") == X.WAREHOUSE_ENTRY) & in_period("bill_date", period))
+    bills = t.stock_bill.filter((F.col("bill_type") == X.WAREHOUSE_ENTRY) & in_period("bill_date", period))
+    lines = lines_in(t.stock_line, period).select("bill_id", "goods_id", "qty")
+    entries = lookup_join(lines, bills.select("bill_id"), "bill_id", "inner")
     return entries.groupBy("goods_id").agg(F.sum("qty").cast(QTY_SUM).alias("total_import_cp"))
 
 
-def import_by_goods(t: Tables, period: Period, goods_keys: DataFrame | None = None) -> DataFrame:
+def import_by_goods(t: Tables, period: Period) -> DataFrame:
     """Both import totals per goods from one aggregation.
 
     In the two-level form period entries reach a goods row through an
     equality join on goods id, so the NULL-goods row never gets one; kept.
-    ``goods_keys`` limits the result to those goods (see ``stock_movements``).
     """
     in_cp = (F.col("bill_type") == X.WAREHOUSE_ENTRY) & in_period("bill_date", period)
-    g = stock_movements(t, goods_keys).groupBy("goods_id").agg(
+    g = stock_movements(t).groupBy("goods_id").agg(
         F.sum(F.when(in_cp, F.col("qty"))).cast(QTY_SUM).alias("total_import_cp"),
         F.sum(X.stock_signed("qty", "bill_type")).cast(QTY_SUM).alias("total_import"))
     return g.select("goods_id",
@@ -79,8 +72,8 @@ def net_stock_by_class(t: Tables, by_goods: DataFrame | None = None) -> DataFram
     goods_totals = (by_goods if by_goods is not None else net_stock_by_goods(t)).select(
         "goods_id", "total_import")
     goods = t.goods.select("goods_id", "class_id")
-    with_goods = lookup_join(goods_totals, goods, "goods_id", "inner", bound_by=t.goods)
+    with_goods = lookup_join(goods_totals, goods, "goods_id", "inner")
     with_class = lookup_join(with_goods, t.goods_class.select("class_id", "class_code", "class_name"),
-                             "class_id", "left", bound_by=t.goods_class)
+                             "class_id", "left", spread=("goods_id",))
     return with_class.groupBy("class_code", "class_name").agg(
         F.sum("total_import").cast(QTY_SUM).alias("total_import"))

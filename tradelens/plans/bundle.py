@@ -5,12 +5,12 @@ A group runs its reports against one :class:`SharedPlans`: the period's sale
 facts and their pre-aggregates are computed once and reused by every report
 of the group. Two ways to hold them:
 
-* ``share="persist"`` (default): ``persist(MEMORY_AND_DISK)``; a lost
-  executor's cached blocks are recomputed from their (short) lineage of
-  scans and joins; released when the group is written.
-* ``share="write"``: written to the shared checkpoint folder
+* ``share="write"`` (default): written to the shared checkpoint folder
   (``spark.checkpoint.dir``) and read back — lineage is cut and a lost
-  executor costs a re-read; for long chains of groups or flaky clusters.
+  executor costs a re-read; deleted when the group is written.
+* ``share="persist"``: ``persist(MEMORY_AND_DISK)``; a lost executor's cached
+  blocks are recomputed from their (short) lineage of scans and joins;
+  released when the group is written.
 """
 
 from __future__ import annotations
@@ -37,6 +37,11 @@ def staged(spark: SparkSession, run_id: str | None = None):
         df.write.mode("overwrite").parquet(path)
         return spark.read.parquet(path)
 
+    def release() -> None:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(base)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+    stage.release = release
     return stage
 
 
@@ -109,6 +114,18 @@ def column_layout_profile(df: DataFrame) -> DataFrame:
     return maxes.select(F.explode(F.array(*entries)).alias("e")).select("e.*")
 
 
+def with_display_headers(df: DataFrame) -> DataFrame:
+    """The columns under their display headers; a header that comes again gets a
+    number of trailing spaces, since a file's columns need different names."""
+    names: list[str] = []
+    for c in df.columns:
+        header = display_header(c)
+        while header in names:
+            header += " "
+        names.append(header)
+    return df.toDF(*names)
+
+
 def run_concurrently(reports: Mapping[str, DataFrame], sink: Callable[[str, DataFrame], None],
                      max_parallel: int = 4) -> None:
     """Hand every report to ``sink`` from up to ``max_parallel`` threads.
@@ -128,27 +145,32 @@ def run_concurrently(reports: Mapping[str, DataFrame], sink: Callable[[str, Data
 
 
 def write_report_bundle(spark: SparkSession, t: Tables, group: str, period: Period,
-                        out_dir: str, fmt: str = "parquet", share: str | None = "persist",
+                        out_dir: str, fmt: str = "parquet", share: str | None = "write",
                         max_parallel: int = 4) -> str:
     """S3: write every report of ``group`` under ``out_dir/<group>_<start>__<end>/``.
 
     Each report is written by the executors (one folder per report, many
     part files, sort order kept); the header manifest goes next to them.
-    ``fmt='csv'`` writes the rendered flavour (S5) with a header line.
+    ``fmt='csv'`` writes the rendered flavour (S5) under the display headers.
+    What the reports share is released, and its files deleted, also on error.
     Up to ``max_parallel`` reports are written at the same time.
     """
     shared = SharedPlans(t, period, stage=sharing(spark, share, f"{group}-{period.label}"))
-    reports = run_group(t, group, period, shared)
     folder = f"{out_dir.rstrip('/')}/{group}_{period.label}"
 
     def write(sheet: str, df: DataFrame) -> None:
         path = f"{folder}/{sheet}"
         if fmt == "csv":
-            render_report(df).write.mode("overwrite").option("header", True).csv(path)
+            # blanks are part of the header of a repeated column
+            (with_display_headers(render_report(df)).write.mode("overwrite").option("header", True)
+             .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
         else:
             df.write.mode("overwrite").parquet(path)
 
-    run_concurrently(reports, write, max_parallel)
-    header_manifest(spark, reports).coalesce(1).write.mode("overwrite").json(f"{folder}/_headers")
-    shared.release()
+    try:
+        reports = run_group(t, group, period, shared)
+        run_concurrently(reports, write, max_parallel)
+        header_manifest(spark, reports).coalesce(1).write.mode("overwrite").json(f"{folder}/_headers")
+    finally:
+        shared.release()
     return folder

@@ -22,7 +22,7 @@ from tradelens.functions.period import Period, in_period
 from tradelens.operators.anti import not_in
 from tradelens.operators.chain import bill_chain
 from tradelens.operators.facts import receivables, settlements
-from tradelens.operators.lookup import BOUNDS, has_at_most, lookup_join
+from tradelens.operators.lookup import left_join_split_hot_right, lookup_join
 from tradelens.operators.sales import (
     SUM, class_sale_summary, facts_in_period, product_sale_summary, sales_by_goods,
     sales_by_party_goods)
@@ -50,11 +50,13 @@ class SharedPlans:
         return self._cache[name]
 
     def release(self) -> None:
-        """Drop cached shared pieces (no-op for written or unstaged ones)."""
+        """Drop cached shared pieces and delete written ones."""
         for df in self._cache.values():
             if df.is_cached:
                 df.unpersist()
         self._cache.clear()
+        if hasattr(self._stage, "release"):
+            self._stage.release()
 
     def facts(self) -> DataFrame:
         """B6 restricted to the period (F1)."""
@@ -88,9 +90,8 @@ _CHAIN_KEYS = ("f_bill_id", "name_a", "a_bill_code", "a_qty", "a_bill_amount", "
                "name_link", "b_relation_from", "f_bill_date", "f_bill_amount")
 
 
-def _chain_report(t: Tables, a: DataFrame, b: DataFrame, with_amount_label: bool,
-                  selective: str) -> DataFrame:
-    chain = bill_chain(t, a, b.filter(F.col("relation_from").isNotNull()), selective=selective)
+def _chain_report(t: Tables, a: DataFrame, b: DataFrame, with_amount_label: bool) -> DataFrame:
+    chain = bill_chain(t, a, b.filter(F.col("relation_from").isNotNull()))
     chain = chain.filter(F.col("b_relation_from").isNotNull())
     g = chain.groupBy(*_CHAIN_KEYS).agg(F.sum("order_qty").cast(SUM).alias("quantity_3"))
     cols = [
@@ -114,7 +115,7 @@ def bill_relation_purchase(t: Tables, period: Period, shared: SharedPlans | None
     """Purchase invoices in the period → the bill they came from → its order."""
     browse = t.stock_bill_browse
     a = browse.filter((F.col("bill_type") == X.PURCHASE_INVOICE) & in_period("bill_date", period))
-    return _chain_report(t, a, browse, with_amount_label=False, selective="a")
+    return _chain_report(t, a, browse, with_amount_label=False)
 
 
 def bill_relation_sale(t: Tables, period: Period, shared: SharedPlans | None = None) -> DataFrame:
@@ -123,7 +124,7 @@ def bill_relation_sale(t: Tables, period: Period, shared: SharedPlans | None = N
     b = browse.filter((F.col("bill_type") == X.SALE_INVOICE) & in_period("bill_date", period))
     # the chain joins a.use_bill_type = b.bill_type, so only links to sale invoices can match
     a = browse.filter(F.col("use_bill_type") == X.SALE_INVOICE)
-    return _chain_report(t, a, b, with_amount_label=True, selective="b")
+    return _chain_report(t, a, b, with_amount_label=True)
 
 
 # ------------------------------------------------------------ Sale_Report
@@ -131,14 +132,7 @@ def bill_relation_sale(t: Tables, period: Period, shared: SharedPlans | None = N
 def product_sale(t: Tables, period: Period, shared: SharedPlans | None = None) -> DataFrame:
     """Per sold goods — amount, cost, profit, period entries, imports, move rate."""
     s = _shared(t, period, shared)
-    if shared is None and not has_at_most(t.stock_line, BOUNDS.reducer_rows):
-        # standalone over a large line history: only the goods sold in the
-        # period need all-time import totals, so the movement lines are
-        # reduced to them before the all-time line ⋈ bill join
-        imports = import_by_goods(t, period, goods_keys=s.facts().select("goods_id"))
-    else:
-        imports = s.imports()
-    joined = s.product_summary().join(imports, "goods_id", "left")
+    joined = s.product_summary().join(s.imports(), "goods_id", "left")
     return joined.orderBy(F.col("total_amount").desc()).select(
         "product_code", "product_name", "total_amount", "reference_cost_price",
         "reference_cost_amount", "reference_profit", "reference_profit_rate",
@@ -182,8 +176,8 @@ def customer_product(t: Tables, period: Period, shared: SharedPlans | None = Non
     """Per (customer name, goods name, goods code)."""
     s = _shared(t, period, shared)
     goods = t.goods.select("goods_id", "goods_code", "goods_name")
-    x = lookup_join(s.by_party_goods(), goods, "goods_id", "inner", bound_by=t.goods)
-    x = lookup_join(x, _party_names(t), "party_id", "left", bound_by=t.party)
+    x = lookup_join(s.by_party_goods(), goods, "goods_id", "inner")
+    x = lookup_join(x, _party_names(t), "party_id", "left", spread=("goods_id",))
     g = x.groupBy("name", "goods_name", "goods_code").agg(
         F.sum("qty").cast(SUM).alias("total_quantity"), F.sum("amount").cast(SUM).alias("total_amount"))
     return g.orderBy(F.col("name").asc(), F.col("total_amount").desc()).select(
@@ -194,11 +188,9 @@ def customer_product(t: Tables, period: Period, shared: SharedPlans | None = Non
 def customer_product_category(t: Tables, period: Period, shared: SharedPlans | None = None) -> DataFrame:
     """Per (customer name, class name)."""
     s = _shared(t, period, shared)
-    x = lookup_join(s.by_party_goods(), _party_names(t), "party_id", "left", bound_by=t.party)
-    x = lookup_join(x, t.goods.select("goods_id", "class_id"), "goods_id", "inner",
-                    bound_by=t.goods)
-    x = lookup_join(x, t.goods_class.select("class_id", "class_name"), "class_id", "left",
-                    bound_by=t.goods_class)
+    x = lookup_join(s.by_party_goods(), _party_names(t), "party_id", "left", spread=("goods_id",))
+    x = lookup_join(x, t.goods.select("goods_id", "class_id"), "goods_id", "inner")
+    x = lookup_join(x, t.goods_class.select("class_id", "class_name"), "class_id", "left", spread=("goods_id",))
     g = x.groupBy("name", "class_name").agg(
         F.sum("qty").cast(SUM).alias("total_quantity"), F.sum("amount").cast(SUM).alias("total_amount"))
     return g.orderBy(F.col("total_amount").desc()).select(
@@ -210,7 +202,7 @@ def customer_summary(t: Tables, period: Period, shared: SharedPlans | None = Non
     """Per customer name, over all facts (adjustments and line-less bills too)."""
     s = _shared(t, period, shared)
     by_party = s.by_party()
-    x = lookup_join(by_party, _party_names(t), "party_id", "left", bound_by=t.party)
+    x = lookup_join(by_party, _party_names(t), "party_id", "left")
     g = x.groupBy("name").agg(
         F.sum("qty").cast(SUM).alias("total_quantity"), F.sum("amount").cast(SUM).alias("total_amount"))
     return g.orderBy(F.col("total_amount").desc()).select(
@@ -222,8 +214,8 @@ def customer_detail(t: Tables, period: Period, shared: SharedPlans | None = None
     s = _shared(t, period, shared)
     facts = s.facts().select("party_id", "goods_id", "bill_date", "qty", "amount", "disc_rate")
     goods = t.goods.select("goods_id", "goods_code", "goods_name")
-    x = lookup_join(facts, goods, "goods_id", "inner", bound_by=t.goods)
-    x = lookup_join(x, _party_names(t), "party_id", "left", bound_by=t.party)
+    x = lookup_join(facts, goods, "goods_id", "inner")
+    x = lookup_join(x, _party_names(t), "party_id", "left", spread=("bill_date", "amount"))
     return x.orderBy(F.col("name").asc(), F.col("bill_date").asc(), F.col("amount").desc()).select(
         X.customer_name("name").alias("customer_name"), "bill_date",
         F.col("goods_code").alias("product_code"), F.col("goods_name").alias("product_name"),
@@ -249,27 +241,23 @@ def _receivables_in_period(t: Tables, period: Period, detail: bool) -> DataFrame
     return receivables(t, detail=detail, period=period)
 
 
-def _type_names(t: Tables, as_key: str, as_name: str) -> tuple[DataFrame, bool]:
-    names = t.bill_type.select(F.col("type_id").alias(as_key), F.col("name").alias(as_name))
-    return names, has_at_most(t.bill_type)
+def _type_names(t: Tables, as_key: str, as_name: str) -> DataFrame:
+    return t.bill_type.select(F.col("type_id").alias(as_key), F.col("name").alias(as_name))
 
 
 def receivable_summary(t: Tables, period: Period, shared: SharedPlans | None = None) -> DataFrame:
     """Receivables settled by live payment bills, per visible receivable and
-    per payment-bill status; receivables with no live payment drop out."""
+    per payment-bill status; receivables with no live payment drop out. The
+    payment bill's type name isn't shown, so it isn't joined (type ids are unique)."""
     a = _receivables_in_period(t, period, detail=False)
-    pays = settlements(t, live_only=True, for_receivables=a.select("bill_id", "bill_type")).filter(
-        F.col("pay_use_id").isNotNull() & F.col("use_bill_type").isin(X.SALE_INVOICE, X.RETAIL_BILL))
+    pays = settlements(t, live_only=True, receivable_types_only=True).filter(F.col("pay_use_id").isNotNull())
     # Σ cleared per paid bill and payment-bill status, before meeting the receivables
-    paid = pays.groupBy("use_id", "use_bill_type", "pay_use_id", "pay_bill_type").agg(
+    paid = pays.groupBy("use_id", "use_bill_type", "pay_use_id").agg(
         F.sum("cleared_amount").alias("cleared"))
     paid = paid.withColumnRenamed("use_id", "bill_id").withColumnRenamed("use_bill_type", "bill_type")
-    x = lookup_join(a, paid, ["bill_id", "bill_type"], "inner", bound_by=t.pay_line)
-    d, d_small = _type_names(t, "bill_type", "d_name")
-    x = lookup_join(x, d, "bill_type", "inner", broadcast=d_small)
-    e, e_small = _type_names(t, "pay_bill_type", "e_name")
-    x = lookup_join(x, e, "pay_bill_type", "left", broadcast=e_small)
-    x = lookup_join(x, _party_names(t), "party_id", "inner", bound_by=t.party)
+    x = lookup_join(a, paid, ["bill_id", "bill_type"], "inner")
+    x = lookup_join(x, _type_names(t, "bill_type", "d_name"), "bill_type", "inner")
+    x = lookup_join(x, _party_names(t), "party_id", "inner")
     g = x.groupBy("d_name", "name", "bill_code", "bill_date", "bill_amount",
                   "original_bill_amount", "full_bill_date", "pay_use_id", "status").agg(
         F.coalesce(F.sum("cleared"), F.lit(0)).cast(SUM).alias("paid_amount"))
@@ -284,16 +272,13 @@ def receivable_summary(t: Tables, period: Period, shared: SharedPlans | None = N
 def receivable_detail(t: Tables, period: Period, shared: SharedPlans | None = None) -> DataFrame:
     """One row per receivable and payment line; unpaid receivables kept."""
     a = _receivables_in_period(t, period, detail=True)
-    pays = settlements(t, live_only=False, for_receivables=a.select("bill_id", "bill_type")).filter(
-        F.col("use_bill_type").isin(X.SALE_INVOICE, X.RETAIL_BILL)).select(
+    pays = settlements(t, live_only=False, receivable_types_only=True).select(
         F.col("use_id").alias("bill_id"), F.col("use_bill_type").alias("bill_type"),
         "cleared_amount", "pay_bill_type", "pay_bill_code", "pay_bill_date", "pay_use_id")
-    x = lookup_join(a, pays, ["bill_id", "bill_type"], "left", bound_by=t.pay_line, hot_right=True)
-    d, d_small = _type_names(t, "bill_type", "d_name")
-    x = lookup_join(x, d, "bill_type", "inner", broadcast=d_small)
-    e, e_small = _type_names(t, "pay_bill_type", "e_name")
-    x = lookup_join(x, e, "pay_bill_type", "left", broadcast=e_small)
-    x = lookup_join(x, _party_names(t), "party_id", "inner", bound_by=t.party)
+    x = left_join_split_hot_right(a, pays, ["bill_id", "bill_type"])
+    x = lookup_join(x, _type_names(t, "bill_type", "d_name"), "bill_type", "inner")
+    x = lookup_join(x, _type_names(t, "pay_bill_type", "e_name"), "pay_bill_type", "left", spread=("bill_id",))
+    x = lookup_join(x, _party_names(t), "party_id", "inner")
     return x.orderBy(F.col("status").desc(), F.col("full_bill_date").desc(),
                      F.col("bill_code").desc()).select(
         F.col("d_name").alias("bill_name_1"),

@@ -73,15 +73,32 @@ SCHEMAS: dict[str, T.StructType] = {
 
 TABLE_NAMES = tuple(SCHEMAS)
 
+# Columns that only are shown, never joined, filtered or summed: a source may lack them.
+_SHOWN = ("dept_id", "handler_id", "memo")
+OPTIONAL: dict[str, tuple[str, ...]] = {
+    "stock_bill": _SHOWN, "adj_bill": _SHOWN,
+    "pos_bill": ("handler_id", "memo"), "pos_bill_hist": ("handler_id", "memo"),
+    "party": ("address", "postcode", "contact", "tele", "mobile", "fax", "email", "website",
+              "country", "company", "city", "create_date"),
+}
+
+# Year and month (yyyymm) of a line's bill, in line tables written by ``write_monthly_tables``.
+MONTH = "bill_month"
+LINE_HEADERS = {"stock_line": "stock_bill", "pos_line": "pos_bill", "pos_line_hist": "pos_bill_hist"}
+
 
 def conform(df: DataFrame, table: str) -> DataFrame:
     """Project ``df`` onto the contract of ``table``: select, cast, order.
 
-    Missing optional columns become typed NULLs, extra columns are dropped
-    (so column pruning reaches the scan).
+    Missing ``OPTIONAL`` columns become typed NULLs, any other missing column
+    raises ``ValueError``. Extra columns are dropped (so column pruning reaches
+    the scan), but a line table keeps its ``MONTH``.
     """
     schema = SCHEMAS[table]
     have = {f.name: f.dataType for f in df.schema.fields}
+    missing = [f.name for f in schema.fields if f.name not in have and f.name not in OPTIONAL.get(table, ())]
+    if missing:
+        raise ValueError(f"table {table} lacks the columns {missing}")
     if list(have.items()) == [(f.name, f.dataType) for f in schema.fields]:
         return df
     cols = []
@@ -91,6 +108,8 @@ def conform(df: DataFrame, table: str) -> DataFrame:
             continue
         src = F.col(field.name) if field.name in have else F.lit(None)
         cols.append(src.cast(field.dataType).alias(field.name))
+    if table in LINE_HEADERS and MONTH in have:
+        cols.append(F.col(MONTH))
     return df.select(*cols)
 
 

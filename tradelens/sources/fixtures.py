@@ -56,6 +56,11 @@ def _cash_party(orders_alias: str = "") -> Column:
         F.col("o_custkey") + 1)
 
 
+# customers' contact columns: these prefixes and the customer key
+CONTACT_PREFIXES = (("address", "Street "), ("postcode", "Z"), ("contact", "Contact "), ("tele", "T"),
+                    ("mobile", "M"), ("fax", "F"), ("email", "mail@"), ("website", "www."), ("company", "Company "))
+
+
 def _stock_bill_specs(k: Column) -> list[dict]:
     status = F.col("o_orderstatus")
     cash = _cash_party()
@@ -91,15 +96,27 @@ def _union(dfs: list[DataFrame]) -> DataFrame:
     return out
 
 
+def _of_each_spec(src: DataFrame, key: Column, columns) -> DataFrame:
+    """One row per source row and spec that applies to it, from one scan: ``columns(spec)``
+    gives the row (None: the spec doesn't apply)."""
+    rows = []
+    for spec in _stock_bill_specs(key):
+        row, applies = columns(spec)
+        rows.append(row if applies is None else F.when(applies, row))
+    return src.select(F.explode(F.array_compact(F.array(*rows))).alias("r")).select("r.*")
+
+
 def _stock_bills_ext(orders: DataFrame) -> DataFrame:
     """stock_bill plus the browse-view link columns (use_bill_type, relation_from)."""
     k = F.col("o_orderkey")
-    parts = []
-    for s in _stock_bill_specs(k):
-        src = orders if s["where"] is None else orders.filter(s["where"])
-        parts.append(src.select(
+
+    def columns(s):
+        return F.struct(
             (F.lit(s["offset"]) + k + 1).cast("bigint").alias("bill_id"),
+            (k % 7 + 1).cast("bigint").alias("dept_id"),
             s["party"].cast("bigint").alias("party_id"),
+            (k % 11 + 1).cast("bigint").alias("handler_id"),
+            _code("memo ", k % 100).alias("memo"),
             _plus_days(F.col("o_orderdate"), s["days"]).alias("bill_date"),
             _code(f"B{s['type']}-", k + 1).alias("bill_code"),
             F.lit(s["type"]).cast("int").alias("bill_type"),
@@ -109,27 +126,28 @@ def _stock_bills_ext(orders: DataFrame) -> DataFrame:
             .alias("use_bill_type"),
             (s["rel"] if s["rel"] is not None else F.lit(None)).cast("string")
             .alias("relation_from"),
-        ))
-    return _union(parts)
+        ), s["where"]
+
+    return _of_each_spec(orders, k, columns)
 
 
 def _stock_lines(lineitem: DataFrame) -> DataFrame:
     k = F.col("l_orderkey")
-    parts = []
-    for s in _stock_bill_specs(k):
-        cond = s["where"]
+
+    def columns(s):
+        applies = s["where"]
         if s["type"] == 1199:
-            cond = cond & (F.col("l_returnflag") == "R")
-        src = lineitem if cond is None else lineitem.filter(cond)
-        parts.append(src.select(
+            applies = applies & (F.col("l_returnflag") == "R")
+        return F.struct(
             (F.lit(s["offset"]) + k + 1).cast("bigint").alias("bill_id"),
             (F.col("l_partkey") + 1).alias("goods_id"),
             _m(F.col("l_quantity")).alias("qty"),
             _m(F.col("l_extendedprice")).alias("price"),
             _m(F.col("l_extendedprice")).alias("amount"),
             (F.lit(1) - F.col("l_discount")).cast(RATE).alias("disc_rate"),
-        ))
-    return conform(_union(parts), "stock_line")
+        ), applies
+
+    return conform(_of_each_spec(lineitem, k, columns), "stock_line")
 
 
 def _pos(events: DataFrame, hist: bool) -> tuple[DataFrame, DataFrame]:
@@ -145,6 +163,8 @@ def _pos(events: DataFrame, hist: bool) -> tuple[DataFrame, DataFrame]:
         .alias("party_id"),
         _plus_days(F.col("ts"), -POS_DAY_SHIFT).alias("bill_date"),
         eid.alias("sequence_id"),
+        (eid % 13 + 1).alias("handler_id"),
+        _code("till ", eid % 20).alias("memo"),
     ]
     if hist:
         bill_cols += [amount.alias("bill_amount"), _code("R", eid).alias("custom_code")]
@@ -179,6 +199,10 @@ def derive_tables(spark: SparkSession, sf_dir: str) -> Tables:
         (F.lit(90_000_000) + k + 1).alias("bill_id"),
         _cash_party().alias("party_id"),
         F.col("o_orderdate").alias("bill_date"),
+        _code("B1402-", k + 1).alias("bill_code"),
+        (k % 7 + 1).alias("dept_id"),
+        (k % 11 + 1).alias("handler_id"),
+        _code("adjusted ", k % 100).alias("memo"),
         F.lit(1402).alias("bill_type"),
         _m(F.col("o_totalprice")).alias("bill_amount"),
         F.when(F.col("o_orderstatus") == "P", F.lit(-1)).otherwise(F.lit(0)).alias("use_id"),
@@ -209,6 +233,8 @@ def derive_tables(spark: SparkSession, sf_dir: str) -> Tables:
     never_sold = nation.select(
         (F.lit(NEVER_SOLD_GOODS_BASE) + F.col("n_nationkey")).alias("goods_id"),
         _code("X", F.col("n_nationkey")).alias("goods_code"),
+        F.lit(None).cast("string").alias("goods_name"),
+        F.lit(None).cast("string").alias("model"),
         F.lit(1).alias("class_id"),
         _dec("1").alias("sale_price"),
         _dec("0.6").alias("ref_cost"),
@@ -223,7 +249,10 @@ def derive_tables(spark: SparkSession, sf_dir: str) -> Tables:
         (F.col("c_custkey") + 1).alias("party_id"),
         _code("C", F.col("c_custkey") + 1).alias("code"),
         F.col("c_name").alias("name"),
+        *[_code(prefix, F.col("c_custkey")).alias(column) for column, prefix in CONTACT_PREFIXES],
         F.col("n_name").alias("country"),
+        _code("City ", F.col("c_custkey") % 50).alias("city"),
+        F.expr("timestamp_ntz'1995-01-01 00:00:00' + make_dt_interval(cast(c_custkey % 365 as int))").alias("create_date"),
         F.lit(30700).alias("function_id"),
         F.when(F.col("c_acctbal") < 0, F.lit(1)).otherwise(F.lit(0)).alias("no_use"),
     ), "party").unionByName(conform(supplier.select(
