@@ -13,7 +13,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tradelens.llm.common import WORD
+from tradelens.llm.common import WORD, materialize
 
 #: The symbols of the rule, and the character classes of the histogram (one per line,
 #: as the characters that each class removes; letters outside ASCII and all other characters follow).
@@ -122,7 +122,8 @@ def judge_quality(docs: DataFrame) -> DataFrame:
         df = df.withColumn("found", F.array(*[
             F.size(F.array_remove("common", v)).cast("double") for v in vocabulary]))
         df = df.withColumn("found", F.transform("found", lambda kept: F.size("common") - kept))
-    df = df.drop("words", "common") if vocabulary else df.drop("words")
+    df = df.drop("words", "text", "common") if vocabulary else df.drop("words", "text")
+    df = materialize(df, "document-histograms")  # one pass over the texts for references and verdicts
 
     # the references: sums over all documents of a language (languages x bins values)
     n_classes = len(CLASSES) + 2
