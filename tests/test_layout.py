@@ -43,8 +43,6 @@ def test_period_is_pushed_into_every_header_scan(spark, tmp_path):
     for table in ("stock_bill", "adj_bill", "pos_bill", "pos_bill_hist"):
         hits = [s for s in scans if f"/{table}]" in s and "GreaterThanOrEqual(bill_date,1997-01-01T00:00" in s]
         assert hits, f"period not pushed into the {table} scan"
-    # line tables are reduced by a broadcast semi join, never scanned into a shuffle whole
-    assert "LeftSemi" in plan
     recv = R.receivable_summary(t, TEST_PERIOD)._jdf.queryExecution().executedPlan().toString()
     assert "LessThan(bill_date,1997-01-22T00:00" in recv  # sargable whole extra day
     spark.conf.unset("spark.sql.maxMetadataStringLength")
@@ -97,4 +95,4 @@ def test_cli_writes_groups(spark, tmp_path):
     folder = out / "Customer_Report_1997-01-01__1997-01-20"
     back = spark.read.option("header", True).csv(str(folder / "Customer_Summary"))
     assert back.count() == R.customer_summary(derive_tables(spark, SF), TEST_PERIOD).count()
-    assert back.columns == ["customer_name", "total_quantity", "total_amount"]
+    assert back.columns == ["Customer_Name", "Total_Quantity", "Total_Amount"]

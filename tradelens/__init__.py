@@ -11,12 +11,11 @@ Layout:
                 and the test-data derivation used by the oracle checks
 * ``functions`` column expressions: period predicates, sign rules, guarded
                 ratios, day truncation, column width profile
-* ``operators`` reusable sub-plans: size-checked lookup joins, the
+* ``operators`` reusable sub-plans: lookup joins with salted hot keys, the
                 null-aware anti join, sale facts, stock totals, bill chains,
                 receivables and settlements
 * ``plans``     the twelve reports and the report bundle (grouping, staging,
                 distributed writes)
-* ``streaming`` intentionally empty: the source system has no streams
 """
 
 from tradelens.functions.period import Period

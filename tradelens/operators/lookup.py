@@ -46,7 +46,7 @@ def lookup_join(fact: DataFrame, dim: DataFrame, keys: str | Sequence[str], how:
     salted = fact.withColumn("__salt", F.when(spreads, salt).otherwise(F.lit(0)))
     if hot:
         every = F.when(F.col(key_list[0]).isin(*hot), F.sequence(F.lit(1), F.lit(SPREAD))).otherwise(F.array(F.lit(0)))
-        dim = dim.withColumn("__salt", F.explode(every).cast("long"))
+        dim = dim.withColumn("__salt", F.explode(every.cast("array<bigint>")))
     else:
         dim = dim.withColumn("__salt", F.lit(0).cast("long"))
     return salted.join(dim, [*key_list, "__salt"], "left").drop("__salt")
