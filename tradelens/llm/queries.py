@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tradelens.llm.common import read, ship_package
 from tradelens.llm.decontaminate import judge_leaks
 from tradelens.llm.jaccard_join import jaccard_components
 from tradelens.llm.language_id import identify
 from tradelens.llm.line_dedup import dedup_report
+from tradelens.llm.oracle import ORACLE_SQL  # noqa: F401  (re-exported)
 from tradelens.llm.packing import packed_digest
 from tradelens.llm.quality_mil import score_quality
 from tradelens.llm.quality_rules import judge_quality
@@ -58,7 +59,7 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge_urls(read(spark, sf_dir, "pages"), RULES)
+    return judge_urls(read(spark, sf_dir, "pages"), RULES).withColumn("block_share", F.round("block_share", 9))
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,6 +77,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_url_filter": op9_url_filter,
     "op10_language_id": op10_language_id,
-}
-
-ORACLE_SQL: dict[str, str] = {}
+}
\ No newline at end of file
