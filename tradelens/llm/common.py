@@ -5,11 +5,17 @@ from __future__ import annotations
 import os
 import shutil
 import tempfile
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tradelens.session import scratch_path
 
+#: Bits of the bitmaps that tell which rows a later join needs: 4 MB, whatever the input.
+BITMAP_BITS = 1 << 25
+
 # Words of the contracts: runs of bytes other than space and \t..\r. The same
 # rule is ``bytes.split()`` in Python (ASCII white space only).
 WORD = r"[^\x20\x09-\x0D]+"
@@ -46,6 +52,39 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bitmap_of(keys: DataFrame, key: Column) -> np.ndarray:
+    """Bitmap (one bit each, by hash) of a table's keys; at most BITMAP_BITS / 64 rows reach the driver."""
+    slot = F.pmod(key, F.lit(BITMAP_BITS))
+    longs = (keys.select(slot.alias("slot")).groupBy(F.shiftright("slot", 6).alias("k"))
+             .agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"),
+                                           F.col("slot").bitwiseAND(F.lit(63)).cast("int"))).alias("bits")).toArrow())
+    out = np.zeros(BITMAP_BITS >> 6, "i8")
+    out[longs.column("k").to_numpy()] = longs.column("bits").to_numpy()
+    return out.view("u8")
+
+
+def split_by_bitmap(df: DataFrame, key: Column, bitmap: np.ndarray) -> tuple[DataFrame, DataFrame]:
+    """(rows whose key is in the bitmap, all others).
+
+    A join that concerns few rows then shuffles those (and few others, by
+    chance) and leaves the rest where it is. With very many keys the bitmap
+    fills up and the first part approaches the whole table; both stay right.
+    """
+    shared = df.sparkSession.sparkContext.broadcast(bitmap)
+    slotted = df.withColumn("__slot", F.pmod(key, F.lit(BITMAP_BITS)))
+
+    def rows(wanted: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                slots = batch.column(batch.num_columns - 1).to_numpy()
+                hit = ((shared.value[slots >> 6] >> (slots & 63).astype("u8")) & np.uint64(1)).astype(bool)
+                yield batch.filter(pa.array(hit == wanted)).select(batch.schema.names[:-1])
+
+        return slotted.mapInArrow(run, df.schema)
+
+    return rows(True), rows(False)
+
+
 def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tradelens.llm.common import materialize, text_or_empty
+from tradelens.llm.common import bitmap_of, materialize, split_by_bitmap, text_or_empty
 
 GRAM_WORDS, WINDOW_WORDS = 30, 50
 
@@ -132,9 +132,11 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     gone = materialize(repeated_lines(docs), "repeated-lines").select(
         F.col("doc_id").alias("__id"), F.col("h").alias("__h"), "gone")
     doc_id, h = _key()
-    joined = (docs.withColumn("__id", doc_id).withColumn("__h", h)
-              .join(gone, ["__id", "__h"], "left").drop("__id", "__h"))
-    at = docs.columns.index("text")
+    key = F.xxhash64("__id", "__h")
+    marked = docs.withColumn("__id", doc_id).withColumn("__h", h)
+    hit, rest = split_by_bitmap(marked, key, bitmap_of(gone, key))  # only texts that lose lines are shuffled
+    joined = hit.join(gone.hint("merge"), ["__id", "__h"], "left").drop("__id", "__h")
+    at = joined.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -142,7 +144,8 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
                 batch.column(at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True)]
             yield batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
 
-    return joined.mapInArrow(run, joined.schema)
+    whole = rest.drop("__id", "__h").withColumn("gone", F.lit(None).cast("array<int>"))
+    return whole.unionByName(joined.mapInArrow(run, joined.schema))
 
 
 def _without(text: str, gone: set[int]) -> str:
