@@ -14,6 +14,7 @@ one number per language and piece reaches the driver.
 
 from __future__ import annotations
 
+import functools
 import json
 import re
 from collections import Counter, defaultdict
@@ -29,6 +30,8 @@ from tradelens.llm.pretokens import _LETTER, _NOT_SIMPLE, DEFAULT_TOKENIZER, _by
 
 #: Letters of the longest piece; rounds of expectation-maximisation; pseudo-count; probability of an unknown letter.
 LONGEST, ROUNDS, PSEUDO_COUNT, UNKNOWN = 8, 3, 0.1, 1e-8
+#: Letters up to which a word's sums are taken without logarithms: UNKNOWN ** 34 is far above the least double.
+SHORT_WORD = 32
 #: Words whose scores a task remembers before it starts anew; distinct words it gathers before it passes them on.
 REMEMBERED, COMBINE_WORDS = 1_000_000, 500_000
 
@@ -96,8 +99,29 @@ class Segmenter:
         return out
 
     @staticmethod
-    def forward(pieces: list[np.ndarray], log_p: np.ndarray) -> np.ndarray:
-        """Log sums (words, places, languages) over segmentations up to each place; log_p has a last row of -inf."""
+    def forward(pieces: list[np.ndarray], p: np.ndarray) -> np.ndarray:
+        """Sums (words, places, languages) over segmentations up to each place; p has a last row of 0."""
+        n, length = pieces[0].shape
+        alpha = np.zeros((n, length + 1, p.shape[1]))
+        alpha[:, 0] = 1
+        for end in range(1, length + 1):
+            for k in range(1, min(end, len(pieces)) + 1):
+                alpha[:, end] += alpha[:, end - k] * p[pieces[k - 1][:, end - k]]
+        return alpha
+
+    @staticmethod
+    def backward(pieces: list[np.ndarray], p: np.ndarray) -> np.ndarray:
+        n, length = pieces[0].shape
+        beta = np.zeros((n, length + 1, p.shape[1]))
+        beta[:, length] = 1
+        for start in range(length - 1, -1, -1):
+            for k in range(1, min(length - start, len(pieces)) + 1):
+                beta[:, start] += beta[:, start + k] * p[pieces[k - 1][:, start]]
+        return beta
+
+    @staticmethod
+    def log_forward(pieces: list[np.ndarray], log_p: np.ndarray) -> np.ndarray:
+        """The same in logarithms, for words so long that the sums would underflow."""
         n, length = pieces[0].shape
         alpha = np.full((n, length + 1, log_p.shape[1]), -np.inf)
         alpha[:, 0] = 0
@@ -107,7 +131,7 @@ class Segmenter:
         return alpha
 
     @staticmethod
-    def backward(pieces: list[np.ndarray], log_p: np.ndarray) -> np.ndarray:
+    def log_backward(pieces: list[np.ndarray], log_p: np.ndarray) -> np.ndarray:
         n, length = pieces[0].shape
         beta = np.full((n, length + 1, log_p.shape[1]), -np.inf)
         beta[:, length] = 0
@@ -118,19 +142,21 @@ class Segmenter:
 
     def score(self, words: list[str], log_p: np.ndarray) -> np.ndarray:
         """(words, languages): log probability of each word."""
-        out, by_length = np.empty((len(words), log_p.shape[1])), defaultdict(list)
+        out, by_length, p = np.empty((len(words), log_p.shape[1])), defaultdict(list), np.exp(log_p)
         for i, w in enumerate(words):
             by_length[len(w)].append(i)
         for length, rows in by_length.items():
             step = max(1, 2_000_000 // ((length + 1) * log_p.shape[1]))  # bounded memory
             for a in range(0, len(rows), step):
                 part = rows[a:a + step]
-                out[part] = self.forward(self.pieces([" " + words[i] for i in part]), log_p)[:, -1]
+                pieces = self.pieces([" " + words[i] for i in part])
+                out[part] = (np.log(self.forward(pieces, p)[:, -1]) if length <= SHORT_WORD
+                             else self.log_forward(pieces, log_p)[:, -1])
         return out
 
     def expected(self, words: list[str], counts: np.ndarray, log_p: np.ndarray) -> np.ndarray:
         """Expected number of each piece (and of unknown letters) in words of one language."""
-        total, by_length = np.zeros(self.unknown + 1), defaultdict(list)
+        total, by_length, p = np.zeros(self.unknown + 1), defaultdict(list), np.exp(log_p)
         for i, w in enumerate(words):
             by_length[len(w)].append(i)
         for length, rows in by_length.items():
@@ -138,15 +164,26 @@ class Segmenter:
             for a in range(0, len(rows), step):
                 part = rows[a:a + step]
                 pieces = self.pieces([" " + words[i] for i in part])
-                alpha, beta = self.forward(pieces, log_p)[..., 0], self.backward(pieces, log_p)[..., 0]
-                weight = np.log(counts[part])[:, None] - alpha[:, -1:]
+                if length <= SHORT_WORD:
+                    alpha, beta = self.forward(pieces, p)[..., 0], self.backward(pieces, p)[..., 0]
+                    weight = counts[part][:, None] / alpha[:, -1:]
+                else:
+                    alpha, beta = self.log_forward(pieces, log_p)[..., 0], self.log_backward(pieces, log_p)[..., 0]
+                    weight = np.log(counts[part])[:, None] - alpha[:, -1:]
                 for k, ids in enumerate(pieces, 1):
-                    share = np.exp(alpha[:, :ids.shape[1]] + log_p[ids, 0] + beta[:, k:] + weight)
+                    share = (alpha[:, :ids.shape[1]] * p[ids, 0] * beta[:, k:] * weight if length <= SHORT_WORD
+                             else np.exp(alpha[:, :ids.shape[1]] + log_p[ids, 0] + beta[:, k:] + weight))
                     known = ids >= 0
                     total += np.bincount(ids[known], share[known], len(total))
         return total
 
 
+@functools.lru_cache(maxsize=2)
+def load_segmenter(tokenizer: str) -> Segmenter:
+    """One instance per Python worker."""
+    return Segmenter(read_vocabulary(tokenizer))
+
+
 def _log_table(p: np.ndarray) -> np.ndarray:
     """Rows: pieces, the unknown letter, and -inf for what is no piece (index -1)."""
     return np.vstack([np.log(p), np.full((1, p.shape[1]), np.log(UNKNOWN)), np.full((1, p.shape[1]), -np.inf)])
@@ -187,7 +224,7 @@ def learn(docs: DataFrame, tokenizer: str = DEFAULT_TOKENIZER) -> tuple[list[str
         log_p = docs.sparkSession.sparkContext.broadcast(_log_table(p))  # vocabulary x languages
 
         def expect(batches: Iterator[pa.RecordBatch], log_p=log_p) -> Iterator[pa.RecordBatch]:
-            segmenter, total = Segmenter(read_vocabulary(tokenizer)), {}
+            segmenter, total = load_segmenter(tokenizer), {}
             for batch in batches:
                 langs = np.asarray(batch.column(0).to_pylist(), object)
                 all_words, n = np.asarray(batch.column(1).to_pylist(), object), batch.column(2).to_numpy()
@@ -224,7 +261,7 @@ def identify(docs: DataFrame, tokenizer: str = DEFAULT_TOKENIZER) -> DataFrame:
     log_p = docs.sparkSession.sparkContext.broadcast(_log_table(p))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        segmenter, row_of, scores = Segmenter(read_vocabulary(tokenizer)), {}, np.empty((0, len(languages)))
+        segmenter, row_of, scores = load_segmenter(tokenizer), {}, np.empty((0, len(languages)))
         for batch in batches:
             found = [Counter(letter_words(t)) for t in batch.column(2).to_pylist()]
             if len(row_of) > REMEMBERED:
