@@ -33,7 +33,7 @@ LONGEST, ROUNDS, PSEUDO_COUNT, UNKNOWN = 8, 3, 0.1, 1e-8
 #: Letters up to which a word's sums are taken without logarithms: UNKNOWN ** 34 is far above the least double.
 SHORT_WORD = 32
 #: Words whose scores a task remembers before it starts anew; distinct words it gathers before it passes them on.
-REMEMBERED, COMBINE_WORDS = 1_000_000, 500_000
+REMEMBERED, COMBINE_WORDS = 300_000, 300_000
 
 _SIMPLE_WORD = re.compile(f"[{_LETTER}]+")
 _ANY_WORD = regex.compile(r"\p{L}+")

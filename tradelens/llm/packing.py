@@ -24,7 +24,7 @@ from tradelens.llm.common import materialize, text_or_empty
 from tradelens.llm.pretokens import DEFAULT_TOKENIZER, load_tokens
 
 #: Pre-tokens whose ids a worker remembers before it starts anew (bounded memory).
-REMEMBERED = 1_000_000
+REMEMBERED = 300_000
 
 
 class _Ids(dict):

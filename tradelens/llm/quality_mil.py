@@ -29,7 +29,7 @@ PASSAGE_WORDS, BUCKETS, ENCODING, ATTENTION = 64, 256, 24, 16
 SAMPLE_DOCS, SAMPLE_PASSAGES = 3000, 32
 EPOCHS, BATCH_DOCS, RATE, DECAY, SEED = 25, 64, 5e-3, 1e-4, 7
 #: Words a task remembers before it starts anew; words it encodes at once.
-REMEMBERED, CHUNK_WORDS = 500_000, 200_000
+REMEMBERED, CHUNK_WORDS = 200_000, 200_000
 
 _WORD_STATS = 9  # per word; the passage adds its distinct, repeated and total words
 _STATS = _WORD_STATS + 3

@@ -7,7 +7,7 @@ import hashlib
 import numpy as np
 import xxhash
 
-_REMEMBERED = 1_000_000
+_REMEMBERED = 200_000
 _MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
 
 
