@@ -172,6 +172,40 @@ def test_runs_of_short_lines_are_found_and_extended(spark):
     assert out[2].text == texts[2]  # 20 words are too few
 
 
+def left_of_repeated_runs(rows, words=50):
+    """(doc_id, line) of lines in a run of so many words that stands at an earlier place, by brute force."""
+    seen, want = set(), set()
+    for doc_id, text in sorted(rows):
+        lines = [(i, tuple(x.split())) for i, x in enumerate(text.split("\n")) if x.split()]
+        for end in range(1, len(lines) + 1):  # by end: only what stands earlier is seen
+            for start in range(end):
+                run = tuple(x for _, x in lines[start:end])
+                if sum(map(len, run)) >= words:
+                    if run in seen:
+                        want |= {(doc_id, i) for i, _ in lines[start:end]}
+                    seen.add(run)
+    return want
+
+
+def test_three_documents_share_different_parts(spark):
+    rng = random.Random(11)
+    lines = [" ".join(f"w{k}x{j}" for j in range(n)) for k, n in enumerate([31, 20, 8, 12, 45, 3, 33, 9, 27, 60])]
+    # each long line first among others, then in runs that later documents repeat in part
+    texts = [f"only a{k}\n{line}\nonly b{k}" for k, line in enumerate(lines) if len(line.split()) > 29]
+    for _ in range(40):
+        a, n = rng.randrange(len(lines) - 2), rng.randint(2, 6)
+        texts.append(f"head {len(texts)}\n" + "\n".join(lines[a:a + n]) + f"\n\ntail {len(texts)}")
+    rows = list(enumerate(texts))
+    got = {r.doc_id: set(r.gone or ()) for r in dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = left_of_repeated_runs(rows)
+    assert len(want) > 50 and not {(d, i) for d, i in want if i not in got[d]}
+    seen = set()
+    for doc_id, text in rows:  # whatever goes stands earlier
+        for i, line in enumerate(text.split("\n")):
+            assert i not in got[doc_id] or line in seen
+            seen.add(line)
+
+
 def test_line_dedup_edge_rows(edge_docs, no_docs):
     out = dedup_lines(edge_docs)
     assert set(out.columns) == set(edge_docs.columns)
