@@ -128,6 +128,20 @@ def test_url_templates_learn_and_generalise(spark):
     assert judge_urls(spark.createDataFrame([], "page_id long, url string")).collect() == []
 
 
+def test_url_templates_of_deep_paths_and_small_sections(spark):
+    rules = (("h.com/a/b/bad/", "block"), ("h.com/a/b/good/", "allow"), ("k.net/ads/", "block"), ("k.net/", "allow"))
+    rows = [f"http://{host}/a/b/{kind}/{i}/x" for host in ("h.com", "www.h.com") for kind in ("bad", "good") for i in range(30)]
+    rows += [f"http://h.com/a/b/bad{q}/{i}" for q in ("", "?x") for i in range(30)]
+    rows += ["http://h.com/a/b/", "http://h.com/a/b", "http://h.com/a/b/good/" + "deep/" * 50 + "end"]
+    rows += [f"http://k.net/{i}/x" for i in range(1980)] + [f"http://k.net/ads/{i}" for i in range(20)]  # 1 % of the host
+    got = judge_urls(spark.createDataFrame(list(enumerate(rows)), "page_id long, url string"), rules).collect()
+    share = {r.template: r.block_share for r in got}
+    assert len(got) == len(rows)
+    assert share["h.com/a/b/bad/*/x"] > 0.5 > share["h.com/a/b/good/*/x"]
+    assert share["k.net/ads/*"] > 0.5 > share["k.net/*/x"]
+    assert "h.com/a/b/**" in share and "h.com/a/b" in share
+
+
 def test_leaks(spark):
     items = [(0, prose(100, 40)), (1, prose(101, 25)), (2, "just three words"), (3, None), (4, ""), (5, prose(100, 40))]
     benchmark = spark.createDataFrame(items, "item_id long, text string")
