@@ -10,7 +10,7 @@ import pytest
 
 from tradelens.llm import sharding
 from tradelens.llm.common import read
-from tradelens.llm.decontaminate import drop_leaks, find_leaks, judge_leaks
+from tradelens.llm.decontaminate import RADIUS, benchmark_items, drop_leaks, find_leaks, judge_leaks
 from tradelens.llm.quality_rules import (CLASSES, MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE, _js_distance, base_measures,
                                          judge_quality)
 from tradelens.llm.sharding import assign_shards, sharding_digest
@@ -162,6 +162,18 @@ def test_leaks(spark):
     assert kept.columns == docs.columns and kept.count() == len(texts) - sum(1 for g in got if g[1])
 
 
+def test_leaks_without_the_boilerplate_of_the_items(spark):
+    boilerplate = prose(900, 18).split()  # held by all items, so it weighs little
+    own = [prose(901 + i, 32).split() for i in range(24)]
+    benchmark = spark.createDataFrame([(i, " ".join(w + boilerplate)) for i, w in enumerate(own)], "item_id long, text string")
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(own)], "doc_id long, text string")
+    got = {(r.doc_id, r.item_id): r.similarity for r in find_leaks(docs, benchmark).collect()}
+    assert set(got) == {(i, i) for i in range(24)} and min(got.values()) > 0.85
+    prints = [{r.item_id: r.fingerprint for r in benchmark_items(frame).collect()}
+              for frame in (benchmark, docs.withColumnRenamed("doc_id", "item_id"))]
+    assert any(((prints[0][i] ^ prints[1][i]) & (2**64 - 1)).bit_count() > RADIUS for i in range(24))
+
+
 def test_leaks_against_all_windows(docs, rows, spark):
     benchmark = read(spark, DATA, "benchmark")
     items = {r.item_id: r.text.lower().encode().split() for r in benchmark.collect()}

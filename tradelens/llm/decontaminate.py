@@ -8,19 +8,24 @@
 2. each window gets a 64-bit SimHash. Two fingerprints within ``RADIUS`` bits
    agree on at least one of ``RADIUS + 1`` blocks, so joining windows and
    items of one length on (block, bits) finds all pairs within the radius;
-3. each pair within the radius is verified by weighted shingle similarity. A
-   shingle found in several items weighs less: 1 / number of those items.
+3. similar pairs may lie beyond the radius, since the fingerprint counts all
+   shingles alike. A pair of similarity t holds t of the item's weight, so it
+   shares one of the item's rarest shingles that hold more than 1 - t of its
+   weight together: joining on those finds every pair beyond the radius;
+4. each pair is verified by weighted shingle similarity. A shingle found in
+   several items weighs less: 1 / number of those items.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tradelens.llm.common import materialize
 
 SHINGLE = 5
 SIMILARITY = 0.8
-#: Largest Hamming distance of a candidate pair. Similar sequences (0.8) differ in about 10 of 64 bits.
+#: Largest Hamming distance of a pair found by fingerprints (others: by rare shingles). Similar sequences (0.8)
+#: differ in about 10 of 64 bits.
 RADIUS = 15
 #: Bits of the Bloom bitmap per item shingle; at least and at most this many bits (128 KB to 2 MB).
 BLOOM_BITS, BLOOM_LEAST, BLOOM_MOST = 64, 1 << 20, 1 << 24
@@ -130,23 +135,27 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILA
                    "near", F.col("start") - F.col("from_i") + 1,
                    F.greatest(F.col("length") - (SHINGLE - 1), F.lit(1))).alias("shingles"))
                .dropDuplicates(["doc_id", "h_text", "length", "start"]))
-    windows = windows.withColumn("fingerprint", _simhash("shingles"))
+    windows = materialize(windows.withColumn("fingerprint", _simhash("shingles"))
+                          .withColumn("window", F.monotonically_increasing_id()), "windows")
 
     held_by = of_items.groupBy("h").agg(F.countDistinct("item_id").alias("held_by"))
-    weights = (of_items.select("item_id", "h").distinct().join(held_by, "h")
-               .groupBy("item_id").agg(F.collect_list(F.struct("h", (1 / F.col("held_by")).alias("w"))).alias("weighed")))
-    right = (items.join(weights, "item_id")
-             .select("item_id", "length", F.col("fingerprint").alias("item_fingerprint"), "weighed",
-                     F.explode(_blocks(F.col("fingerprint"))).alias("b")).select("*", "b.block", "b.bits").drop("b"))
+    weighed = of_items.select("item_id", "length", "h").distinct().join(held_by, "h").withColumn("w", 1 / F.col("held_by"))
+    weights = weighed.groupBy("item_id").agg(F.collect_list(F.struct("h", "w")).alias("weighed"))
+    right = items.join(weights, "item_id").select(
+        "item_id", "length", F.col("fingerprint").alias("item_fingerprint"), "weighed")
+    blocks = (right.withColumn("b", F.explode(_blocks(F.col("item_fingerprint"))))
+              .select("*", "b.block", "b.bits").drop("b"))
     left = (windows.withColumn("b", F.explode(_blocks(F.col("fingerprint"))))
             .select("doc_id", "h_text", "length", "start", "fingerprint", "shingles", "b.block", "b.bits"))
-    near = left.join(right, ["length", "block", "bits"])
+    near = left.join(blocks, ["length", "block", "bits"])
     difference = F.col("fingerprint").bitwiseXOR(F.col("item_fingerprint"))
     # a pair that agrees on several blocks is kept at the first of them
     earlier = F.aggregate(F.arrays_zip(_blocks(F.col("fingerprint")).alias("a"),
                                        _blocks(F.col("item_fingerprint")).alias("b")), F.lit(RADIUS + 1),
                           lambda acc, x: F.when(x.a == x.b, F.least(acc, x.a.block)).otherwise(acc))
     near = near.filter((F.bit_count(difference) <= RADIUS) & (earlier == F.col("block")))
+    near = near.select("doc_id", "h_text", "length", "start", "shingles", "item_id", "weighed").unionByName(
+        _beyond_radius(windows, right, weighed, similarity))
     near = near.withColumn("seen", F.array_distinct("shingles"))
     item_weight = F.aggregate("weighed", F.lit(0.0), lambda acc, x: acc + x.w)
     shared = F.aggregate(F.filter("weighed", lambda x: F.array_contains("seen", x.h)), F.lit(0.0),
@@ -159,6 +168,21 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILA
             .select("doc_id", F.col("h_text").alias("h"), "item_id", "start", "length", "similarity"))
 
 
+def _beyond_radius(windows: DataFrame, items: DataFrame, weighed: DataFrame, similarity: float) -> DataFrame:
+    """All pairs of more than RADIUS bits that share one of the item's rarest shingles: those before which less
+    than 1 - similarity of the item's weight stands."""
+    item = Window.partitionBy("item_id")
+    running = item.orderBy("held_by", "h").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rare = (weighed.withColumn("before", F.sum("w").over(running) - F.col("w")).withColumn("all", F.sum("w").over(item))
+            .filter(F.col("before") <= (1 - similarity + 1e-6) * F.col("all")).select("item_id", "length", "h")
+            .join(items.select("item_id", "item_fingerprint"), "item_id"))
+    difference = F.col("fingerprint").bitwiseXOR(F.col("item_fingerprint"))
+    pairs = (windows.select("window", "length", "fingerprint", F.explode(F.array_distinct("shingles")).alias("h"))
+             .join(rare, ["length", "h"]).filter(F.bit_count(difference) > RADIUS).select("window", "item_id").distinct())
+    return (pairs.join(windows, "window").join(items.select("item_id", "weighed"), "item_id")
+            .select("doc_id", "h_text", "length", "start", "shingles", "item_id", "weighed"))
+
+
 def judge_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row per document: doc_id, contaminated, n_items, and the most similar item (ties: the
     smallest id) with the start and length of its window (in words) and its similarity; NULL without one."""
