@@ -18,7 +18,7 @@ from tradelens.llm.language_id import UNKNOWN, Segmenter, _log_table, identify,
 from tradelens.llm.line_dedup import dedup_lines, dedup_report
 from tradelens.llm.quality_mil import AttentionModel, PassageEncoder, score_quality, train
 
-from conftest import prose  # noqa: E402  (tests/llm/conftest.py)
+from .helpers import prose
 
 
 def shingle_set(text, width):

@@ -16,7 +16,7 @@ from tradelens.llm.quality_rules import (CLASSES, MAX_CLASS_DISTANCE, MAX_WORD_D
 from tradelens.llm.sharding import assign_shards, sharding_digest
 from tradelens.llm.url_templates import RULES, judge_urls
 
-from conftest import DATA, prose  # noqa: E402  (tests/llm/conftest.py)
+from .helpers import DATA, prose
 
 
 def base_by_hand(text: str | None) -> tuple[int, ...]:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import os
 import shutil
+import sys
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -92,3 +95,48 @@ def text_or_empty(column: str = "text") -> Column:
 def held_out(doc_id: str = "doc_id") -> Column:
     """The rows no learner may see: crc32(doc_id as text) mod 5 is 0 (a NULL id counts as held out)."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(True))
+
+
+#: Characters of text that a task handles at once (a longer text is a slice of its own), and rows.
+SLICE_CHARACTERS, SLICE_ROWS = 1 << 21, 4096
+
+
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
+    """Batches whose last column is the text, in slices of bounded size: (the slice, its texts as
+    Python strings)."""
+    for batch in batches:
+        texts = batch.column(batch.num_columns - 1)
+        start, held, weight = 0, [], 0
+        for i in range(0, batch.num_rows, 64):
+            for text in texts.slice(i, 64).to_pylist():
+                held.append(text)
+                weight += len(text or "")
+                if weight >= SLICE_CHARACTERS or len(held) >= SLICE_ROWS:
+                    yield batch.slice(start, len(held)), held
+                    start, held, weight = start + len(held), [], 0
+        if held:
+            yield batch.slice(start, len(held)), held
+
+
+def released(run: Callable) -> Callable:
+    """``run`` (a task's function over batches), after which the worker gives its free memory back.
+
+    Spark keeps Python workers for later tasks; what one operator's tables and
+    word memories took would otherwise stay with them through the next stages.
+    """
+
+    @functools.wraps(run)
+    def task(*args):
+        yield from run(*args)
+        free_memory()
+
+    return task
+
+
+def free_memory() -> None:
+    """Free pages of Arrow's pool and of the C library go back to the system."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+        if trim is not None:
+            trim(0)

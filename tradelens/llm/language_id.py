@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame, functions as F
 
 from tradelens.llm.common import held_out, materialize, text_or_empty
-from tradelens.llm.pretokens import _LETTER, _NOT_SIMPLE, DEFAULT_TOKENIZER, _byte_characters, tokenizer_path
+from tradelens.llm.pretokens import _LETTER, _NOT_SIMPLE, DEFAULT_TOKENIZER, byte_characters, tokenizer_path
 
 #: Letters of the longest piece; rounds of expectation-maximisation; pseudo-count; probability of an unknown letter.
 LONGEST, ROUNDS, PSEUDO_COUNT, UNKNOWN = 8, 3, 0.1, 1e-8
@@ -49,7 +49,7 @@ def read_vocabulary(tokenizer: str = DEFAULT_TOKENIZER) -> list[str]:
     """The pieces: lower-case letters, at most LONGEST, with or without a leading space."""
     with open(tokenizer_path(tokenizer), encoding="utf-8") as f:
         names = json.load(f)["model"]["vocab"]
-    byte_of, pieces = {c: b for b, c in _byte_characters().items()}, set()
+    byte_of, pieces = {c: b for b, c in byte_characters().items()}, set()
     for name in names:
         try:
             piece = bytes(byte_of[c] for c in name).decode("utf-8")

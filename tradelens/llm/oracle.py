@@ -80,7 +80,36 @@ SELECT page_id, host, path, rule,
 FROM tree JOIN judged USING (host, t1, t2, deeper)"""
 
 
+def collocation_sql(longest: int, least: int, absorb_percent: int, top: int) -> str:
+    """All phrases of all lengths counted; containment by comparing the padded phrases."""
+    return rf"""
+WITH pieces AS (SELECT COALESCE(lang, 'und') AS lang,
+      unnest(regexp_split_to_array({_LOWER.format("COALESCE(text, '')")}, '[.,;:!?
+-]')) AS piece FROM documents),
+split AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[ 	]+'), lambda x: x <> '') AS w FROM pieces),
+sized AS (SELECT lang, w, unnest(range(1, least(len(w), {longest}) + 1)) AS words FROM split),
+grams AS (SELECT lang, words, array_to_string(w[i:i + words - 1], ' ') AS phrase
+      FROM (SELECT *, unnest(range(1, len(w) - words + 2)) AS i FROM sized)),
+f AS (SELECT lang, words, phrase, count(*) AS f FROM grams GROUP BY ALL),
+totals AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE words = 1 GROUP BY lang),
+candidates AS (SELECT lang, words, phrase, f AS a FROM f WHERE words > 1 AND f >= {least}),
+stay AS (SELECT * FROM candidates c WHERE NOT EXISTS (SELECT 1 FROM candidates d WHERE d.lang = c.lang
+      AND d.words > c.words AND 100 * d.a >= {absorb_percent} * c.a
+      AND contains(' ' || d.phrase || ' ', ' ' || c.phrase || ' '))),
+cuts AS (SELECT lang, phrase, a, k, array_to_string(s[1:k], ' ') AS head, array_to_string(s[k + 1:], ' ') AS tail
+      FROM (SELECT *, string_split(phrase, ' ') AS s, unnest(range(1, words)) AS k FROM stay)),
+scored AS (SELECT c.lang, c.phrase, c.a, k, l.f AS l, r.f AS r, n,
+      ((1000::HUGEINT * a * n) // (l.f::HUGEINT * r.f))::BIGINT AS score
+      FROM cuts c JOIN f l ON l.lang = c.lang AND l.phrase = c.head JOIN f r ON r.lang = c.lang AND r.phrase = c.tail
+      JOIN totals t ON t.lang = c.lang),
+lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM lowest QUALIFY rank <= {top}"""
+
+
 ORACLE_SQL: dict[str, str] = {
     "op8_jaccard_join": jaccard_sql(width=3, percent=90),
     "op9_url_filter": url_sql(),
+    "op12_minhash_dedup": f"SELECT *, doc_id = component_id AS kept FROM ({jaccard_sql(width=3, percent=85)})",
+    "op13_collocations": collocation_sql(longest=5, least=100, absorb_percent=100, top=2000),
 }

@@ -26,7 +26,7 @@ _SIMPLE = re.compile(
 _NOT_SIMPLE = re.compile(r"[^\x00-\x7fÀ-ÖØ-öø-ɏ‐-‧‰-⁞€]")
 
 
-def _byte_characters() -> dict[int, str]:
+def byte_characters() -> dict[int, str]:
     """The printable stand-in of each byte in byte-level vocabularies (GPT-2's public rule)."""
     kept = [*range(33, 127), *range(161, 173), *range(174, 256)]
     table = {b: chr(b) for b in kept}
@@ -50,7 +50,7 @@ class ByteLevelTokens:
             raise ValueError(f"{path}: only plain byte-level BPE files are supported")
         self._tokenizer = Tokenizer.from_file(path)
         self._model = self._tokenizer.model
-        self._bytes = _byte_characters()
+        self._bytes = byte_characters()
         self._added = {t["content"]: t["id"] for t in added}
         longest_first = sorted(self._added, key=len, reverse=True)
         self._split_added = re.compile("(" + "|".join(map(re.escape, longest_first)) + ")")

@@ -6,16 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tradelens.llm.collocations import mine_collocations
 from tradelens.llm.common import read, ship_package
 from tradelens.llm.decontaminate import judge_leaks
 from tradelens.llm.jaccard_join import jaccard_components
 from tradelens.llm.language_id import identify
 from tradelens.llm.line_dedup import dedup_report
+from tradelens.llm.minhash_dedup import near_duplicates
 from tradelens.llm.oracle import ORACLE_SQL  # noqa: F401  (re-exported)
 from tradelens.llm.packing import packed_digest
 from tradelens.llm.quality_mil import score_quality
 from tradelens.llm.quality_rules import judge_quality
 from tradelens.llm.sharding import sharding_digest
+from tradelens.llm.token_alignment import alignment_digest
 from tradelens.llm.token_counts import count_tokens
 from tradelens.llm.url_templates import RULES, judge_urls
 
@@ -66,6 +69,18 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(_documents(spark, sf_dir))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment_digest(_documents(spark, sf_dir))
+
+
+def op12_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_documents(spark, sf_dir), width=3, percent=85)
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mine_collocations(_documents(spark, sf_dir), longest=5, least=100, absorb_percent=100, top=2000)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_line_dedup": op2_line_dedup,
@@ -77,4 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_url_filter": op9_url_filter,
     "op10_language_id": op10_language_id,
-}
\ No newline at end of file
+    "op11_token_alignment": op11_token_alignment,
+    "op12_minhash_dedup": op12_minhash_dedup,
+    "op13_collocations": op13_collocations,
+}
