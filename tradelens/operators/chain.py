@@ -6,6 +6,10 @@ order bill ``f`` named by ``b.use_id`` (type not checked). Order quantities
 are summed per order bill *before* the join, so the fact-grain order lines
 are reduced by a partial + final aggregation instead of being joined row by
 row into the chain.
+
+Where the tables have a link index (``sources.copartitioned``), ``a`` is read by its
+link and ``b`` by its id, bucketed alike, and meet without an exchange. Otherwise the
+side without a period is reduced to rows that may match before it is shuffled.
 """
 
 from __future__ import annotations
@@ -13,7 +17,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from tradelens.operators.lookup import lookup_join
-from tradelens.sources.contract import Tables, conform
+from tradelens.operators.reduce import may_match
+from tradelens.sources.contract import LINK_INDEX, Tables, conform
 
 
 def bill_browse(bills_with_links: DataFrame, stock_line: DataFrame) -> DataFrame:
@@ -40,24 +45,47 @@ HOT_LINKS = (0, -1)
 _ORDER_COLUMNS = ("f_bill_id", "f_bill_date", "f_bill_amount")
 
 
-def bill_chain(t: Tables, a: DataFrame | None = None, b: DataFrame | None = None) -> DataFrame:
+def linked_bills(t: Tables) -> DataFrame:
+    """The browse view as the linking side of a chain: by link where the tables have that index."""
+    return t.get(LINK_INDEX, t.stock_bill_browse)
+
+
+_LINK = ["__id", "__type"]
+
+
+def _follow_links(t: Tables, a: DataFrame, b: DataFrame, b_is_larger: bool | None) -> DataFrame:
+    """``a ⟕ b`` on the link; ``a`` and ``b`` have it as ``__id`` and ``__type``."""
+    if LINK_INDEX not in t:
+        if b_is_larger:
+            b = may_match(b, _LINK, a, _LINK)
+        return lookup_join(a, b, _LINK, spread=("a_bill_id",), hot=HOT_LINKS)
+    # buckets hold ordinary links; the commonest values and NULLs are few on b's side and are dealt by salt
+    usual = F.coalesce(~F.col("__id").isin(*HOT_LINKS), F.lit(False)) & F.col("__type").isNotNull()
+    return a.filter(usual).join(b, _LINK, "left").unionByName(
+        lookup_join(a.filter(~usual), b.filter(F.col("__id").isin(*HOT_LINKS)), _LINK, spread=("a_bill_id",),
+                    hot=HOT_LINKS))
+
+
+def bill_chain(t: Tables, a: DataFrame | None = None, b: DataFrame | None = None,
+               b_is_larger: bool | None = None) -> DataFrame:
     """Chain rows ``a → b → f`` with English type names and order qty.
 
     ``a`` / ``b`` default to the whole browse view; reports pass them
-    pre-filtered so the self join only sees the bills of interest. Output
+    pre-filtered so the self join only sees the bills of interest.
+    ``b_is_larger`` says that ``a`` is one period's and ``b`` is not. Output
     columns are those of the browse view prefixed ``a_`` and ``b_``, then the
     order's (``f_``), ``name_a`` / ``name_b`` / ``name_link`` (the English names
     of ``a.bill_type``, ``b.bill_type`` and ``b.use_bill_type``) and
     ``order_qty``.
     """
     browse = t.stock_bill_browse
-    a = browse if a is None else a
+    a = linked_bills(t) if a is None else a
     b = browse if b is None else b
     a_cols = a.select(*[F.col(c).alias(f"a_{c}") for c in a.columns],
                       F.col("use_id").alias("__id"), F.col("use_bill_type").alias("__type"))
     b_cols = b.select(*[F.col(c).alias(f"b_{c}") for c in b.columns],
                       F.col("bill_id").alias("__id"), F.col("bill_type").alias("__type"))
-    ab = lookup_join(a_cols, b_cols, ["__id", "__type"], spread=("a_bill_id",), hot=HOT_LINKS).drop("__id", "__type")
+    ab = _follow_links(t, a_cols, b_cols, b_is_larger).drop(*_LINK)
     # f is looked up by b.use_id; f_bill_id comes from the order side (NULL if none).
     # One row per order bill with its summed lines, joined before it meets the chain.
     qty = order_qty_by_bill(t.order_line)

@@ -33,11 +33,12 @@ def _fact_contract(df: DataFrame) -> DataFrame:
 
 
 def _bills_in(bills: DataFrame, period: Period | None) -> DataFrame:
+    bills = lines_in(bills, period)
     return bills if period is None else bills.filter(in_period("bill_date", period))
 
 
 def lines_in(lines: DataFrame, period: Period | None) -> DataFrame:
-    """Lines of the months that the period touches, where the stored table knows the month.
+    """Lines (or bills) of the months that the period touches, where the stored table knows the month.
 
     Lines outside them belong to bills outside the period, and lines without
     a bill (NULL month) meet no bill, so the join with the period's bills gives
@@ -88,9 +89,9 @@ def adjustment_lines(t: Tables, period: Period | None = None) -> DataFrame:
 
 
 def _pos_branch(bill_table: DataFrame, line_table: DataFrame, period: Period | None) -> DataFrame:
-    bills = bill_table.select("bill_id", "stock_id", "party_id", "handler_id", "bill_date",
-                              "sequence_id", "memo")
-    joined = header_with_lines(_bills_in(bills, period), line_table, period)
+    bills = _bills_in(bill_table, period).select("bill_id", "stock_id", "party_id", "handler_id", "bill_date",
+                                                 "sequence_id", "memo")
+    joined = header_with_lines(bills, line_table, period)
     return joined.select(
         "bill_id", F.lit(X.RETAIL_BILL).cast("int").alias("bill_type"), "stock_id", "party_id",
         "handler_id", "bill_date", F.col("sequence_id").cast("string").alias("bill_code"),

@@ -10,7 +10,8 @@ exact decimal sums both levels fold into one aggregation per goods:
 
 One join of lines to their (type-filtered) bills and one partial + final
 aggregation keyed by goods; class totals re-aggregate the goods totals, so
-the fact-grain join is never repeated.
+the fact-grain join is never repeated. Tables with a stock rollup (``operators.rollup``)
+are not read for the all-time totals at all; they are the sums of its rows.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from tradelens.functions import expressions as X
 from tradelens.functions.period import Period, in_period
 from tradelens.operators.facts import lines_in
 from tradelens.operators.lookup import lookup_join
+from tradelens.operators.rollup import ROLLUP, totals_from_rollup
 from tradelens.sources.contract import Tables
 
 QTY_SUM = "decimal(38,2)"
@@ -36,13 +38,16 @@ def stock_movements(t: Tables) -> DataFrame:
 
 def net_stock_by_goods(t: Tables) -> DataFrame:
     """Net stock quantity per goods, all time."""
+    if ROLLUP in t:
+        return totals_from_rollup(t[ROLLUP])
     return stock_movements(t).groupBy("goods_id").agg(
         F.sum(X.stock_signed("qty", "bill_type")).cast(QTY_SUM).alias("total_import"))
 
 
 def period_entry_by_goods(t: Tables, period: Period) -> DataFrame:
     """Σ qty of warehouse entries (1102 only) in the period, per goods."""
-    bills = t.stock_bill.filter((F.col("bill_type") == X.WAREHOUSE_ENTRY) & in_period("bill_date", period))
+    bills = lines_in(t.stock_bill, period).filter(
+        (F.col("bill_type") == X.WAREHOUSE_ENTRY) & in_period("bill_date", period))
     lines = lines_in(t.stock_line, period).select("bill_id", "goods_id", "qty")
     entries = lookup_join(lines, bills.select("bill_id"), "bill_id", "inner")
     return entries.groupBy("goods_id").agg(F.sum("qty").cast(QTY_SUM).alias("total_import_cp"))
@@ -54,6 +59,9 @@ def import_by_goods(t: Tables, period: Period) -> DataFrame:
     In the two-level form period entries reach a goods row through an
     equality join on goods id, so the NULL-goods row never gets one; kept.
     """
+    if ROLLUP in t:
+        entries = period_entry_by_goods(t, period)
+        return net_stock_by_goods(t).join(entries, "goods_id", "left").select("goods_id", "total_import_cp", "total_import")
     in_cp = (F.col("bill_type") == X.WAREHOUSE_ENTRY) & in_period("bill_date", period)
     g = stock_movements(t).groupBy("goods_id").agg(
         F.sum(F.when(in_cp, F.col("qty"))).cast(QTY_SUM).alias("total_import_cp"),

@@ -15,11 +15,12 @@ of the group. Two ways to hold them:
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Mapping
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F, types as T
 
 from tradelens.functions.layout import display_header, python_text, text_width
 from tradelens.functions.period import Period
@@ -144,6 +145,60 @@ def run_concurrently(reports: Mapping[str, DataFrame], sink: Callable[[str, Data
             f.result()
 
 
+class _Folder:
+    """A folder through Hadoop's file system interface, so any store that Spark writes to works."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self._jvm = spark._jvm
+        self._path = self._jvm.org.apache.hadoop.fs.Path(path)
+        self._fs = self._path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def _at(self, name: str):
+        return self._jvm.org.apache.hadoop.fs.Path(self._path, name)
+
+    def exists(self, name: str) -> bool:
+        return self._fs.exists(self._at(name))
+
+    def names(self) -> list[str]:
+        if not self._fs.exists(self._path):
+            return []
+        return sorted(s.getPath().getName() for s in self._fs.listStatus(self._path))
+
+    def delete(self, name: str) -> None:
+        self._fs.delete(self._at(name), True)
+
+    def rename(self, name: str, to: str) -> None:
+        if not self._fs.rename(self._at(name), self._at(to)):
+            raise OSError(f"can't rename {name} to {to} in {self._path}")
+
+    def part_files(self, name: str) -> int:
+        return sum(1 for s in self._fs.listStatus(self._at(name)) if s.getPath().getName().startswith("part-"))
+
+
+#: Marks a folder's written sheets; a group without it is not whole.
+COMMITTED = "_manifest"
+
+
+def repair_group(spark: SparkSession, out_dir: str, folder: str) -> None:
+    """Finish or undo what an interrupted ``write_report_bundle`` left beside ``out_dir/folder``.
+
+    The switch takes two renames: the old group aside, the new one in its
+    place. If it stopped between them the staged group, which is whole, takes
+    the place; else staged leftovers are deleted. Run by one writer at a time.
+    """
+    at = _Folder(spark, out_dir)
+    left = [n for n in at.names() if n.startswith((f".{folder}.staged-", f".{folder}.old-"))]
+    if not at.exists(folder):
+        whole = [n for n in left if ".staged-" in n and at.exists(f"{n}/{COMMITTED}")]
+        old = [n for n in left if ".old-" in n]
+        if old and (whole or old):
+            back = (whole or old)[0]
+            at.rename(back, folder)
+            left.remove(back)
+    for name in left:
+        at.delete(name)
+
+
 def write_report_bundle(spark: SparkSession, t: Tables, group: str, period: Period,
                         out_dir: str, fmt: str = "parquet", share: str | None = "write",
                         max_parallel: int = 4) -> str:
@@ -154,12 +209,25 @@ def write_report_bundle(spark: SparkSession, t: Tables, group: str, period: Peri
     ``fmt='csv'`` writes the rendered flavour (S5) under the display headers.
     What the reports share is released, and its files deleted, also on error.
     Up to ``max_parallel`` reports are written at the same time.
+
+    The group appears as a whole: reports are written to a staging folder beside
+    their place with a manifest (``_manifest``: report, rows and part files, counted
+    while writing), then the folders are switched. If a report fails, the old group
+    stays as it was. A rerun repairs what an interrupted switch left.
     """
     shared = SharedPlans(t, period, stage=sharing(spark, share, f"{group}-{period.label}"))
-    folder = f"{out_dir.rstrip('/')}/{group}_{period.label}"
+    name = f"{group}_{period.label}"
+    target = f"{out_dir.rstrip('/')}/{name}"
+    repair_group(spark, out_dir, name)
+    run = uuid.uuid4().hex
+    staged_name, old_name = f".{name}.staged-{run}", f".{name}.old-{run}"
+    folder = f"{out_dir.rstrip('/')}/{staged_name}"
+    rows: dict[str, Observation] = {}
 
     def write(sheet: str, df: DataFrame) -> None:
         path = f"{folder}/{sheet}"
+        rows[sheet] = Observation()
+        df = df.observe(rows[sheet], F.count(F.lit(1)).alias("rows"))
         if fmt == "csv":
             # blanks are part of the header of a repeated column
             (with_display_headers(render_report(df)).write.mode("overwrite").option("header", True)
@@ -171,6 +239,19 @@ def write_report_bundle(spark: SparkSession, t: Tables, group: str, period: Peri
         reports = run_group(t, group, period, shared)
         run_concurrently(reports, write, max_parallel)
         header_manifest(spark, reports).coalesce(1).write.mode("overwrite").json(f"{folder}/_headers")
+        at, staging = _Folder(spark, out_dir), _Folder(spark, folder)
+        entries = [(sheet, rows[sheet].get["rows"], staging.part_files(sheet)) for sheet in reports]
+        (spark.createDataFrame(entries, "report string, rows long, part_files int").coalesce(1)
+         .write.json(f"{folder}/{COMMITTED}"))  # the last file: the staged group is whole
+        if at.exists(name):
+            at.rename(name, old_name)
+        at.rename(staged_name, name)
+        at.delete(old_name)
+    except BaseException:
+        at = _Folder(spark, out_dir)
+        if at.exists(name):  # the old group stands, or the new one already does
+            at.delete(staged_name)
+        raise
     finally:
         shared.release()
-    return folder
+    return target

@@ -14,9 +14,12 @@ from tradelens.functions.period import TEST_PERIOD, in_period, in_period_by_day
 from tradelens.operators import chain, facts, sales, stock
 from tradelens.operators.anti import not_in
 from tradelens.operators.lookup import lookup_join
+from tradelens.operators.rollup import ROLLUP, load_stock_rollup, write_stock_rollup
 from tradelens.plans import reports as R
 from tradelens.plans.bundle import column_layout_profile, render_report
-from tradelens.sources.contract import Tables
+from tradelens.session import scratch_path
+from tradelens.sources.contract import LINK_INDEX, Tables
+from tradelens.sources.copartitioned import load_copartitioned_tables, write_copartitioned_tables
 from tradelens.sources.fixtures import derive_tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -91,6 +94,32 @@ def _layout_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return column_layout_profile(_rounded(R.product_sale(_tables(spark, sf_dir), TEST_PERIOD)))
 
 
+def _over_layout(names: tuple[str, ...], fn, *, index: bool = False) -> Query:
+    """A report over the tables ``names`` stored by month and bucket (with the link index)."""
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        t = _tables(spark, sf_dir)
+        root = scratch_path(spark, "copartitioned")
+        database = f"tradelens_{root.rsplit('-', 1)[-1]}"
+        write_copartitioned_tables(spark, {n: t[n] for n in names}, root, database, buckets=8)
+        stored = load_copartitioned_tables(spark, database, (*names, *([LINK_INDEX] if index else [])))
+        return _rounded(fn(Tables({**t, **stored}), TEST_PERIOD))
+    return run
+
+
+def _over_rollup(fn) -> Query:
+    """A report whose all-time stock comes from the maintained totals, the period's months left open."""
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        t = _tables(spark, sf_dir)
+        root = scratch_path(spark, "stock-rollup")
+        write_stock_rollup(t, root)
+        open_months = sorted({d.year * 100 + d.month for d in (TEST_PERIOD.start_ts, TEST_PERIOD.end_inclusive_ts)})
+        return _rounded(fn(Tables({**t, ROLLUP: load_stock_rollup(t, root, open_months)}), TEST_PERIOD))
+    return run
+
+
+_CHAIN_TABLES = ("stock_bill_browse", "order_bill", "order_line")
+_SALE_TABLES = ("stock_bill", "stock_line", "pos_bill", "pos_line", "pos_bill_hist", "pos_line_hist")
+
 QUERIES: dict[str, Query] = {
     # reports R1-R12
     "bill_relation_purchase": _report(R.bill_relation_purchase),
@@ -122,6 +151,12 @@ QUERIES: dict[str, Query] = {
     "bill_type_name_en": _bill_type_names_used,
     "receivables": _block(facts.receivables),
     "settlements": lambda spark, sf_dir: facts.settlements(_tables(spark, sf_dir), live_only=False),
+    # stored layouts and maintained totals
+    "bill_relation_purchase_indexed": _over_layout(_CHAIN_TABLES, R.bill_relation_purchase, index=True),
+    "bill_relation_sale_indexed": _over_layout(_CHAIN_TABLES, R.bill_relation_sale, index=True),
+    "customer_summary_copartitioned": _over_layout(_SALE_TABLES, R.customer_summary),
+    "product_sale_rollup": _over_rollup(R.product_sale),
+    "product_category_sale_rollup": _over_rollup(R.product_category_sale),
     # predicates, joins and outputs
     "period_filter": _period_filter,
     "period_filter_day": _period_filter_day,

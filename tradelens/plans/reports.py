@@ -20,14 +20,15 @@ from pyspark.sql import DataFrame, functions as F
 from tradelens.functions import expressions as X
 from tradelens.functions.period import Period, in_period
 from tradelens.operators.anti import not_in
-from tradelens.operators.chain import bill_chain
+from tradelens.operators.chain import bill_chain, linked_bills
 from tradelens.operators.facts import receivables, settlements
 from tradelens.operators.lookup import left_join_split_hot_right, lookup_join
+from tradelens.operators.reduce import may_match
 from tradelens.operators.sales import (
     SUM, class_sale_summary, facts_in_period, product_sale_summary, sales_by_goods,
     sales_by_party_goods)
 from tradelens.operators.stock import import_by_goods, net_stock_by_class
-from tradelens.sources.contract import Tables
+from tradelens.sources.contract import LINK_INDEX, Tables
 
 
 class SharedPlans:
@@ -90,8 +91,8 @@ _CHAIN_KEYS = ("f_bill_id", "name_a", "a_bill_code", "a_qty", "a_bill_amount", "
                "name_link", "b_relation_from", "f_bill_date", "f_bill_amount")
 
 
-def _chain_report(t: Tables, a: DataFrame, b: DataFrame, with_amount_label: bool) -> DataFrame:
-    chain = bill_chain(t, a, b.filter(F.col("relation_from").isNotNull()))
+def _chain_report(t: Tables, a: DataFrame, b: DataFrame, with_amount_label: bool, b_is_larger: bool | None = None) -> DataFrame:
+    chain = bill_chain(t, a, b.filter(F.col("relation_from").isNotNull()), b_is_larger)
     chain = chain.filter(F.col("b_relation_from").isNotNull())
     g = chain.groupBy(*_CHAIN_KEYS).agg(F.sum("order_qty").cast(SUM).alias("quantity_3"))
     cols = [
@@ -113,9 +114,8 @@ def _chain_report(t: Tables, a: DataFrame, b: DataFrame, with_amount_label: bool
 
 def bill_relation_purchase(t: Tables, period: Period, shared: SharedPlans | None = None) -> DataFrame:
     """Purchase invoices in the period → the bill they came from → its order."""
-    browse = t.stock_bill_browse
-    a = browse.filter((F.col("bill_type") == X.PURCHASE_INVOICE) & in_period("bill_date", period))
-    return _chain_report(t, a, browse, with_amount_label=False)
+    a = linked_bills(t).filter((F.col("bill_type") == X.PURCHASE_INVOICE) & in_period("bill_date", period))
+    return _chain_report(t, a, t.stock_bill_browse, with_amount_label=False, b_is_larger=True)
 
 
 def bill_relation_sale(t: Tables, period: Period, shared: SharedPlans | None = None) -> DataFrame:
@@ -123,7 +123,10 @@ def bill_relation_sale(t: Tables, period: Period, shared: SharedPlans | None = N
     browse = t.stock_bill_browse
     b = browse.filter((F.col("bill_type") == X.SALE_INVOICE) & in_period("bill_date", period))
     # the chain joins a.use_bill_type = b.bill_type, so only links to sale invoices can match
-    a = browse.filter(F.col("use_bill_type") == X.SALE_INVOICE)
+    a = linked_bills(t).filter(F.col("use_bill_type") == X.SALE_INVOICE)
+    if LINK_INDEX not in t:
+        # only chains with a bill b are shown (its relation_from is set), so a may be reduced like an inner side
+        a = may_match(a, ["use_id", "use_bill_type"], b, ["bill_id", "bill_type"])
     return _chain_report(t, a, b, with_amount_label=True)
 
 
@@ -241,6 +244,13 @@ def _receivables_in_period(t: Tables, period: Period, detail: bool) -> DataFrame
     return receivables(t, detail=detail, period=period)
 
 
+def _payments_of(t: Tables, receivables_shown: DataFrame) -> Tables:
+    """The tables with the payment lines that may settle one of the receivables: what is shuffled of
+    the payments follows the period and not their history."""
+    lines = may_match(t.pay_line, ["use_id", "use_bill_type"], receivables_shown, ["bill_id", "bill_type"])
+    return Tables({**t, "pay_line": lines})
+
+
 def _type_names(t: Tables, as_key: str, as_name: str) -> DataFrame:
     return t.bill_type.select(F.col("type_id").alias(as_key), F.col("name").alias(as_name))
 
@@ -250,7 +260,7 @@ def receivable_summary(t: Tables, period: Period, shared: SharedPlans | None = N
     per payment-bill status; receivables with no live payment drop out. The
     payment bill's type name isn't shown, so it isn't joined (type ids are unique)."""
     a = _receivables_in_period(t, period, detail=False)
-    pays = settlements(t, live_only=True, receivable_types_only=True).filter(F.col("pay_use_id").isNotNull())
+    pays = settlements(_payments_of(t, a), live_only=True, receivable_types_only=True).filter(F.col("pay_use_id").isNotNull())
     # Σ cleared per paid bill and payment-bill status, before meeting the receivables
     paid = pays.groupBy("use_id", "use_bill_type", "pay_use_id").agg(
         F.sum("cleared_amount").alias("cleared"))
@@ -272,7 +282,7 @@ def receivable_summary(t: Tables, period: Period, shared: SharedPlans | None = N
 def receivable_detail(t: Tables, period: Period, shared: SharedPlans | None = None) -> DataFrame:
     """One row per receivable and payment line; unpaid receivables kept."""
     a = _receivables_in_period(t, period, detail=True)
-    pays = settlements(t, live_only=False, receivable_types_only=True).select(
+    pays = settlements(_payments_of(t, a), live_only=False, receivable_types_only=True).select(
         F.col("use_id").alias("bill_id"), F.col("use_bill_type").alias("bill_type"),
         "cleared_amount", "pay_bill_type", "pay_bill_code", "pay_bill_date", "pay_use_id")
     x = left_join_split_hot_right(a, pays, ["bill_id", "bill_type"])

@@ -82,8 +82,10 @@ OPTIONAL: dict[str, tuple[str, ...]] = {
               "country", "company", "city", "create_date"),
 }
 
-# Year and month (yyyymm) of a line's bill, in line tables written by ``write_monthly_tables``.
+# Year and month (yyyymm) of a bill, in line and header tables that are stored by month.
 MONTH = "bill_month"
+# The browse view stored by its link, where a layout has it.
+LINK_INDEX = "browse_by_link"
 LINE_HEADERS = {"stock_line": "stock_bill", "pos_line": "pos_bill", "pos_line_hist": "pos_bill_hist"}
 
 
@@ -92,9 +94,9 @@ def conform(df: DataFrame, table: str) -> DataFrame:
 
     Missing ``OPTIONAL`` columns become typed NULLs, any other missing column
     raises ``ValueError``. Extra columns are dropped (so column pruning reaches
-    the scan), but a line table keeps its ``MONTH``.
+    the scan), but a line or header table keeps its ``MONTH``.
     """
-    schema = SCHEMAS[table]
+    schema = SCHEMAS["stock_bill_browse" if table == LINK_INDEX else table]
     have = {f.name: f.dataType for f in df.schema.fields}
     missing = [f.name for f in schema.fields if f.name not in have and f.name not in OPTIONAL.get(table, ())]
     if missing:
@@ -108,7 +110,7 @@ def conform(df: DataFrame, table: str) -> DataFrame:
             continue
         src = F.col(field.name) if field.name in have else F.lit(None)
         cols.append(src.cast(field.dataType).alias(field.name))
-    if table in LINE_HEADERS and MONTH in have:
+    if (table in LINE_HEADERS or table in LINE_HEADERS.values()) and MONTH in have:
         cols.append(F.col(MONTH))
     return df.select(*cols)
 
