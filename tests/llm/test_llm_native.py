@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import math
+import os
+import subprocess
+import sys
 import zlib
 from collections import Counter, defaultdict
 
@@ -18,6 +21,8 @@ from tradelens.llm.url_templates import RULES, judge_urls
 
 from .helpers import DATA, prose
 
+REPO = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
 
 def base_by_hand(text: str | None) -> tuple[int, ...]:
     text = text or ""
@@ -85,6 +90,37 @@ def test_sharding(docs, rows, edge_docs, monkeypatch, ranges):
         assert all(sorted(s) == list(range(len(s))) for s in slots.values())
 
 
+def test_first_call_of_a_session_on_a_made_frame():
+    """A plan that only a fresh session gives; a process of its own, as the others share a session."""
+    code = """
+from tradelens.session import local_session
+from tradelens.llm.sharding import assign_shards
+spark = local_session(2, 4)
+frame = spark.createDataFrame([(i, f"text {i // 2}") for i in range(400)], "doc_id long, text string")
+out = assign_shards(frame, 2).collect()
+assert sorted(r.doc_id for r in out) == list(range(400))
+shards = {}
+for r in out:
+    shards.setdefault(r.text_crc32, set()).add(r.shard)
+assert all(len(s) == 1 for s in shards.values())
+"""
+    subprocess.run([sys.executable, "-c", code], cwd=REPO, check=True, timeout=300)
+
+
+def test_small_groups_stay_together_beside_large_ones(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "RANGES_PER_SHARD", 1)  # wide ranges, so that they are subdivided
+    rows = [(i, f"text {i // 3} " * 5) for i in range(900)]
+    rows += [(1000 + i, "a hot text " * 20) for i in range(300)] + [(2000 + i, f"{i} long " * 500) for i in range(4)]
+    total = sum(len(t) + 8 for _, t in rows)
+    shards = defaultdict(set)
+    for r in assign_shards(spark.createDataFrame(rows, "doc_id long, text string"), 4).collect():
+        shards[r.text_crc32].add(r.shard)
+    size = defaultdict(int)
+    for _, t in rows:
+        size[zlib.crc32(t.encode())] += len(t) + 8
+    assert all(len(shards[k]) == 1 for k, b in size.items() if b * sharding.GROUP_PART * 4 <= total)
+
+
 def test_shards_are_even_with_a_hot_group(spark):
     hot, rows = prose(5, 40), []
     for i in range(3000):

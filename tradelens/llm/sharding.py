@@ -6,7 +6,9 @@ Records are thin here (id, text hash, size); the text is read once.
    are neighbours) is drawn over all rows; its quantiles are the splitters.
    A key that fills a whole quantile step is hot and gets a range of its own;
 2. records are dealt into the ranges between splitters. A range that turns
-   out overfull (exact sums) is subdivided by the hash of the id;
+   out overfull (exact sums) is subdivided by the hash of the key, so that equal
+   texts stay neighbours; only keys beyond the group bound (a bounded number of
+   them) are dealt by the hash of the id;
 3. ranges have exact prefix sums of bytes and rows, a window inside each
    range places every record by the byte position of its middle. Equal
    texts stay together unless their group exceeds ``1/GROUP_PART`` of a shard.
@@ -71,12 +73,18 @@ def assign_shards(docs: DataFrame, shards: int = 24) -> DataFrame:
     times = F.floor(F.col("size") * wanted / F.lit(float(max(n_bytes, 1))) + draw).cast("int")
     sample = [r.key for r in thin.filter(times > 0)
               .select(F.explode(F.array_repeat("key", times)).alias("key")).orderBy("key").collect()]  # about ``wanted``
-    in_range = thin.withColumn("range", _range_of(F.col("key"), _splitters(sample, ranges)))
+    # written, so that the joins below meet a plain column and not the search for it
+    in_range = materialize(thin.withColumn("range", _range_of(F.col("key"), _splitters(sample, ranges))), "ranged-records")
     full = in_range.groupBy("range").agg(F.sum("size").alias("range_bytes"))  # one row per range
     parts = F.greatest(F.ceil(F.col("range_bytes") * ranges / F.lit(2.0 * max(n_bytes, 1))), F.lit(1))
+    # fewer than GROUP_PART * shards keys can hold more than that part of a shard each
+    large = (in_range.groupBy("key").agg(F.sum("size").alias("b"))
+             .filter(F.col("b") * (GROUP_PART * shards) > n_bytes).select("key", F.lit(True).alias("large")))
+    sub = F.when(F.col("large"), F.xxhash64("doc_id", F.lit("sub"))).otherwise(F.xxhash64("key", F.lit("sub")))
     dealt = (in_range.join(F.broadcast(full.select("range", parts.alias("parts"))), "range")
-             .withColumn("sub", F.when(F.col("parts") > 1, F.pmod(F.xxhash64("doc_id", F.lit("sub")), "parts"))
-                         .otherwise(F.lit(0).cast("long"))).drop("parts"))
+             .join(F.broadcast(large), "key", "left")
+             .withColumn("sub", F.when(F.col("parts") > 1, F.pmod(sub, "parts")).otherwise(F.lit(0).cast("long")))
+             .drop("parts", "large"))
     units = dealt.groupBy("range", "sub").agg(F.sum("size").alias("b"), F.count(F.lit(1)).alias("r"))
     order = Window.orderBy("range", "sub")  # over the ranges, not the records
     starts = units.select("range", "sub", (F.sum("b").over(order) - F.col("b")).alias("bytes_before"),
