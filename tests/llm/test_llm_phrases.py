@@ -249,7 +249,7 @@ def test_parse_counts_each_start_once(words, period):
     before, collocations.PERIOD = collocations.PERIOD, period
     try:
         pieces = pieces_of(" ".join(words))
-        chunks = parse(pieces, 4, collocations._WordHash())
+        chunks = parse(pieces, 4)
     finally:
         collocations.PERIOD = before
     for k in range(1, 6):

@@ -11,7 +11,9 @@
    overlaps count once; in a piece's last chunk every start counts.
 3. Counting goes by length. A phrase is as frequent as its parts at most, so only
    phrases whose parts (all but the last and all but the first word) passed are
-   counted; a bitmap of fixed size tells them, and what it lets through by chance is
+   counted; a bitmap of fixed size tells them. Longer phrases are counted twice: first
+   as 64-bit numbers, which can only be too frequent where two share one, then those
+   that may be frequent as text, exactly. What a bitmap lets through by chance is
    counted and dropped.
 4. Frequent phrases are joined with their cuts' parts and scored in exact
    integers; the best of each language leave by a window that keeps a bounded number per task.
@@ -32,24 +34,19 @@ from tradelens.llm.common import BITMAP_BITS, bitmap_of, materialize, released,
 
 #: A window of words in PERIOD triggers a cut, on average.
 PERIOD = 24
-#: Distinct chunks, and distinct phrases, a task gathers before it passes them on.
-COMBINE_CHUNKS, COMBINE_PHRASES = 200_000, 300_000
-#: Words whose hashes a worker remembers before it starts anew.
-REMEMBERED = 200_000
+#: Distinct chunks, phrases and numbers a task gathers before it passes them on.
+COMBINE_CHUNKS, COMBINE_PHRASES, COMBINE_NUMBERS = 200_000, 300_000, 1 << 21
+#: Chunks that a task looks at together.
+CHUNKS_AT_ONCE = 50_000
 
 _PUNCTUATION = re.compile(r"[.,;:!?\n-\r]")
-_BLANK = re.compile(r"[ \t]+")
-_UPPER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
 _RANDOM = np.random.Generator(np.random.PCG64(20130))
 _MULTIPLIERS = _RANDOM.integers(1, 1 << 63, 16, "u8") | np.uint64(1)
 
 
-class _WordHash(dict):
-    def __missing__(self, word: str) -> int:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        out = self[word] = xxhash.xxh3_64_intdigest(word)
-        return out
+def _word_hashes(words: list[str]) -> np.ndarray:
+    """32 bits of each word, as unsigned 64-bit numbers."""
+    return np.fromiter(map(xxhash.xxh32_intdigest, words), "u8", len(words))
 
 
 def _window_hashes(words: np.ndarray, width: int) -> np.ndarray:
@@ -64,11 +61,12 @@ def _window_hashes(words: np.ndarray, width: int) -> np.ndarray:
 
 def pieces_of(text: str | None) -> list[list[str]]:
     """The pieces of a text that have words, as lists of words, A-Z lower-cased."""
-    found = ([w for w in _BLANK.split(p) if w] for p in _PUNCTUATION.split((text or "").translate(_UPPER)))
+    lowered = (text or "").encode("utf-8").lower().decode("utf-8")  # of bytes: A-Z alone
+    found = ([w for w in p.replace("\t", " ").split(" ") if w] for p in _PUNCTUATION.split(lowered))
     return [words for words in found if words]
 
 
-def parse(pieces: list[list[str]], overlap: int, word_hash: _WordHash) -> list[tuple[str, bool]]:
+def parse(pieces: list[list[str]], overlap: int) -> list[tuple[str, bool]]:
     """The chunks of some pieces, in order: (words joined by spaces, whether it ends its piece).
 
     Neighbouring chunks of a piece share ``overlap`` words, a trigger window.
@@ -78,8 +76,7 @@ def parse(pieces: list[list[str]], overlap: int, word_hash: _WordHash) -> list[t
         return []
     ends = np.cumsum([len(p) for p in pieces])
     starts = np.append(0, ends[:-1])
-    triggers = np.flatnonzero(_window_hashes(np.fromiter(map(word_hash.__getitem__, words), "u8", len(words)), overlap)
-                              % np.uint64(PERIOD) == 0)
+    triggers = np.flatnonzero(_window_hashes(_word_hashes(words), overlap) % np.uint64(PERIOD) == 0)
     piece = np.searchsorted(ends, triggers, "right")
     triggers = triggers[(triggers > starts[piece]) & (triggers + overlap <= ends[piece])]  # inside one piece
     cuts = np.unique(np.concatenate([starts, triggers]))
@@ -94,7 +91,7 @@ def chunk_dictionary(docs: DataFrame, longest: int) -> DataFrame:
     names = ["lang", "chunk", "last", "places"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, word_hash = Counter(), _WordHash()
+        seen = Counter()
 
         def out() -> pa.RecordBatch:
             columns = list(zip(*((*k, n) for k, n in seen.items()), strict=True)) or [()] * 4
@@ -102,8 +99,12 @@ def chunk_dictionary(docs: DataFrame, longest: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 
         for part, texts in slices(batches):
-            for lang, text in zip(part.column(0).to_pylist(), texts, strict=True):
-                seen.update((lang, *c) for c in parse(pieces_of(text), longest - 1, word_hash))
+            found = [pieces_of(text) for text in texts]
+            langs = [lang for lang, p in zip(part.column(0).to_pylist(), found, strict=True) for _ in p]
+            at = 0
+            for chunk, last in parse([words for p in found for words in p], longest - 1):
+                seen[langs[at], chunk, last] += 1
+                at += last
             if len(seen) >= COMBINE_CHUNKS:
                 yield out()
                 seen.clear()
@@ -126,79 +127,157 @@ def word_totals(dictionary: DataFrame, longest: int) -> DataFrame:
     return dictionary.groupBy("lang").agg(F.sum(starts * F.col("places")).cast("long").alias("total"))
 
 
-def count_phrases(dictionary: DataFrame, width: int, longest: int, passed: np.ndarray | None) -> DataFrame:
-    """(lang, phrase, key, f) of phrases of ``width`` words; ``passed`` is a bitmap of the keys of
-    phrases one word shorter whose longer ones are looked for. Equal phrases of a language have equal keys."""
-    shared = None if passed is None else dictionary.sparkSession.sparkContext.broadcast(passed)
-    names = ["lang", "phrase", "key", "f"]
+def with_hashes(dictionary: DataFrame) -> DataFrame:
+    """The dictionary with ``hashes``: 32 bits (little-endian) of each of a chunk's words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        word_hash, lang_hash = _WordHash(), _WordHash()
-        seen: dict[tuple[str, str], list[int]] = {}
+        for batch in batches:
+            words = [c.split(" ") for c in batch.column(1).to_pylist()]
+            length = np.fromiter(map(len, words), "i8", len(words))
+            flat = _word_hashes([w for c in words for w in c]).astype("<u4").tobytes()
+            ends = np.append(0, np.cumsum(length) * 4).tolist()
+            yield batch.append_column("hashes", pa.array(
+                [flat[i:j] for i, j in zip(ends, ends[1:], strict=False)], pa.binary()))
 
-        def out() -> pa.RecordBatch:
-            langs, phrases = list(zip(*seen, strict=True)) or ((), ())
-            keys, f = list(zip(*seen.values(), strict=True)) or ((), ())
-            return pa.RecordBatch.from_arrays(
-                [pa.array(langs, pa.string()), pa.array(phrases, pa.string()), pa.array(keys, pa.int64()),
-                 pa.array(f, pa.int64())], names)
+    return dictionary.select("lang", "chunk", "last", "places").mapInArrow(
+        released(run), "lang string, chunk string, last boolean, places long, hashes binary")
+
+
+class _Places:
+    """The places of a batch of chunks where phrases of ``width`` words start."""
+
+    def __init__(self, langs: list[str], last: np.ndarray, hashes: list[bytes], width: int, longest: int):
+        length = np.fromiter((len(h) // 4 for h in hashes), "i8", len(hashes))
+        self.first = np.cumsum(length) - length
+        self._owner = np.repeat(np.arange(len(hashes)), length)
+        self._words = np.frombuffer(b"".join(hashes), "<u4").astype("u8")
+        self._lang = np.fromiter(map(xxhash.xxh3_64_intdigest, langs), "u8", len(langs))
+        starts = np.minimum(_starts(length, last, longest - 1), length - width + 1)
+        self.at = np.flatnonzero(np.arange(len(self._words)) - self.first[self._owner] < starts[self._owner])
+
+    @property
+    def chunk(self) -> np.ndarray:
+        return self._owner[self.at]
+
+    def keys(self, width: int, shift: int = 0) -> np.ndarray:
+        """A number per place for the ``width`` words from there (or so many words later) on."""
+        found = _window_hashes(self._words, width)[self.at + shift]
+        return (found ^ self._lang[self.chunk]) * _MULTIPLIERS[15]
+
+    def keep(self, bitmap: np.ndarray, keys: np.ndarray) -> None:
+        slot = (keys & np.uint64(BITMAP_BITS - 1)).astype("i8")
+        self.at = self.at[((bitmap[slot >> 6] >> (slot & 63).astype("u8")) & np.uint64(1)).astype(bool)]
 
+
+def may_be_frequent(dictionary: DataFrame, width: int, longest: int, passed: np.ndarray, least: int) -> DataFrame:
+    """(key) of phrases of ``width`` words that may occur ``least`` times, among those both of whose parts
+    are in the bitmap ``passed``. Counts numbers only."""
+    shared = dictionary.sparkSession.sparkContext.broadcast(passed)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+            keys, group = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+            f = np.zeros(len(keys), "i8")
+            np.add.at(f, group, np.concatenate([n for _, n in parts]))
+            return keys, f
+
+        def out(keys: np.ndarray, f: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(keys.view("i8")), pa.array(f)], ["key", "f"])
+
+        gathered = [(np.empty(0, "u8"), np.empty(0, "i8"))]
         for batch in batches:
-            for at in range(0, batch.num_rows, 5000):
-                part = batch.slice(at, 5000)
-                langs, places = part.column(0).to_pylist(), part.column(3).to_numpy()
-                chunks = [c.split(" ") for c in part.column(1).to_pylist()]
-                length = np.fromiter(map(len, chunks), "i8", len(chunks))
-                starts = np.minimum(_starts(length, part.column(2).to_numpy(zero_copy_only=False), longest - 1),
-                                    length - width + 1)
-                words = [w for c in chunks for w in c]
-                lang = np.fromiter(map(lang_hash.__getitem__, langs), "u8", len(langs))
-                owner = np.repeat(np.arange(len(chunks)), length)
-                first = np.cumsum(length) - length
-                hashes = np.fromiter(map(word_hash.__getitem__, words), "u8", len(words))
-                begins = np.flatnonzero(np.arange(len(words)) - first[owner] < starts[owner])
-
-                def keys(k: int, shift: int) -> np.ndarray:
-                    found = _window_hashes(hashes, k)[begins + shift]
-                    return (found ^ lang[owner[begins]]) * _MULTIPLIERS[15]
-
-                if shared is not None and len(begins):
-                    may = np.ones(len(begins), bool)
-                    for shift in (0, 1):
-                        slot = (keys(width - 1, shift) & np.uint64(BITMAP_BITS - 1)).astype("i8")
-                        may &= ((shared.value[slot >> 6] >> (slot & 63).astype("u8")) & np.uint64(1)).astype(bool)
-                    begins = begins[may]
-                if not len(begins):
+            for i in range(0, batch.num_rows, CHUNKS_AT_ONCE):
+                lang, last, times, hashes = (c.slice(i, CHUNKS_AT_ONCE) for c in batch.columns)
+                places = _Places(lang.to_pylist(), last.to_numpy(zero_copy_only=False), hashes.to_pylist(), width, longest)
+                for shift in (0, 1):
+                    if len(places.at):
+                        places.keep(shared.value, places.keys(width - 1, shift))
+                if not len(places.at):
                     continue
-                key, where, group = np.unique(keys(width, 0), return_index=True, return_inverse=True)
-                f = np.zeros(len(key), "i8")
-                np.add.at(f, group, places[owner[begins]])
-                for k, i, n in zip(key.view("i8").tolist(), begins[where].tolist(), f.tolist(), strict=True):
-                    phrase = (langs[owner[i]], " ".join(words[i:i + width]))
-                    known = seen.get(phrase)
-                    if known is None:
-                        seen[phrase] = [k, n]
+                gathered.append((places.keys(width), times.to_numpy()[places.chunk]))
+                if sum(len(k) for k, _ in gathered) >= COMBINE_NUMBERS:
+                    gathered = [merged(gathered)]
+                    if len(gathered[0][0]) >= COMBINE_NUMBERS // 2:
+                        yield out(*gathered[0])
+                        gathered = [(np.empty(0, "u8"), np.empty(0, "i8"))]
+        yield out(*merged(gathered))
+
+    return (dictionary.select("lang", "last", "places", "hashes").mapInArrow(released(run), "key long, f long")
+            .groupBy("key").agg(F.sum("f").alias("f")).filter(F.col("f") >= least).select("key"))
+
+
+def count_phrases(dictionary: DataFrame, width: int, longest: int, wanted: np.ndarray | None) -> DataFrame:
+    """(lang, phrase, f), exact, of the phrases of ``width`` words whose keys are in the bitmap ``wanted`` (all if None)."""
+    shared = None if wanted is None else dictionary.sparkSession.sparkContext.broadcast(wanted)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[str, Counter] = {}
+
+        def out() -> Iterator[pa.RecordBatch]:
+            for lang, counts in seen.items():
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([lang] * len(counts), pa.string()), pa.array(list(counts), pa.string()),
+                     pa.array(list(counts.values()), pa.int64())], ["lang", "phrase", "f"])
+            seen.clear()
+
+        for batch in batches:
+            for i in range(0, batch.num_rows, CHUNKS_AT_ONCE):
+                lang, chunk, last, times, hashes = (c.slice(i, CHUNKS_AT_ONCE) for c in batch.columns)
+                langs, n = lang.to_pylist(), times.to_pylist()
+                places = _Places(langs, last.to_numpy(zero_copy_only=False), hashes.to_pylist(), width, longest)
+                if shared is not None and len(places.at):
+                    places.keep(shared.value, places.keys(width))
+                owners = places.chunk
+                if not len(owners):
+                    continue
+                inside = (places.at - places.first[owners]).tolist()
+                bounds = np.append(np.flatnonzero(np.append(True, owners[1:] != owners[:-1])), len(owners)).tolist()
+                held = owners[bounds[:-1]]
+                texts = chunk.take(pa.array(held)).to_pylist()
+                for c, text, a, b in zip(held.tolist(), texts, bounds, bounds[1:], strict=False):
+                    words = text.split(" ")
+                    phrases = ([words[j] for j in inside[a:b]] if width == 1
+                               else [" ".join(words[j:j + width]) for j in inside[a:b]])
+                    counts = seen.setdefault(langs[c], Counter())
+                    if n[c] == 1:
+                        counts.update(phrases)
                     else:
-                        known[1] += n
-                if len(seen) >= COMBINE_PHRASES:
-                    yield out()
-                    seen.clear()
-        yield out()
+                        for phrase in phrases:
+                            counts[phrase] += n[c]
+                if sum(map(len, seen.values())) >= COMBINE_PHRASES:
+                    yield from out()
+        yield from out()
+
+    return (dictionary.select("lang", "chunk", "last", "places", "hashes")
+            .mapInArrow(released(run), "lang string, phrase string, f long")
+            .groupBy("lang", "phrase").agg(F.sum("f").alias("f")))
+
+
+def _phrase_keys(frequent: DataFrame, width: int) -> DataFrame:
+    """(key) of phrases (lang, phrase) of ``width`` words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            phrases = batch.column(1).to_pylist()
+            hashes = _word_hashes([w for p in phrases for w in p.split(" ")]).astype("<u4").tobytes()
+            places = _Places(batch.column(0).to_pylist(), np.ones(len(phrases), bool),
+                             [hashes[i:i + 4 * width] for i in range(0, len(hashes), 4 * width)], width, width)
+            yield pa.RecordBatch.from_arrays([pa.array(places.keys(width).view("i8"))], ["key"])
 
-    return (dictionary.select("lang", "chunk", "last", "places")
-            .mapInArrow(released(run), "lang string, phrase string, key long, f long")
-            .groupBy("lang", "phrase", "key").agg(F.sum("f").alias("f")))
+    return frequent.select("lang", "phrase").mapInArrow(run, "key long")
 
 
 def frequent_phrases(dictionary: DataFrame, longest: int, least: int) -> DataFrame:
     """(lang, phrase, words, f) of all phrases of 1 to ``longest`` words with f >= least."""
-    out, passed = None, None
+    out, wanted = None, None
     for width in range(1, longest + 1):
-        level = materialize(count_phrases(dictionary, width, longest, passed).filter(F.col("f") >= least),
+        if out is not None:
+            passed = bitmap_of(_phrase_keys(level, width - 1), F.col("key"))
+            wanted = bitmap_of(may_be_frequent(dictionary, width, longest, passed, least), F.col("key"))
+        level = materialize(count_phrases(dictionary, width, longest, wanted).filter(F.col("f") >= least),
                             f"phrases-{width}")
-        passed = bitmap_of(level, F.col("key"))
-        level = level.select("lang", "phrase", F.lit(width).alias("words"), "f")
-        out = level if out is None else out.unionByName(level)
+        sized = level.select("lang", "phrase", F.lit(width).alias("words"), "f")
+        out = sized if out is None else out.unionByName(sized)
     return out
 
 
@@ -232,7 +311,7 @@ def mine_collocations(docs: DataFrame, longest: int = 5, least: int = 100, absor
     absorb_percent * a are left out. Order: score and a descending, phrase by its
     bytes. Repeated rows count as often as they occur; an empty table gives an empty result.
     """
-    dictionary = materialize(chunk_dictionary(docs, longest), "chunks")
+    dictionary = materialize(with_hashes(chunk_dictionary(docs, longest)), "chunks")
     frequent = materialize(frequent_phrases(dictionary, longest, least), "frequent-phrases")
     candidates = frequent.filter(F.col("words") > 1).select("lang", "phrase", "words", F.col("f").alias("a"))
     split, count = F.split("phrase", " "), F.col("words")
