@@ -15,7 +15,7 @@ from tradelens.functions.period import TEST_PERIOD
 from tradelens.oracle import statements
 from tradelens.plans import reports as R
 from tradelens.plans.bundle import run_group, staged, write_report_bundle
-from tradelens.plans.catalog import QUERIES
+from tradelens.plans.catalog import QUERIES, STORED_FIRST
 from tradelens.plans.reports import SharedPlans
 from tradelens.sources.fixtures import derive_tables
 
@@ -142,7 +142,10 @@ def jobs(spark):
 
 
 def test_building_a_plan_starts_no_job(spark, jobs):
+    QUERIES["product_sale"](spark, SF)  # the raw tables' schemas are read once
     for name, query in QUERIES.items():
+        if name in STORED_FIRST:
+            continue
         jobs()
         query(spark, SF)
         assert jobs() == 0, name

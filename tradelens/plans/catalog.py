@@ -164,3 +164,7 @@ QUERIES: dict[str, Query] = {
     "rendered_report": _rendered_report,
     "column_layout_profile": _layout_profile,
 }
+
+#: Queries that first store their tables or totals (jobs by nature) and then read them.
+STORED_FIRST = ("bill_relation_purchase_indexed", "bill_relation_sale_indexed", "customer_summary_copartitioned",
+                "product_sale_rollup", "product_category_sale_rollup")
