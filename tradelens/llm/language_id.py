@@ -28,8 +28,8 @@ from pyspark.sql import DataFrame, functions as F
 from tradelens.llm.common import held_out, materialize, text_or_empty
 from tradelens.llm.pretokens import _LETTER, _NOT_SIMPLE, DEFAULT_TOKENIZER, byte_characters, tokenizer_path
 
-#: Letters of the longest piece; rounds of expectation-maximisation; pseudo-count; probability of an unknown letter.
-LONGEST, ROUNDS, PSEUDO_COUNT, UNKNOWN = 8, 3, 0.1, 1e-8
+#: Rounds of expectation-maximisation; pseudo-count; probability of an unknown letter.
+ROUNDS, PSEUDO_COUNT, UNKNOWN = 3, 0.1, 1e-8
 #: Letters up to which a word's sums are taken without logarithms: UNKNOWN ** 34 is far above the least double.
 SHORT_WORD = 32
 #: Words whose scores a task remembers before it starts anew; distinct words it gathers before it passes them on.
@@ -46,7 +46,7 @@ def letter_words(text: str) -> list[str]:
 
 
 def read_vocabulary(tokenizer: str = DEFAULT_TOKENIZER) -> list[str]:
-    """The pieces: lower-case letters, at most LONGEST, with or without a leading space."""
+    """The pieces: lower-case letters, with or without a leading space."""
     with open(tokenizer_path(tokenizer), encoding="utf-8") as f:
         names = json.load(f)["model"]["vocab"]
     byte_of, pieces = {c: b for b, c in byte_characters().items()}, set()
@@ -56,7 +56,7 @@ def read_vocabulary(tokenizer: str = DEFAULT_TOKENIZER) -> list[str]:
         except (KeyError, UnicodeDecodeError):  # special strings; parts of a character
             continue
         letters = piece.removeprefix(" ")
-        if letters.isalpha() and len(letters) <= LONGEST and piece == piece.lower():
+        if letters.isalpha() and piece == piece.lower():
             pieces.add(piece)
     return sorted(pieces)
 
@@ -65,6 +65,7 @@ class Segmenter:
     """Forward and backward sums over all segmentations of many words at once."""
 
     def __init__(self, vocabulary: list[str]):
+        self.longest = max(map(len, vocabulary), default=1)
         hashes = np.array([self._hashes(self._codes([p]))[len(p) - 1][0, 0] for p in vocabulary], "u8")
         order = np.argsort(hashes)
         self._hash, self._id = hashes[order], order
@@ -76,11 +77,10 @@ class Segmenter:
     def _codes(words: list[str]) -> np.ndarray:
         return np.frombuffer("".join(words).encode("utf-32-le"), "<u4").reshape(len(words), -1).astype("u8")
 
-    @staticmethod
-    def _hashes(codes: np.ndarray) -> list[np.ndarray]:
-        """For k = 1, 2, ..: a hash of the k characters from each place on."""
+    def _hashes(self, codes: np.ndarray) -> list[np.ndarray]:
+        """For k = 1, 2, .. up to the longest piece: a hash of the k characters from each place on."""
         out, h = [], np.zeros_like(codes)
-        for k in range(min(LONGEST + 1, codes.shape[1])):
+        for k in range(min(self.longest, codes.shape[1])):
             h = (h[:, :codes.shape[1] - k] + codes[:, k:] + np.uint64(1)) * _BASE
             h ^= h >> np.uint64(31)
             out.append(h)
@@ -98,24 +98,33 @@ class Segmenter:
             out.append(np.where(ids < 0, self.unknown, ids) if k == 0 else ids)
         return out
 
+    @staticmethod
+    def _somewhere(pieces: list[np.ndarray]) -> list[np.ndarray]:
+        """For each length, the places where any of the words has a piece."""
+        return [(ids >= 0).any(0) for ids in pieces]
+
     @staticmethod
     def forward(pieces: list[np.ndarray], p: np.ndarray) -> np.ndarray:
         """Sums (words, places, languages) over segmentations up to each place; p has a last row of 0."""
         n, length = pieces[0].shape
-        alpha = np.zeros((n, length + 1, p.shape[1]))
+        alpha, found = np.zeros((n, length + 1, p.shape[1])), Segmenter._somewhere(pieces)
         alpha[:, 0] = 1
         for end in range(1, length + 1):
             for k in range(1, min(end, len(pieces)) + 1):
+                if not found[k - 1][end - k]:
+                    continue
                 alpha[:, end] += alpha[:, end - k] * p[pieces[k - 1][:, end - k]]
         return alpha
 
     @staticmethod
     def backward(pieces: list[np.ndarray], p: np.ndarray) -> np.ndarray:
         n, length = pieces[0].shape
-        beta = np.zeros((n, length + 1, p.shape[1]))
+        beta, found = np.zeros((n, length + 1, p.shape[1])), Segmenter._somewhere(pieces)
         beta[:, length] = 1
         for start in range(length - 1, -1, -1):
             for k in range(1, min(length - start, len(pieces)) + 1):
+                if not found[k - 1][start]:
+                    continue
                 beta[:, start] += beta[:, start + k] * p[pieces[k - 1][:, start]]
         return beta
 
@@ -123,20 +132,24 @@ class Segmenter:
     def log_forward(pieces: list[np.ndarray], log_p: np.ndarray) -> np.ndarray:
         """The same in logarithms, for words so long that the sums would underflow."""
         n, length = pieces[0].shape
-        alpha = np.full((n, length + 1, log_p.shape[1]), -np.inf)
+        alpha, found = np.full((n, length + 1, log_p.shape[1]), -np.inf), Segmenter._somewhere(pieces)
         alpha[:, 0] = 0
         for end in range(1, length + 1):
             for k in range(1, min(end, len(pieces)) + 1):
+                if not found[k - 1][end - k]:
+                    continue
                 alpha[:, end] = np.logaddexp(alpha[:, end], alpha[:, end - k] + log_p[pieces[k - 1][:, end - k]])
         return alpha
 
     @staticmethod
     def log_backward(pieces: list[np.ndarray], log_p: np.ndarray) -> np.ndarray:
         n, length = pieces[0].shape
-        beta = np.full((n, length + 1, log_p.shape[1]), -np.inf)
+        beta, found = np.full((n, length + 1, log_p.shape[1]), -np.inf), Segmenter._somewhere(pieces)
         beta[:, length] = 0
         for start in range(length - 1, -1, -1):
             for k in range(1, min(length - start, len(pieces)) + 1):
+                if not found[k - 1][start]:
+                    continue
                 beta[:, start] = np.logaddexp(beta[:, start], beta[:, start + k] + log_p[pieces[k - 1][:, start]])
         return beta
 
