@@ -40,6 +40,15 @@ def test_counts_match_the_library(docs, rows):
         assert (got.n_tokens, got.n_bytes, got.over_limit) == (want, len(r.text.encode()), want > 1024)
 
 
+def test_hot_pieces_are_whole_steps_from_the_top(spark, monkeypatch):
+    counts = [1] * 50 + [2] * 20 + [1000] * 5 + [10**12, 10**12]
+    table = spark.createDataFrame([(f"p{i}", n, 1) for i, n in enumerate(counts)] + [("x" * 65, 10**13, 1)],
+                                  "piece string, n long, tokens int")
+    for most, want in ((1 << 19, 77), (77, 77), (76, 27), (27, 27), (26, 7), (6, 2), (1, 0)):
+        monkeypatch.setattr(token_counts, "HOT_PIECES", most)
+        assert token_counts.hot_pieces(table).count() == want
+
+
 def test_counts_of_edge_rows_with_and_without_hot_pieces(edge_docs, monkeypatch):
     want = Counter((r.doc_id, len((r.text or "").encode()), len(ids_of(r.text))) for r in edge_docs.collect())
     for hot in (token_counts.HOT_PIECES, 3):

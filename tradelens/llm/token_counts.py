@@ -5,9 +5,10 @@
 2. each distinct pre-token is run through the BPE merges once: its number of
    tokens;
 3. the per-document pre-token frequencies are joined with that table and
-   summed. The most frequent pre-tokens (a fixed number of them, so the
+   summed. The most frequent pre-tokens (at most a fixed number of them, so the
    broadcast is bounded; they are the hot keys of the join) are summed where
-   the text is read, the others are joined by a shuffle. No id list of a
+   the text is read, the others are joined by a shuffle. Which ones these are
+   follows from a histogram of their counts, not from a sort. No id list of a
    document is ever built.
 """
 
@@ -25,6 +26,8 @@ from tradelens.llm.pretokens import DEFAULT_TOKENIZER, load_tokens
 #: Pre-tokens whose counts are broadcast, and the longest of them (bytes): at most 32 MB.
 HOT_PIECES = 1 << 19
 HOT_BYTES = 64
+#: Steps of that histogram per doubling of the count (63 doublings at most).
+STEPS = 16
 #: Distinct pre-tokens a task gathers before it passes them on.
 COMBINE_PIECES = 500_000
 
@@ -64,6 +67,21 @@ def count_pieces(pieces: DataFrame, tokenizer: str = DEFAULT_TOKENIZER) -> DataF
     return pieces.mapInArrow(count, "piece string, n long, tokens int")
 
 
+def hot_pieces(table: DataFrame) -> DataFrame:
+    """The rows of (piece, n, tokens) with the highest counts: as many whole steps of the histogram
+    from the top as hold HOT_PIECES rows at most. Long pieces stay outside."""
+    short = table.filter(F.octet_length("piece") <= HOT_BYTES).withColumn(
+        "step", F.floor(F.log2("n") * STEPS).cast("int"))
+    held = short.groupBy("step").agg(F.count(F.lit(1)).alias("c")).toArrow()  # at most 63 * STEPS rows
+    least, total = None, 0
+    for step, c in sorted(zip(held.column(0).to_pylist(), held.column(1).to_pylist(), strict=True), reverse=True):
+        total += c
+        if total > HOT_PIECES:
+            break
+        least = step
+    return short.filter(F.col("step") >= least if least is not None else F.lit(False)).drop("step")
+
+
 def count_tokens(docs: DataFrame, limit: int = 1024, tokenizer: str = DEFAULT_TOKENIZER) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_tokens, over_limit (n_tokens > limit).
 
@@ -75,8 +93,7 @@ def count_tokens(docs: DataFrame, limit: int = 1024, tokenizer: str = DEFAULT_TO
     spark = docs.sparkSession
     table = materialize(count_pieces(distinct_pieces(docs, tokenizer), tokenizer), "piece-tokens")
     # the hot keys: at most HOT_PIECES rows of at most HOT_BYTES bytes reach the driver
-    hot_rows = (table.filter(F.octet_length("piece") <= HOT_BYTES)
-                .orderBy(F.desc("n"), "piece").limit(HOT_PIECES).select("piece", "tokens").toArrow())
+    hot_rows = hot_pieces(table).select("piece", "tokens").toArrow()
     hot = spark.sparkContext.broadcast(
         dict(zip(hot_rows.column(0).to_pylist(), hot_rows.column(1).to_pylist(), strict=True)))
 
