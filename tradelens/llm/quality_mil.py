@@ -8,7 +8,8 @@ passages, and a logistic unit scores the weighted representation:
     h = tanh(E x),  a = softmax(w . (tanh(V h) * sigmoid(U h))),  score = sigmoid(c . sum(a h) + d)
 
 Only document labels are learnt from, on a bounded sample of labelled rows
-(``SAMPLE_DOCS``, by hash of the id). Scoring uses every passage of every text.
+(``SAMPLE_DOCS`` by hash of the id, each with all its passages, in that order as
+far as ``SAMPLE_PASSAGES`` in all allow). Scoring uses every passage of every text.
 """
 
 from __future__ import annotations
@@ -19,14 +20,17 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from tradelens.llm.common import held_out, text_or_empty
+from tradelens.llm.common import held_out, materialize, text_or_empty
 
 #: Words of a passage; hash buckets of its words; sizes of the encoding and of the attention.
 PASSAGE_WORDS, BUCKETS, ENCODING, ATTENTION = 64, 256, 24, 16
-#: The bounded sample: labelled documents, and passages of each (evenly spread) that training sees.
-SAMPLE_DOCS, SAMPLE_PASSAGES = 3000, 32
+#: The bounded sample: labelled documents, and passages of all of them together (about 1 KB each, so
+#: 100 MB at most in the driver). A document is in it with all its passages or not at all.
+SAMPLE_DOCS, SAMPLE_PASSAGES = 3000, 100_000
+#: Passages that training encodes at once.
+CHUNK_PASSAGES = 8192
 EPOCHS, BATCH_DOCS, RATE, DECAY, SEED = 25, 64, 5e-3, 1e-4, 7
 #: Words a task remembers before it starts anew; words it encodes at once.
 REMEMBERED, CHUNK_WORDS = 200_000, 200_000
@@ -112,6 +116,10 @@ class AttentionModel:
     constant: float | None = None  # a score for all texts, where there was nothing to tell apart
 
     def _encode(self, x: np.ndarray) -> tuple[np.ndarray, ...]:
+        parts = [self._encode_chunk(x[a:a + CHUNK_PASSAGES]) for a in range(0, max(len(x), 1), CHUNK_PASSAGES)]
+        return parts[0] if len(parts) == 1 else tuple(map(np.concatenate, zip(*parts, strict=True)))
+
+    def _encode_chunk(self, x: np.ndarray) -> tuple[np.ndarray, ...]:
         w = self.weights
         h = np.tanh(((x - self.centre) / self.spread) @ w["E"] + w["e"])
         t, g = np.tanh(h @ w["V"]), _sigmoid(h @ w["U"])
@@ -131,7 +139,6 @@ class AttentionModel:
     def gradient(self, x: np.ndarray, n_passages: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
         """Of the mean logistic loss."""
         w, starts = self.weights, np.cumsum(n_passages) - n_passages
-        xs = (x - self.centre) / self.spread
         h, t, g, s = self._encode(x)
         a = np.exp(s - np.repeat(np.maximum.reduceat(s, starts), n_passages))
         a /= np.repeat(np.add.reduceat(a, starts), n_passages)
@@ -142,7 +149,9 @@ class AttentionModel:
         d_s = a * (d_a - np.repeat(np.add.reduceat(a * d_a, starts), n_passages))
         d_t, d_g = d_s[:, None] * w["w"] * g * (1 - t * t), d_s[:, None] * w["w"] * t * g * (1 - g)
         d_h = (a[:, None] * d_z + d_t @ w["V"].T + d_g @ w["U"].T) * (1 - h * h)
-        return {"E": xs.T @ d_h, "e": d_h.sum(0), "V": h.T @ d_t, "U": h.T @ d_g, "w": (t * g).T @ d_s,
+        d_e = sum(((x[i:i + CHUNK_PASSAGES] - self.centre) / self.spread).T @ d_h[i:i + CHUNK_PASSAGES]
+                  for i in range(0, len(x), CHUNK_PASSAGES))
+        return {"E": d_e, "e": d_h.sum(0), "V": h.T @ d_t, "U": h.T @ d_g, "w": (t * g).T @ d_s,
                 "c": z.T @ d_logit, "d": np.array([d_logit.sum()])}
 
 
@@ -151,11 +160,13 @@ def train(bags: list[np.ndarray], labels: np.ndarray) -> AttentionModel:
     if len(set(labels.tolist())) < 2:
         return AttentionModel({}, np.zeros(0), np.ones(0), float(labels[0]) if len(labels) else 0.5)
     rng = np.random.default_rng(SEED)
-    every = np.vstack(bags)
-    centre, spread = every.mean(0), every.std(0)
+    total = sum(map(len, bags))
+    centre = sum(b.sum(0, dtype="f8") for b in bags) / total
+    spread = np.sqrt(sum(((b - centre) ** 2).sum(0) for b in bags) / total).astype("f4")
+    centre = centre.astype("f4")
     spread[:_STATS] = np.maximum(spread[:_STATS], 1e-3)
     spread[_STATS:] = max(float(spread[_STATS:].mean()), 1e-3) * 4  # hashed words share one, smaller scale
-    n = every.shape[1]
+    n = len(centre)
 
     def start(*shape: int) -> np.ndarray:
         return rng.normal(0, 1 / np.sqrt(shape[0]), shape)
@@ -191,14 +202,19 @@ def learn(docs: DataFrame, labels: DataFrame) -> AttentionModel:
             found = []
             for text in batch.column(1).to_pylist():
                 x, (n,) = encoder([text])
-                kept = np.unique(np.linspace(0, n - 1, min(n, SAMPLE_PASSAGES)).astype("i8"))
-                found.append(x[kept].tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary()), batch.column(2)],
-                                             ["doc_id", "bag", "quality"])
+                found.append((x.tobytes(), int(n)))
+            bag, n = zip(*found, strict=True) if found else ((), ())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(bag, pa.binary()), pa.array(n, pa.int64()), batch.column(2)],
+                ["doc_id", "bag", "n", "quality"])
 
     texts = (docs.select("doc_id", text_or_empty().alias("text"))
              .join(F.broadcast(chosen), "doc_id").select("doc_id", "text", F.col("quality").cast("int")))
-    rows = texts.mapInArrow(bags, "doc_id long, bag binary, quality int").toArrow().sort_by("doc_id")
+    bagged = materialize(texts.mapInArrow(bags, "doc_id long, bag binary, n long, quality int"), "quality-bags")
+    so_far = F.sum("n").over(Window.orderBy(F.xxhash64("doc_id"), "doc_id", "n").rowsBetween(Window.unboundedPreceding, 0))
+    within = (bagged.select("doc_id", "n").withColumn("so_far", so_far)  # SAMPLE_DOCS ids
+              .groupBy("doc_id").agg(F.max("so_far").alias("so_far")).filter(F.col("so_far") <= SAMPLE_PASSAGES))
+    rows = bagged.join(within.select("doc_id"), "doc_id").select("doc_id", "bag", "quality").toArrow().sort_by("doc_id")
     width = _STATS + BUCKETS
     return train([np.frombuffer(b, "f4").reshape(-1, width) for b in rows.column("bag").to_pylist()],
                  np.asarray(rows.column("quality").to_pylist(), "f8"))
@@ -214,7 +230,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, accept: float = 0.3) -> Da
     they occur; an empty table gives an empty result.
     """
     model = docs.sparkSession.sparkContext.broadcast(learn(docs, labels))
-    
+
     marked = docs.drop("held_out", "score", "predicted").withColumn("held_out", held_out())
     schema = marked.withColumn("score", F.lit(0.0)).schema
     at, names = marked.columns.index("text"), schema.names
