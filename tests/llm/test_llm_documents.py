@@ -7,10 +7,11 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tradelens.llm import jaccard_join
-from tradelens.llm.common import held_out, read
+from tradelens.llm import jaccard_join, quality_mil
+from tradelens.llm.common import held_out, materialize, read
 from tradelens.llm.components import components
 from tradelens.llm.decontaminate import find_leaks
 from tradelens.llm.jaccard_join import _band, drop_near_copies, jaccard_components, join_region, not_alone
@@ -88,6 +89,14 @@ def test_jaccard_edge_rows(edge_docs, no_docs):
     assert jaccard_components(no_docs).collect() == []
 
 
+def test_different_texts_of_one_id_all_stay(spark):
+    a, b, c = prose(90, 80), prose(91, 80), prose(92, 80)
+    rows = [(1, a), (2, b), (2, b), (2, c), (3, b), (4, c), (4, c), (5, a)]
+    kept = drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(set(kept)) == len(kept) and set(kept) <= {tuple(r) for r in rows}
+    assert {r.text for r in kept} == {a, b, c} and {(1, a), (2, b), (2, c)} <= set(kept) and (5, a) not in kept
+
+
 def test_region_join_and_filter_lose_no_link():
     rng = np.random.default_rng(3)
     for _ in range(30):
@@ -289,6 +298,31 @@ def test_gradient_of_the_attention_model():
         assert g[i] == pytest.approx((up - down) / 2e-5, rel=1e-4, abs=1e-8)
 
 
+def test_gradient_and_score_in_chunks(monkeypatch):
+    rng = np.random.default_rng(8)
+    bags = [rng.normal(size=(k, quality_mil._STATS + quality_mil.BUCKETS)).astype("f4") for k in (1, 9, 4, 30)]
+    y, n = np.array([0.0, 1, 0, 1]), np.array([len(b) for b in bags])
+    model = quality_mil.train(bags, y)
+    whole, scores = model.gradient(np.vstack(bags), n, y), model.score(np.vstack(bags), n)
+    monkeypatch.setattr(quality_mil, "CHUNK_PASSAGES", 7)
+    assert np.allclose(model.score(np.vstack(bags), n), scores)
+    for k, g in model.gradient(np.vstack(bags), n, y).items():
+        assert np.allclose(g, whole[k]), k
+
+
+def test_sample_holds_whole_documents(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, prose(i, 64 * (1 + i % 5))) for i in range(60)], "doc_id long, text string")
+    labels = docs.selectExpr("doc_id", "cast(doc_id % 2 as int) as quality")
+    seen = {}
+    monkeypatch.setattr(quality_mil, "train", lambda bags, y: seen.update(bags=bags, y=y))
+    quality_mil.learn(docs, labels)
+    assert len(seen["y"]) == labels.filter(~held_out()).count()
+    every = sorted(map(len, seen["bags"]))
+    monkeypatch.setattr(quality_mil, "SAMPLE_PASSAGES", 50)
+    quality_mil.learn(docs, labels)
+    assert 45 <= sum(map(len, seen["bags"])) <= 50 and set(map(len, seen["bags"])) <= set(every)
+
+
 def test_chunks_give_the_same_features():
     texts = [prose(i, 20 + 50 * i) for i in range(8)] + [""]
     whole, n = PassageEncoder()(texts)
@@ -360,6 +394,37 @@ def test_pipeline_stages(spark):
 def test_pipeline_run_is_its_stages(spark):
     import __spark_entry__ as entry
 
-    out = entry.queries()["pipeline"](spark, "/root/testdata/sf0.001")
+    data = "/root/testdata/sf0.001"
+    out = entry.queries()["pipeline"](spark, data)
     assert out.columns[:7] == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
-    assert out.count() > 0
+    now = read(spark, data, "documents")
+    for name, stage in corpus_pipeline.STAGES:
+        now = materialize(stage(spark, now, data), f"test-{name}")
+
+    def documents(pieces):  # the layout follows partitions, the documents' tokens don't
+        return Counter((r.doc_id, r.doc_tokens) for r in pieces if r.start == 0)
+
+    got = out.collect()
+    assert got and documents(got) == documents(now.collect())
+
+
+def test_pipeline_stages_on_edge_rows(spark, edge_docs, no_docs):
+    """Columns called like the operators' own come through; NULL, empty, long and repeated rows have a result."""
+    data = "/root/testdata/sf0.001"
+    docs = edge_docs.withColumnsRenamed({"gone": "Gone", "score": "SCORE"}).withColumn("predicted", F.lit("clash"))
+    start = Counter(r.doc_id for r in docs.collect())
+    clashing = [c for c in docs.columns if c not in ("doc_id", "text", "lang", "source", "n_chars")]
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, data)
+        assert out.columns == docs.columns and out.dtypes == docs.dtypes, name
+        rows = out.collect()
+        assert all(r[c] == "clash" for r in rows for c in clashing), name
+        left = Counter(r.doc_id for r in rows)
+        assert left <= start, name
+        if name == "line_dedup":
+            assert left == start
+        if name == "jaccard_join":
+            assert left == Counter([1, 2, 3, 4, 5, 6, 8, None, 9, 10])
+        if name == "benchmark_decontamination":
+            assert left == start
+        assert stage(spark, no_docs, data).collect() == [], name

@@ -88,6 +88,18 @@ def split_by_bitmap(df: DataFrame, key: Column, bitmap: np.ndarray) -> tuple[Dat
     return rows(True), rows(False)
 
 
+def set_aside(df: DataFrame, *names: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """(``df`` with its columns called like one of ``names`` renamed, a function that gives a frame derived
+    from it the columns of ``df`` again: theirs and no others, by their own names, in their order)."""
+    taken = {n.lower() for n in names}
+    apart = {c: f"__aside_{i}" for i, c in enumerate(df.columns) if c.lower() in taken}
+
+    def back(out: DataFrame) -> DataFrame:
+        return out.select(*(F.col(apart.get(c, c)).alias(c) for c in df.columns))
+
+    return df.withColumnsRenamed(apart), back
+
+
 def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
