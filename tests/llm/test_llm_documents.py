@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tradelens.llm import jaccard_join, quality_mil
-from tradelens.llm.common import held_out, materialize, read
+from tradelens.llm.common import held_out, read
 from tradelens.llm.components import components
 from tradelens.llm.decontaminate import find_leaks
 from tradelens.llm.jaccard_join import _band, drop_near_copies, jaccard_components, join_region, not_alone
@@ -362,18 +362,22 @@ def test_held_out_is_crc32_mod_5(spark):
 
 # ------------------------------------------------------------------ pipeline
 
-def test_pipeline_stages(spark):
+@pytest.fixture(scope="module")
+def staged(spark):
+    """The documents and each stage's result, stage by stage."""
+    data = "/root/testdata/sf0.001"
+    frames = [read(spark, data, "documents")]
+    for _, stage in corpus_pipeline.STAGES:
+        now = stage(spark, frames[-1], data)
+        frames.append(spark.createDataFrame(now.collect(), now.schema))
+    return frames
+
+
+def test_pipeline_stages(spark, staged):
     data = "/root/testdata/sf0.001"
-    docs = read(spark, data, "documents")
     truth = {r.doc_id: r.quality for r in read(spark, data, "labels").collect()}
-    frames, now = [docs], docs
-    for name, stage in corpus_pipeline.STAGES:
-        now = stage(spark, now, data)
-        now = spark.createDataFrame(now.collect(), now.schema)
-        frames.append(now)
-        if name != "packing":
-            assert now.columns == docs.columns
-    start, good, lines, single, clean, packed = frames
+    start, good, lines, single, clean, packed = staged
+    assert all(frame.columns == start.columns for frame in staged[:-1])
     kept = {r.doc_id for r in good.collect()}
     labelled = [(i in kept) == (q == 1) for i, q in truth.items()]
     assert sum(labelled) / len(labelled) > 0.9
@@ -391,21 +395,16 @@ def test_pipeline_stages(spark):
     assert all(n == total for (_, total), n in sums.items()) and {i for i, _ in sums} == {r.doc_id for r in clean.collect()}
 
 
-def test_pipeline_run_is_its_stages(spark):
+def test_pipeline_run_is_its_stages(spark, staged):
     import __spark_entry__ as entry
 
-    data = "/root/testdata/sf0.001"
-    out = entry.queries()["pipeline"](spark, data)
+    out = entry.queries()["pipeline"](spark, "/root/testdata/sf0.001")
     assert out.columns[:7] == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
-    now = read(spark, data, "documents")
-    for name, stage in corpus_pipeline.STAGES:
-        now = materialize(stage(spark, now, data), f"test-{name}")
-
     def documents(pieces):  # the layout follows partitions, the documents' tokens don't
         return Counter((r.doc_id, r.doc_tokens) for r in pieces if r.start == 0)
 
     got = out.collect()
-    assert got and documents(got) == documents(now.collect())
+    assert got and documents(got) == documents(staged[-1].collect())
 
 
 def test_pipeline_stages_on_edge_rows(spark, edge_docs, no_docs):
