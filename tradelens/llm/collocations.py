@@ -27,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
@@ -35,7 +36,7 @@ from tradelens.llm.common import BITMAP_BITS, bitmap_of, materialize, released,
 #: A window of words in PERIOD triggers a cut, on average.
 PERIOD = 24
 #: Distinct chunks, phrases and numbers a task gathers before it passes them on.
-COMBINE_CHUNKS, COMBINE_PHRASES, COMBINE_NUMBERS = 200_000, 300_000, 1 << 21
+COMBINE_CHUNKS, COMBINE_PHRASES, COMBINE_NUMBERS = 200_000, 1_000_000, 1 << 21
 #: Chunks that a task looks at together.
 CHUNKS_AT_ONCE = 50_000
 
@@ -127,33 +128,53 @@ def word_totals(dictionary: DataFrame, longest: int) -> DataFrame:
     return dictionary.groupBy("lang").agg(F.sum(starts * F.col("places")).cast("long").alias("total"))
 
 
+def _words_of(chunks: pa.Array) -> pa.ListArray:
+    return pc.split_pattern(chunks.cast(pa.large_string()), " ")
+
+
+def _hashes_of(chunks: pa.Array) -> pa.Array:
+    """32 bits (little-endian) of each of a chunk's words, hashed once per distinct word."""
+    if not len(chunks):
+        return pa.array([], pa.binary())
+    words = _words_of(chunks)
+    coded = words.flatten().dictionary_encode()
+    flat = _word_hashes(coded.dictionary.to_pylist()).astype("<u4")[coded.indices.to_numpy()]
+    ends = np.append(0, np.cumsum(pc.list_value_length(words).to_numpy()) * 4).astype("i4")
+    return pa.Array.from_buffers(pa.binary(), len(chunks), [None, pa.py_buffer(ends), pa.py_buffer(flat)])
+
+
 def with_hashes(dictionary: DataFrame) -> DataFrame:
     """The dictionary with ``hashes``: 32 bits (little-endian) of each of a chunk's words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words = [c.split(" ") for c in batch.column(1).to_pylist()]
-            length = np.fromiter(map(len, words), "i8", len(words))
-            flat = _word_hashes([w for c in words for w in c]).astype("<u4").tobytes()
-            ends = np.append(0, np.cumsum(length) * 4).tolist()
-            yield batch.append_column("hashes", pa.array(
-                [flat[i:j] for i, j in zip(ends, ends[1:], strict=False)], pa.binary()))
+            yield batch.append_column("hashes", _hashes_of(batch.column(1)))
 
     return dictionary.select("lang", "chunk", "last", "places").mapInArrow(
         released(run), "lang string, chunk string, last boolean, places long, hashes binary")
 
 
+def _joined(column: pa.Array) -> memoryview:
+    """The bytes of a column's values, one after the other."""
+    column = column.cast(pa.large_binary())
+    _, ends, data = column.buffers()
+    ends = np.frombuffer(ends, "i8")[column.offset:column.offset + len(column) + 1] if len(column) else [0, 0]
+    return memoryview(data or b"")[ends[0]:ends[-1]]
+
+
 class _Places:
     """The places of a batch of chunks where phrases of ``width`` words start."""
 
-    def __init__(self, langs: list[str], last: np.ndarray, hashes: list[bytes], width: int, longest: int):
-        length = np.fromiter((len(h) // 4 for h in hashes), "i8", len(hashes))
-        self.first = np.cumsum(length) - length
+    def __init__(self, langs: pa.Array, last: np.ndarray, hashes: pa.Array, width: int, longest: int):
+        length = pc.binary_length(hashes).to_numpy().astype("i8") // 4
         self._owner = np.repeat(np.arange(len(hashes)), length)
-        self._words = np.frombuffer(b"".join(hashes), "<u4").astype("u8")
-        self._lang = np.fromiter(map(xxhash.xxh3_64_intdigest, langs), "u8", len(langs))
+        self._words = np.frombuffer(_joined(hashes), "<u4").astype("u8")
+        coded = langs.dictionary_encode()
+        numbers = [xxhash.xxh3_64_intdigest(lang) for lang in coded.dictionary.to_pylist()]
+        self._lang = np.array(numbers, "u8")[coded.indices.to_numpy()]
         starts = np.minimum(_starts(length, last, longest - 1), length - width + 1)
-        self.at = np.flatnonzero(np.arange(len(self._words)) - self.first[self._owner] < starts[self._owner])
+        inside = np.arange(len(self._words)) - np.repeat(np.cumsum(length) - length, length)
+        self.at = np.flatnonzero(inside < starts[self._owner])
 
     @property
     def chunk(self) -> np.ndarray:
@@ -188,7 +209,7 @@ def may_be_frequent(dictionary: DataFrame, width: int, longest: int, passed: np.
         for batch in batches:
             for i in range(0, batch.num_rows, CHUNKS_AT_ONCE):
                 lang, last, times, hashes = (c.slice(i, CHUNKS_AT_ONCE) for c in batch.columns)
-                places = _Places(lang.to_pylist(), last.to_numpy(zero_copy_only=False), hashes.to_pylist(), width, longest)
+                places = _Places(lang, last.to_numpy(zero_copy_only=False), hashes, width, longest)
                 for shift in (0, 1):
                     if len(places.at):
                         places.keep(shared.value, places.keys(width - 1, shift))
@@ -209,44 +230,34 @@ def may_be_frequent(dictionary: DataFrame, width: int, longest: int, passed: np.
 def count_phrases(dictionary: DataFrame, width: int, longest: int, wanted: np.ndarray | None) -> DataFrame:
     """(lang, phrase, f), exact, of the phrases of ``width`` words whose keys are in the bitmap ``wanted`` (all if None)."""
     shared = None if wanted is None else dictionary.sparkSession.sparkContext.broadcast(wanted)
+    counted = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("f", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[str, Counter] = {}
-
-        def out() -> Iterator[pa.RecordBatch]:
-            for lang, counts in seen.items():
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang] * len(counts), pa.string()), pa.array(list(counts), pa.string()),
-                     pa.array(list(counts.values()), pa.int64())], ["lang", "phrase", "f"])
-            seen.clear()
+        def merged(parts: list[pa.Table]) -> pa.Table:
+            sums = pa.concat_tables(parts).group_by(["lang", "phrase"], use_threads=False).aggregate([("f", "sum")])
+            return sums.select(["lang", "phrase", "f_sum"]).rename_columns(["lang", "phrase", "f"])
 
+        gathered: list[pa.Table] = []
         for batch in batches:
             for i in range(0, batch.num_rows, CHUNKS_AT_ONCE):
                 lang, chunk, last, times, hashes = (c.slice(i, CHUNKS_AT_ONCE) for c in batch.columns)
-                langs, n = lang.to_pylist(), times.to_pylist()
-                places = _Places(langs, last.to_numpy(zero_copy_only=False), hashes.to_pylist(), width, longest)
+                places = _Places(lang, last.to_numpy(zero_copy_only=False), hashes, width, longest)
                 if shared is not None and len(places.at):
                     places.keep(shared.value, places.keys(width))
-                owners = places.chunk
-                if not len(owners):
+                if not len(places.at):
                     continue
-                inside = (places.at - places.first[owners]).tolist()
-                bounds = np.append(np.flatnonzero(np.append(True, owners[1:] != owners[:-1])), len(owners)).tolist()
-                held = owners[bounds[:-1]]
-                texts = chunk.take(pa.array(held)).to_pylist()
-                for c, text, a, b in zip(held.tolist(), texts, bounds, bounds[1:], strict=False):
-                    words = text.split(" ")
-                    phrases = ([words[j] for j in inside[a:b]] if width == 1
-                               else [" ".join(words[j:j + width]) for j in inside[a:b]])
-                    counts = seen.setdefault(langs[c], Counter())
-                    if n[c] == 1:
-                        counts.update(phrases)
-                    else:
-                        for phrase in phrases:
-                            counts[phrase] += n[c]
-                if sum(map(len, seen.values())) >= COMBINE_PHRASES:
-                    yield from out()
-        yield from out()
+                words, owner = _words_of(chunk).flatten(), pa.array(places.chunk)
+                parts = [words.take(pa.array(places.at + k)) for k in range(width)]
+                gathered.append(pa.table({
+                    "lang": lang.take(owner), "f": times.take(owner),
+                    "phrase": parts[0] if width == 1 else pc.binary_join_element_wise(*parts, pa.scalar(" ", pa.large_string()))}))
+                if sum(t.num_rows for t in gathered) >= COMBINE_PHRASES:
+                    gathered = [merged(gathered)]
+                    if gathered[0].num_rows >= COMBINE_PHRASES // 2:
+                        yield from gathered[0].cast(counted).to_batches()
+                        gathered = []
+        if gathered:
+            yield from merged(gathered).cast(counted).to_batches()
 
     return (dictionary.select("lang", "chunk", "last", "places", "hashes")
             .mapInArrow(released(run), "lang string, phrase string, f long")
@@ -258,10 +269,7 @@ def _phrase_keys(frequent: DataFrame, width: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            phrases = batch.column(1).to_pylist()
-            hashes = _word_hashes([w for p in phrases for w in p.split(" ")]).astype("<u4").tobytes()
-            places = _Places(batch.column(0).to_pylist(), np.ones(len(phrases), bool),
-                             [hashes[i:i + 4 * width] for i in range(0, len(hashes), 4 * width)], width, width)
+            places = _Places(batch.column(0), np.ones(batch.num_rows, bool), _hashes_of(batch.column(1)), width, width)
             yield pa.RecordBatch.from_arrays([pa.array(places.keys(width).view("i8"))], ["key"])
 
     return frequent.select("lang", "phrase").mapInArrow(run, "key long")
