@@ -217,9 +217,12 @@ def collocations_by_hand(rows, longest, least, top):
     return out
 
 
-@pytest.mark.parametrize("least, top, period", [(5, 40, 24), (3, 2000, 2)])
-def test_collocations(docs, rows, monkeypatch, least, top, period):
+@pytest.mark.parametrize("least, top, period, at_once, combine", [(5, 40, 24, 50_000, 1 << 20), (3, 2000, 2, 700, 5000)])
+def test_collocations(docs, rows, monkeypatch, least, top, period, at_once, combine):
     monkeypatch.setattr(collocations, "PERIOD", period)
+    monkeypatch.setattr(collocations, "CHUNKS_AT_ONCE", at_once)
+    monkeypatch.setattr(collocations, "COMBINE_PHRASES", combine)
+    monkeypatch.setattr(collocations, "COMBINE_NUMBERS", combine)
     got = mine_collocations(docs, least=least, top=top).collect()
     assert Counter(map(tuple, got)) == Counter(collocations_by_hand(rows, 5, least, top)) and len(got) > 40
 

@@ -194,6 +194,7 @@ def may_be_frequent(dictionary: DataFrame, width: int, longest: int, passed: np.
     """(key) of phrases of ``width`` words that may occur ``least`` times, among those both of whose parts
     are in the bitmap ``passed``. Counts numbers only."""
     shared = dictionary.sparkSession.sparkContext.broadcast(passed)
+    at_once, combine = CHUNKS_AT_ONCE, COMBINE_NUMBERS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -207,8 +208,8 @@ def may_be_frequent(dictionary: DataFrame, width: int, longest: int, passed: np.
 
         gathered = [(np.empty(0, "u8"), np.empty(0, "i8"))]
         for batch in batches:
-            for i in range(0, batch.num_rows, CHUNKS_AT_ONCE):
-                lang, last, times, hashes = (c.slice(i, CHUNKS_AT_ONCE) for c in batch.columns)
+            for i in range(0, batch.num_rows, at_once):
+                lang, last, times, hashes = (c.slice(i, at_once) for c in batch.columns)
                 places = _Places(lang, last.to_numpy(zero_copy_only=False), hashes, width, longest)
                 for shift in (0, 1):
                     if len(places.at):
@@ -216,9 +217,9 @@ def may_be_frequent(dictionary: DataFrame, width: int, longest: int, passed: np.
                 if not len(places.at):
                     continue
                 gathered.append((places.keys(width), times.to_numpy()[places.chunk]))
-                if sum(len(k) for k, _ in gathered) >= COMBINE_NUMBERS:
+                if sum(len(k) for k, _ in gathered) >= combine:
                     gathered = [merged(gathered)]
-                    if len(gathered[0][0]) >= COMBINE_NUMBERS // 2:
+                    if len(gathered[0][0]) >= combine // 2:
                         yield out(*gathered[0])
                         gathered = [(np.empty(0, "u8"), np.empty(0, "i8"))]
         yield out(*merged(gathered))
@@ -230,6 +231,7 @@ def may_be_frequent(dictionary: DataFrame, width: int, longest: int, passed: np.
 def count_phrases(dictionary: DataFrame, width: int, longest: int, wanted: np.ndarray | None) -> DataFrame:
     """(lang, phrase, f), exact, of the phrases of ``width`` words whose keys are in the bitmap ``wanted`` (all if None)."""
     shared = None if wanted is None else dictionary.sparkSession.sparkContext.broadcast(wanted)
+    at_once, combine = CHUNKS_AT_ONCE, COMBINE_PHRASES
     counted = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("f", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -239,8 +241,8 @@ def count_phrases(dictionary: DataFrame, width: int, longest: int, wanted: np.nd
 
         gathered: list[pa.Table] = []
         for batch in batches:
-            for i in range(0, batch.num_rows, CHUNKS_AT_ONCE):
-                lang, chunk, last, times, hashes = (c.slice(i, CHUNKS_AT_ONCE) for c in batch.columns)
+            for i in range(0, batch.num_rows, at_once):
+                lang, chunk, last, times, hashes = (c.slice(i, at_once) for c in batch.columns)
                 places = _Places(lang, last.to_numpy(zero_copy_only=False), hashes, width, longest)
                 if shared is not None and len(places.at):
                     places.keep(shared.value, places.keys(width))
@@ -248,12 +250,12 @@ def count_phrases(dictionary: DataFrame, width: int, longest: int, wanted: np.nd
                     continue
                 words, owner = _words_of(chunk).flatten(), pa.array(places.chunk)
                 parts = [words.take(pa.array(places.at + k)) for k in range(width)]
-                gathered.append(pa.table({
-                    "lang": lang.take(owner), "f": times.take(owner),
-                    "phrase": parts[0] if width == 1 else pc.binary_join_element_wise(*parts, pa.scalar(" ", pa.large_string()))}))
-                if sum(t.num_rows for t in gathered) >= COMBINE_PHRASES:
+                space = pa.scalar(" ", pa.large_string())
+                phrase = parts[0] if width == 1 else pc.binary_join_element_wise(*parts, space)
+                gathered.append(pa.table({"lang": lang.take(owner), "phrase": phrase, "f": times.take(owner)}))
+                if sum(t.num_rows for t in gathered) >= combine:
                     gathered = [merged(gathered)]
-                    if gathered[0].num_rows >= COMBINE_PHRASES // 2:
+                    if gathered[0].num_rows >= combine // 2:
                         yield from gathered[0].cast(counted).to_batches()
                         gathered = []
         if gathered:
