@@ -162,6 +162,11 @@ def _joined(column: pa.Array) -> memoryview:
     return memoryview(data or b"")[ends[0]:ends[-1]]
 
 
+def _long_enough(dictionary: DataFrame, width: int) -> DataFrame:
+    """The chunks of ``width`` words and more; no phrase of that length starts in others."""
+    return dictionary.filter(F.octet_length("hashes") >= 4 * width)
+
+
 class _Places:
     """The places of a batch of chunks where phrases of ``width`` words start."""
 
@@ -224,7 +229,8 @@ def may_be_frequent(dictionary: DataFrame, width: int, longest: int, passed: np.
                         gathered = [(np.empty(0, "u8"), np.empty(0, "i8"))]
         yield out(*merged(gathered))
 
-    return (dictionary.select("lang", "last", "places", "hashes").mapInArrow(released(run), "key long, f long")
+    return (_long_enough(dictionary, width).select("lang", "last", "places", "hashes")
+            .mapInArrow(released(run), "key long, f long")
             .groupBy("key").agg(F.sum("f").alias("f")).filter(F.col("f") >= least).select("key"))
 
 
@@ -261,7 +267,7 @@ def count_phrases(dictionary: DataFrame, width: int, longest: int, wanted: np.nd
         if gathered:
             yield from merged(gathered).cast(counted).to_batches()
 
-    return (dictionary.select("lang", "chunk", "last", "places", "hashes")
+    return (_long_enough(dictionary, width).select("lang", "chunk", "last", "places", "hashes")
             .mapInArrow(released(run), "lang string, phrase string, f long")
             .groupBy("lang", "phrase").agg(F.sum("f").alias("f")))
 
