@@ -96,58 +96,56 @@ def _union(dfs: list[DataFrame]) -> DataFrame:
     return out
 
 
-def _of_each_spec(src: DataFrame, key: Column, columns) -> DataFrame:
-    """One row per source row and spec that applies to it, from one scan: ``columns(spec)``
-    gives the row (None: the spec doesn't apply)."""
-    rows = []
-    for spec in _stock_bill_specs(key):
-        row, applies = columns(spec)
-        rows.append(row if applies is None else F.when(applies, row))
-    return src.select(F.explode(F.array_compact(F.array(*rows))).alias("r")).select("r.*")
+def _of_each_spec(src: DataFrame, specs: list[dict]) -> DataFrame:
+    """One row per source row and spec that applies to it, from one scan, with the spec's ``bill_type``.
+
+    Only the type is exploded: the other columns pass by, so those that a query doesn't
+    use are pruned, and casts made in ``src`` run once per source row.
+    """
+    types = [F.lit(s["type"]) if s["where"] is None else F.when(s["where"], F.lit(s["type"])) for s in specs]
+    return src.select("*", F.explode(F.array_compact(F.array(*types))).alias("bill_type"))
+
+
+def _by_type(specs: list[dict], value) -> Column:
+    """``value(spec)`` of the row's type; None: NULL."""
+    out = F
+    for s in specs:
+        v = value(s)
+        out = out.when(F.col("bill_type") == s["type"], F.lit(v) if v is None or isinstance(v, int) else v)
+    return out
 
 
 def _stock_bills_ext(orders: DataFrame) -> DataFrame:
     """stock_bill plus the browse-view link columns (use_bill_type, relation_from)."""
     k = F.col("o_orderkey")
-
-    def columns(s):
-        return F.struct(
-            (F.lit(s["offset"]) + k + 1).cast("bigint").alias("bill_id"),
-            (k % 7 + 1).cast("bigint").alias("dept_id"),
-            s["party"].cast("bigint").alias("party_id"),
-            (k % 11 + 1).cast("bigint").alias("handler_id"),
-            _code("memo ", k % 100).alias("memo"),
-            _plus_days(F.col("o_orderdate"), s["days"]).alias("bill_date"),
-            _code(f"B{s['type']}-", k + 1).alias("bill_code"),
-            F.lit(s["type"]).cast("int").alias("bill_type"),
-            s["use_id"].cast("bigint").alias("use_id"),
-            _m(F.col("o_totalprice")).alias("bill_amount"),
-            (s["use_type"] if s["use_type"] is not None else F.lit(None)).cast("int")
-            .alias("use_bill_type"),
-            (s["rel"] if s["rel"] is not None else F.lit(None)).cast("string")
-            .alias("relation_from"),
-        ), s["where"]
-
-    return _of_each_spec(orders, k, columns)
+    specs = _stock_bill_specs(k)
+    rows = _of_each_spec(orders.withColumn("bill_amount", _m(F.col("o_totalprice"))), specs)
+    return rows.select(
+        (_by_type(specs, lambda s: s["offset"]) + k + 1).cast("bigint").alias("bill_id"),
+        (k % 7 + 1).cast("bigint").alias("dept_id"),
+        _by_type(specs, lambda s: s["party"].cast("bigint")).alias("party_id"),
+        (k % 11 + 1).cast("bigint").alias("handler_id"),
+        _code("memo ", k % 100).alias("memo"),
+        _by_type(specs, lambda s: _plus_days(F.col("o_orderdate"), s["days"])).alias("bill_date"),
+        F.concat(F.lit("B"), F.col("bill_type").cast("string"), F.lit("-"), (k + 1).cast("string")).alias("bill_code"),
+        "bill_type",
+        _by_type(specs, lambda s: s["use_id"].cast("bigint")).alias("use_id"),
+        "bill_amount",
+        _by_type(specs, lambda s: s["use_type"]).cast("int").alias("use_bill_type"),
+        _by_type(specs, lambda s: s["rel"]).cast("string").alias("relation_from"))
 
 
 def _stock_lines(lineitem: DataFrame) -> DataFrame:
     k = F.col("l_orderkey")
-
-    def columns(s):
-        applies = s["where"]
-        if s["type"] == 1199:
-            applies = applies & (F.col("l_returnflag") == "R")
-        return F.struct(
-            (F.lit(s["offset"]) + k + 1).cast("bigint").alias("bill_id"),
-            (F.col("l_partkey") + 1).alias("goods_id"),
-            _m(F.col("l_quantity")).alias("qty"),
-            _m(F.col("l_extendedprice")).alias("price"),
-            _m(F.col("l_extendedprice")).alias("amount"),
-            (F.lit(1) - F.col("l_discount")).cast(RATE).alias("disc_rate"),
-        ), applies
-
-    return conform(_of_each_spec(lineitem, k, columns), "stock_line")
+    specs = [{**s, "where": s["where"] & (F.col("l_returnflag") == "R")} if s["type"] == 1199 else s
+             for s in _stock_bill_specs(k)]
+    lines = lineitem.select(
+        "l_orderkey", "l_returnflag", (F.col("l_partkey") + 1).alias("goods_id"),
+        _m(F.col("l_quantity")).alias("qty"), _m(F.col("l_extendedprice")).alias("price"),
+        (F.lit(1) - F.col("l_discount")).cast(RATE).alias("disc_rate"))
+    return conform(_of_each_spec(lines, specs).select(
+        (_by_type(specs, lambda s: s["offset"]) + k + 1).cast("bigint").alias("bill_id"),
+        "goods_id", "qty", "price", F.col("price").alias("amount"), "disc_rate"), "stock_line")
 
 
 def _pos(events: DataFrame, hist: bool) -> tuple[DataFrame, DataFrame]:
