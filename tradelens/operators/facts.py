@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, functions as F
 from tradelens.functions import expressions as X
 from tradelens.functions.period import Period, in_period, in_period_by_day
 from tradelens.operators.lookup import left_join_split_hot_right, lookup_join
+from tradelens.operators.reduce import may_match
 from tradelens.sources.contract import EFFECTIVE_PRICE, I, L, MONEY, MONTH, RATE, S, TS, Tables
 
 SALE_FACT_COLUMNS = (
@@ -52,10 +53,21 @@ def lines_in(lines: DataFrame, period: Period | None) -> DataFrame:
     return lines.drop(MONTH)
 
 
+def lines_of(lines: DataFrame, bills: DataFrame, period: Period | None) -> DataFrame:
+    """The lines that may belong to one of ``bills``, which are one period's (all lines without a period).
+
+    Lines stored by month are pruned at the scan; others pass a bitmap of the bills'
+    ids, so what is shuffled follows the period and not the history.
+    """
+    if period is None or MONTH in lines.columns:
+        return lines_in(lines, period)
+    return may_match(lines, ["bill_id"], bills, ["bill_id"])
+
+
 def header_with_lines(bills: DataFrame, lines: DataFrame, period: Period | None = None) -> DataFrame:
     """``bills ⟕ lines`` on bill_id (line-less bills kept); one bill may hold a
     large share of all lines."""
-    return left_join_split_hot_right(bills, lines_in(lines, period), ["bill_id"])
+    return left_join_split_hot_right(bills, lines_of(lines, bills, period), ["bill_id"])
 
 
 def stock_sale_lines(t: Tables, period: Period | None = None) -> DataFrame:
@@ -65,7 +77,7 @@ def stock_sale_lines(t: Tables, period: Period | None = None) -> DataFrame:
     """
     bills = _bills_in(t.stock_bill.filter(
         (F.col("use_id") >= 0) & F.col("bill_type").isin(X.SALE_INVOICE, X.SALE_RETURN)), period)
-    lines = lines_in(t.stock_line, period).select(
+    lines = lines_of(t.stock_line, bills, period).select(
         "bill_id", "goods_id", F.col("qty"), F.col("price").alias("line_price"),
         F.col("amount").alias("line_amount"), "disc_rate")
     joined = header_with_lines(bills, lines)

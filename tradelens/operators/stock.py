@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tradelens.functions import expressions as X
 from tradelens.functions.period import Period, in_period
-from tradelens.operators.facts import lines_in
+from tradelens.operators.facts import lines_in, lines_of
 from tradelens.operators.lookup import lookup_join
 from tradelens.operators.rollup import ROLLUP, totals_from_rollup
 from tradelens.sources.contract import Tables
@@ -47,9 +47,9 @@ def net_stock_by_goods(t: Tables) -> DataFrame:
 def period_entry_by_goods(t: Tables, period: Period) -> DataFrame:
     """Σ qty of warehouse entries (1102 only) in the period, per goods."""
     bills = lines_in(t.stock_bill, period).filter(
-        (F.col("bill_type") == X.WAREHOUSE_ENTRY) & in_period("bill_date", period))
-    lines = lines_in(t.stock_line, period).select("bill_id", "goods_id", "qty")
-    entries = lookup_join(lines, bills.select("bill_id"), "bill_id", "inner")
+        (F.col("bill_type") == X.WAREHOUSE_ENTRY) & in_period("bill_date", period)).select("bill_id")
+    lines = lines_of(t.stock_line, bills, period).select("bill_id", "goods_id", "qty")
+    entries = lookup_join(lines, bills, "bill_id", "inner")
     return entries.groupBy("goods_id").agg(F.sum("qty").cast(QTY_SUM).alias("total_import_cp"))
 
 
