@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tradelens.functions import expressions as X
 from tradelens.operators.lookup import lookup_join
+from tradelens.operators.reduce import may_match
 from tradelens.sources.contract import MONTH, Tables
 from tradelens.sources.copartitioned import bill_month
 
@@ -31,7 +32,8 @@ _COLUMNS = ("goods_id", "bill_type", "qty", "lines", MONTH)
 def stock_partials(t: Tables, months: Iterable[int] | None = None) -> DataFrame:
     """(goods_id, bill_type, qty, lines, bill_month): sums over the movement lines of the months (all if None).
 
-    Cancelled bills count, as in the totals. Line tables stored by month are pruned.
+    Cancelled bills count, as in the totals. Line tables stored by month are pruned,
+    others reduced to lines that may belong to the months' bills before they are shuffled.
     """
     bills = t.stock_bill.filter(F.col("bill_type").isin(*X.STOCK_MOVEMENT_TYPES)).select(
         "bill_id", "bill_type", bill_month().alias("month"))
@@ -41,6 +43,8 @@ def stock_partials(t: Tables, months: Iterable[int] | None = None) -> DataFrame:
         bills = bills.filter(F.col("month").isin(wanted))
         if MONTH in lines.columns:  # NULL: stored without a bill or date
             lines = lines.filter(F.coalesce(F.col(MONTH), F.lit(0)).isin(wanted))
+        else:
+            lines = may_match(lines, ["bill_id"], bills, ["bill_id"])
     joined = lookup_join(lines.select("bill_id", "goods_id", "qty"), bills, "bill_id", "inner")
     return joined.groupBy("goods_id", "bill_type", "month").agg(
         F.sum("qty").cast("decimal(38,2)").alias("qty"), F.count(F.lit(1)).alias("lines")).select(
@@ -48,8 +52,11 @@ def stock_partials(t: Tables, months: Iterable[int] | None = None) -> DataFrame:
 
 
 def write_stock_rollup(t: Tables, root: str) -> None:
-    """Write the partial sums of all months under ``root``."""
-    stock_partials(t).repartition(MONTH).write.mode("overwrite").partitionBy(MONTH).parquet(root)
+    """Write the partial sums of all months under ``root``.
+
+    They are written as the aggregation dealt them: no second shuffle, and no month is one task's.
+    """
+    stock_partials(t).write.mode("overwrite").partitionBy(MONTH).parquet(root)
 
 
 def refresh_stock_rollup(t: Tables, root: str, months: Iterable[int]) -> None:
@@ -62,7 +69,7 @@ def refresh_stock_rollup(t: Tables, root: str, months: Iterable[int]) -> None:
         F.lit(None).cast("long").alias("goods_id"), F.lit(NO_MOVEMENT).alias("bill_type"),
         F.lit(None).cast("decimal(38,2)").alias("qty"), F.lit(0).cast("long").alias("lines"),
         F.explode(F.array(*[F.lit(m) for m in wanted])).alias(MONTH))
-    (stock_partials(t, wanted).unionByName(nothing).repartition(MONTH).write.mode("overwrite")
+    (stock_partials(t, wanted).unionByName(nothing).write.mode("overwrite")
      .option("partitionOverwriteMode", "dynamic").partitionBy(MONTH).parquet(root))
 
 
