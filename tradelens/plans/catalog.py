@@ -19,7 +19,7 @@ from tradelens.plans import reports as R
 from tradelens.plans.bundle import column_layout_profile, render_report
 from tradelens.session import scratch_path
 from tradelens.sources.contract import LINK_INDEX, Tables
-from tradelens.sources.copartitioned import load_copartitioned_tables, write_copartitioned_tables
+from tradelens.sources.copartitioned import buckets_for, load_copartitioned_tables, write_copartitioned_tables
 from tradelens.sources.fixtures import derive_tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -100,7 +100,8 @@ def _over_layout(names: tuple[str, ...], fn, *, index: bool = False) -> Query:
         t = _tables(spark, sf_dir)
         root = scratch_path(spark, "copartitioned")
         database = f"tradelens_{root.rsplit('-', 1)[-1]}"
-        write_copartitioned_tables(spark, {n: t[n] for n in names}, root, database, buckets=8)
+        shown = {n: t[n] for n in names}
+        write_copartitioned_tables(spark, shown, root, database, buckets=buckets_for(shown))
         stored = load_copartitioned_tables(spark, database, (*names, *([LINK_INDEX] if index else [])))
         return _rounded(fn(Tables({**t, **stored}), TEST_PERIOD))
     return run

@@ -50,24 +50,50 @@ def with_month(tables: Mapping[str, DataFrame], name: str) -> DataFrame:
             .select(*df.columns, MONTH))
 
 
+def buckets_for(tables: Mapping[str, DataFrame], rows: int = 1_000_000, least: int = 8) -> int:
+    """A bucket count for tables as they are: about ``rows`` rows of the largest table in a bucket.
+
+    One task joins a bucket, so the count follows the rows. Tables stored by month are read
+    a few months at a time; of them the largest month of a header table counts.
+    """
+    most = 0
+    for name, df in tables.items():
+        if name in LINE_HEADERS.values():
+            months = df.groupBy(bill_month().alias(MONTH)).agg(F.count(F.lit(1)).alias("rows"))
+            most = max(most, months.agg(F.max("rows")).first()[0] or 0)
+        elif name in BUCKETS and name not in MONTHLY:
+            most = max(most, df.select(BUCKETS[name][0]).count())
+    return max(least, -(-most // rows))
+
+
+def _dealt(df: DataFrame, keys: Iterable[str], buckets: int) -> DataFrame:
+    """Rows of one bucket (and month) together, in tasks of about equal size: a large
+    bucket is written by several tasks, so a task doesn't grow with the table."""
+    cell = ["__bucket", *([MONTH] if MONTH in df.columns else [])]
+    return (df.withColumn("__bucket", F.pmod(F.hash(*keys), F.lit(buckets)))
+            .hint("rebalance", *cell).drop("__bucket"))
+
+
 def write_copartitioned_tables(spark: SparkSession, tables: Mapping[str, DataFrame], root: str,
                                database: str = "tradelens", buckets: int = 64) -> None:
     """Write contract tables, and the link index, as catalog tables under ``root``.
 
-    Each bucket is written by one task, so a month has ``buckets`` files at
-    most. Pick ``buckets`` so that a bucket of the largest table's month is at
-    least some MB and a bucket of the whole table fits a task.
+    A month has a file per bucket, or several where a bucket is large. Pick
+    ``buckets`` so that a bucket of the largest table's month is at
+    least some MB and a bucket of the whole table fits a task (``buckets_for``).
     """
     spark.sql(f"CREATE DATABASE IF NOT EXISTS {database}")
-    sources = dict(tables)
+    names = list(tables)
     if "stock_bill_browse" in tables:
-        sources[LINK_INDEX] = tables["stock_bill_browse"]
-    for name, df in sources.items():
+        names = [*(n for n in names if n != LINK_INDEX), LINK_INDEX]
+    for name in names:
+        # the index has the rows of the view, which is computed once and read back
+        df = spark.table(f"{database}.stock_bill_browse") if name == LINK_INDEX else tables[name]
         keys = BUCKETS.get(name, ())
         if name in MONTHLY:
             df = with_month(tables, name)
         if keys:
-            df = df.repartition(buckets, *keys)
+            df = _dealt(df, keys, buckets)
         writer = df.write.mode("overwrite").format("parquet").option("path", f"{root.rstrip('/')}/{name}")
         if name in MONTHLY:
             writer = writer.partitionBy(MONTH)
@@ -124,7 +150,7 @@ def refresh_months(spark: SparkSession, tables: Mapping[str, DataFrame], databas
         layout = spark.table(table)
         rows = with_month(tables, name).filter(F.col(MONTH).isin(changed)).select(*layout.columns)
         view, columns = f"fresh_{name}", ", ".join(c for c in layout.columns if c != MONTH)
-        rows.repartition(_bucket_count(spark, table), *BUCKETS[name]).createOrReplaceTempView(view)
+        _dealt(rows, BUCKETS[name], _bucket_count(spark, table)).createOrReplaceTempView(view)
         for month in changed:  # also with no rows, which empties the month
             spark.sql(f"INSERT OVERWRITE TABLE {table} PARTITION ({MONTH} = {month}) "
                       f"SELECT {columns} FROM {view} WHERE {MONTH} = {month}")
