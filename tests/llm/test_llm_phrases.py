@@ -266,6 +266,18 @@ def test_parse_counts_each_start_once(words, period):
         assert got == want
 
 
+def test_chunks_of_many_texts_are_those_of_each(monkeypatch):
+    monkeypatch.setattr(collocations, "PERIOD", 3)
+    texts = ["", None, "A\tb  c d e f g h", "x.y!z\rÉt漢 B ", " .;\n", prose(1, 300), "b", "c d e f g h a\vb", "w" * 5000]
+    chunks, last, text = collocations._chunks(texts, 4)
+    want = [(i, *c) for i, t in enumerate(texts) for c in parse(pieces_of(t), 4)]
+    assert list(zip(text.tolist(), chunks.to_pylist(), last.tolist(), strict=True)) == want and len(want) > 20
+    for t in texts:
+        lowered = "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")
+        found = [re.findall(r"[^\x20\x09]+", p) for p in re.split(r"[.,;:!?\x0A-\x0D]", lowered)]
+        assert pieces_of(t) == [words for words in found if words]
+
+
 def test_dictionary_has_each_chunk_once(docs):
     dictionary = chunk_dictionary(docs, 5)
     assert dictionary.count() == dictionary.select("lang", "chunk", "last").distinct().count()

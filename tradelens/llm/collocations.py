@@ -21,8 +21,6 @@
 
 from __future__ import annotations
 
-import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,19 +33,34 @@ from tradelens.llm.common import BITMAP_BITS, bitmap_of, materialize, released,
 
 #: A window of words in PERIOD triggers a cut, on average.
 PERIOD = 24
-#: Distinct chunks, phrases and numbers a task gathers before it passes them on.
-COMBINE_CHUNKS, COMBINE_PHRASES, COMBINE_NUMBERS = 200_000, 1_000_000, 1 << 21
+#: Distinct phrases and numbers a task gathers before it passes them on.
+COMBINE_PHRASES, COMBINE_NUMBERS = 1_000_000, 1 << 21
 #: Chunks that a task looks at together.
 CHUNKS_AT_ONCE = 50_000
 
-_PUNCTUATION = re.compile(r"[.,;:!?\n-\r]")
+#: Of each byte: 0 in a word, 1 between words, 2 between pieces; and its lower case (A-Z alone).
+_KIND, _LOWER = np.zeros(256, "u1"), np.arange(256, dtype="u1")
+_KIND[list(b" \t")], _KIND[list(b".,;:!?\n\v\f\r")] = 1, 2
+_LOWER[65:91] += 32
 _RANDOM = np.random.Generator(np.random.PCG64(20130))
 _MULTIPLIERS = _RANDOM.integers(1, 1 << 63, 16, "u8") | np.uint64(1)
 
 
-def _word_hashes(words: list[str]) -> np.ndarray:
-    """32 bits of each word, as unsigned 64-bit numbers."""
-    return np.fromiter(map(xxhash.xxh32_intdigest, words), "u8", len(words))
+def _word_hashes(spelled: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """32 bits of each word, as unsigned 64-bit numbers. ``spelled``: the bytes of the words, a space after each;
+    ``ends``: where they end, their space included."""
+    if not len(ends):
+        return np.empty(0, "u8")
+    starts = np.append(0, ends[:-1])
+    size = ends - starts
+    powers = np.full(int(size.max()), _MULTIPLIERS[14], "u8")
+    powers[0] = 1
+    powers = np.multiply.accumulate(powers)
+    inside = np.arange(len(spelled)) - np.repeat(starts, size)
+    out = np.add.reduceat((spelled.astype("u8") + np.uint64(1)) * powers[inside], starts)
+    out ^= out >> np.uint64(32)
+    out *= _MULTIPLIERS[13]
+    return out >> np.uint64(32)
 
 
 def _window_hashes(words: np.ndarray, width: int) -> np.ndarray:
@@ -60,31 +73,61 @@ def _window_hashes(words: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-def pieces_of(text: str | None) -> list[list[str]]:
-    """The pieces of a text that have words, as lists of words, A-Z lower-cased."""
-    lowered = (text or "").encode("utf-8").lower().decode("utf-8")  # of bytes: A-Z alone
-    found = ([w for w in p.replace("\t", " ").split(" ") if w] for p in _PUNCTUATION.split(lowered))
-    return [words for words in found if words]
+def _split(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The words of some texts: (their bytes, A-Z lower-cased and a space after each; where each ends, its space
+    included; the number of its piece, rising; the number of its text)."""
+    encoded = [(text or "").encode("utf-8") for text in texts]
+    data = _LOWER[np.frombuffer(b"\n".join([*encoded, b""]), "u1")]  # a text's end ends its piece
+    kind = _KIND[data]
+    in_word = kind == 0
+    edges = np.flatnonzero(in_word[1:] != in_word[:-1]) + 1
+    if len(in_word) and in_word[0]:
+        edges = np.append(0, edges)
+    starts, stops = edges[0::2], edges[1::2]
+    piece = np.searchsorted(np.flatnonzero(kind == 2), starts)
+    text = np.searchsorted(np.cumsum([len(t) + 1 for t in encoded]), starts, "right")
+    data[stops], in_word[stops] = 32, True
+    return data[in_word], np.cumsum(stops - starts + 1), piece, text
 
 
-def parse(pieces: list[list[str]], overlap: int) -> list[tuple[str, bool]]:
-    """The chunks of some pieces, in order: (words joined by spaces, whether it ends its piece).
+def _chunks(texts: list[str | None], overlap: int) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The chunks of some texts, in order: (words joined by spaces, whether it ends its piece, number of its text).
 
     Neighbouring chunks of a piece share ``overlap`` words, a trigger window.
     """
-    words = [w for p in pieces for w in p]
-    if not words:
-        return []
-    ends = np.cumsum([len(p) for p in pieces])
-    starts = np.append(0, ends[:-1])
-    triggers = np.flatnonzero(_window_hashes(_word_hashes(words), overlap) % np.uint64(PERIOD) == 0)
-    piece = np.searchsorted(ends, triggers, "right")
-    triggers = triggers[(triggers > starts[piece]) & (triggers + overlap <= ends[piece])]  # inside one piece
-    cuts = np.unique(np.concatenate([starts, triggers]))
-    piece = np.searchsorted(ends, cuts, "right")
-    last = np.append(piece[1:] != piece[:-1], True)
-    until = np.where(last, ends[piece], np.append(cuts[1:], 0) + overlap)
-    return [(" ".join(words[a:b]), e) for a, b, e in zip(cuts.tolist(), until.tolist(), last.tolist(), strict=True)]
+    spelled, word_ends, piece, text = _split(texts)
+    if not len(word_ends):
+        return pa.array([], pa.string()), np.empty(0, bool), np.empty(0, "i8")
+    starts = np.flatnonzero(np.append(True, piece[1:] != piece[:-1]))
+    ends = np.append(starts[1:], len(piece))
+    triggers = np.flatnonzero(_window_hashes(_word_hashes(spelled, word_ends), overlap) % np.uint64(PERIOD) == 0)
+    at = np.searchsorted(ends, triggers, "right")
+    triggers = triggers[(triggers > starts[at]) & (triggers + overlap <= ends[at])]  # inside one piece
+    cuts = np.union1d(starts, triggers)
+    at = np.searchsorted(ends, cuts, "right")
+    last = np.append(at[1:] != at[:-1], True)
+    until = np.where(last, ends[at], np.append(cuts[1:], 0) + overlap)
+    begin = np.append(0, word_ends)[cuts]
+    size = word_ends[until - 1] - 1 - begin
+    offsets = np.append(0, np.cumsum(size))
+    taken = spelled[np.arange(offsets[-1]) + np.repeat(begin - offsets[:-1], size)]
+    chunks = pa.Array.from_buffers(pa.large_string(), len(cuts), [None, pa.py_buffer(offsets), pa.py_buffer(taken)])
+    return chunks.cast(pa.string()), last, text[cuts]
+
+
+def pieces_of(text: str | None) -> list[list[str]]:
+    """The pieces of a text that have words, as lists of words, A-Z lower-cased."""
+    spelled, _, piece, _ = _split([text])
+    out: dict[int, list[str]] = {}
+    for number, word in zip(piece.tolist(), spelled.tobytes().decode("utf-8").split(" "), strict=False):
+        out.setdefault(number, []).append(word)
+    return list(out.values())
+
+
+def parse(pieces: list[list[str]], overlap: int) -> list[tuple[str, bool]]:
+    """The chunks of some pieces, in order: (words joined by spaces, whether it ends its piece)."""
+    chunks, last, _ = _chunks([" ".join(words) for words in pieces], overlap)
+    return list(zip(chunks.to_pylist(), last.tolist(), strict=True))
 
 
 def chunk_dictionary(docs: DataFrame, longest: int) -> DataFrame:
@@ -92,24 +135,10 @@ def chunk_dictionary(docs: DataFrame, longest: int) -> DataFrame:
     names = ["lang", "chunk", "last", "places"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = Counter()
-
-        def out() -> pa.RecordBatch:
-            columns = list(zip(*((*k, n) for k, n in seen.items()), strict=True)) or [()] * 4
-            types = [pa.string(), pa.string(), pa.bool_(), pa.int64()]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
-
         for part, texts in slices(batches):
-            found = [pieces_of(text) for text in texts]
-            langs = [lang for lang, p in zip(part.column(0).to_pylist(), found, strict=True) for _ in p]
-            at = 0
-            for chunk, last in parse([words for p in found for words in p], longest - 1):
-                seen[langs[at], chunk, last] += 1
-                at += last
-            if len(seen) >= COMBINE_CHUNKS:
-                yield out()
-                seen.clear()
-        yield out()
+            chunks, last, text = _chunks(texts, longest - 1)
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0).take(pa.array(text)), chunks, pa.array(last), pa.array(np.ones(len(last), "i8"))], names)
 
     return (docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), "text")
             .mapInArrow(released(run), "lang string, chunk string, last boolean, places long")
@@ -133,14 +162,16 @@ def _words_of(chunks: pa.Array) -> pa.ListArray:
 
 
 def _hashes_of(chunks: pa.Array) -> pa.Array:
-    """32 bits (little-endian) of each of a chunk's words, hashed once per distinct word."""
+    """32 bits (little-endian) of each of a chunk's words."""
     if not len(chunks):
         return pa.array([], pa.binary())
-    words = _words_of(chunks)
-    coded = words.flatten().dictionary_encode()
-    flat = _word_hashes(coded.dictionary.to_pylist()).astype("<u4")[coded.indices.to_numpy()]
-    ends = np.append(0, np.cumsum(pc.list_value_length(words).to_numpy()) * 4).astype("i4")
-    return pa.Array.from_buffers(pa.binary(), len(chunks), [None, pa.py_buffer(ends), pa.py_buffer(flat)])
+    empty, space = pa.scalar("", pa.large_string()), pa.scalar(" ", pa.large_string())
+    spaced = pc.binary_join_element_wise(chunks.cast(pa.large_string()), empty, space)  # a space after each word
+    spelled = np.frombuffer(_joined(spaced), "u1")
+    word_ends = np.flatnonzero(spelled == 32) + 1
+    hashes = _word_hashes(spelled, word_ends).astype("<u4")
+    ends = np.append(0, np.searchsorted(word_ends, np.cumsum(pc.binary_length(spaced).to_numpy()), "right") * 4).astype("i4")
+    return pa.Array.from_buffers(pa.binary(), len(chunks), [None, pa.py_buffer(ends), pa.py_buffer(hashes)])
 
 
 def with_hashes(dictionary: DataFrame) -> DataFrame:
@@ -195,6 +226,14 @@ class _Places:
         self.at = self.at[((bitmap[slot >> 6] >> (slot & 63).astype("u8")) & np.uint64(1)).astype(bool)]
 
 
+def _summed(keys: np.ndarray, f: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each key once, with the sum of its counts."""
+    keys, group = np.unique(keys, return_inverse=True)
+    out = np.zeros(len(keys), "i8")
+    np.add.at(out, group, f)
+    return keys, out
+
+
 def may_be_frequent(dictionary: DataFrame, width: int, longest: int, passed: np.ndarray, least: int) -> DataFrame:
     """(key) of phrases of ``width`` words that may occur ``least`` times, among those both of whose parts
     are in the bitmap ``passed``. Counts numbers only."""
@@ -203,10 +242,7 @@ def may_be_frequent(dictionary: DataFrame, width: int, longest: int, passed: np.
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-            keys, group = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
-            f = np.zeros(len(keys), "i8")
-            np.add.at(f, group, np.concatenate([n for _, n in parts]))
-            return keys, f
+            return _summed(np.concatenate([k for k, _ in parts]), np.concatenate([n for _, n in parts]))
 
         def out(keys: np.ndarray, f: np.ndarray) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(keys.view("i8")), pa.array(f)], ["key", "f"])
@@ -234,6 +270,20 @@ def may_be_frequent(dictionary: DataFrame, width: int, longest: int, passed: np.
             .groupBy("key").agg(F.sum("f").alias("f")).filter(F.col("f") >= least).select("key"))
 
 
+def _phrases_once(lang: pa.Array, phrase: pa.Array, f: np.ndarray, owner: np.ndarray | None = None,
+                  at: np.ndarray | None = None) -> pa.Table:
+    """(lang, phrase, f): each phrase once, with the sum of its counts; summed by numbers of its language and itself.
+    With ``owner`` and ``at``: of the phrases at those places, ``owner`` being the place of their language."""
+    lang, phrase = lang.dictionary_encode(), phrase.dictionary_encode()
+    of_lang, of_phrase = lang.indices.to_numpy().astype("i8"), phrase.indices.to_numpy()
+    if owner is not None:
+        of_lang, of_phrase = of_lang[owner], of_phrase[at]
+    code, f = _summed(of_lang * max(len(phrase.dictionary), 1) + of_phrase, f)
+    of_lang, of_phrase = np.divmod(code, max(len(phrase.dictionary), 1))
+    return pa.table({"lang": lang.dictionary.take(pa.array(of_lang)),
+                     "phrase": phrase.dictionary.take(pa.array(of_phrase)), "f": f})
+
+
 def count_phrases(dictionary: DataFrame, width: int, longest: int, wanted: np.ndarray | None) -> DataFrame:
     """(lang, phrase, f), exact, of the phrases of ``width`` words whose keys are in the bitmap ``wanted`` (all if None)."""
     shared = None if wanted is None else dictionary.sparkSession.sparkContext.broadcast(wanted)
@@ -242,8 +292,9 @@ def count_phrases(dictionary: DataFrame, width: int, longest: int, wanted: np.nd
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def merged(parts: list[pa.Table]) -> pa.Table:
-            sums = pa.concat_tables(parts).group_by(["lang", "phrase"], use_threads=False).aggregate([("f", "sum")])
-            return sums.select(["lang", "phrase", "f_sum"]).rename_columns(["lang", "phrase", "f"])
+            table = parts[0] if len(parts) == 1 else pa.concat_tables(parts)
+            lang, phrase, f = (pa.concat_arrays(c.chunks) for c in table.columns)
+            return _phrases_once(lang, phrase, f.to_numpy())
 
         gathered: list[pa.Table] = []
         for batch in batches:
@@ -254,11 +305,14 @@ def count_phrases(dictionary: DataFrame, width: int, longest: int, wanted: np.nd
                     places.keep(shared.value, places.keys(width))
                 if not len(places.at):
                     continue
-                words, owner = _words_of(chunk).flatten(), pa.array(places.chunk)
-                parts = [words.take(pa.array(places.at + k)) for k in range(width)]
-                space = pa.scalar(" ", pa.large_string())
-                phrase = parts[0] if width == 1 else pc.binary_join_element_wise(*parts, space)
-                gathered.append(pa.table({"lang": lang.take(owner), "phrase": phrase, "f": times.take(owner)}))
+                words, owner = _words_of(chunk).flatten(), places.chunk
+                if width == 1:
+                    gathered.append(_phrases_once(lang, words, times.to_numpy()[owner], owner, places.at))
+                else:
+                    parts = [words.take(pa.array(places.at + k)) for k in range(width)]
+                    phrase = pc.binary_join_element_wise(*parts, pa.scalar(" ", pa.large_string()))
+                    owner = pa.array(owner)
+                    gathered.append(pa.table({"lang": lang.take(owner), "phrase": phrase, "f": times.take(owner)}))
                 if sum(t.num_rows for t in gathered) >= combine:
                     gathered = [merged(gathered)]
                     if gathered[0].num_rows >= combine // 2:
