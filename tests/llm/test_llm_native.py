@@ -198,6 +198,17 @@ def test_leaks(spark):
     assert kept.columns == docs.columns and kept.count() == len(texts) - sum(1 for g in got if g[1])
 
 
+def test_fingerprints_are_small_plans(spark):
+    # spelt out bit by bit the fingerprint made a plan of 92,000 characters
+    items = benchmark_items(spark.createDataFrame([(1, prose(5, 40)), (2, "two words"), (3, "")], "item_id long, text string"))
+    assert len(items._jdf.queryExecution().toString()) < 20_000
+    rows = {r.item_id: r for r in items.collect()}
+    assert set(rows) == {1, 2}
+    for r in rows.values():
+        by_hand = sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in r.shingles) > len(r.shingles))
+        assert r.fingerprint % (1 << 64) == by_hand
+
+
 def test_leaks_without_the_boilerplate_of_the_items(spark):
     boilerplate = prose(900, 18).split()  # held by all items, so it weighs little
     own = [prose(901 + i, 32).split() for i in range(24)]

@@ -40,21 +40,25 @@ def _shingles(text: Column) -> tuple[Column, Column]:
     return words, F.when(F.size("words") > 0, hashed).otherwise(F.array().cast("array<bigint>"))
 
 
-def _add_lanes(g: int):
-    return lambda acc, h: acc + F.shiftrightunsigned(h, g).bitwiseAND(F.lit(0x0001000100010001))
+def _simhash(hashes: str) -> Column:
+    """64-bit SimHash: bit b is set when most hashes have it. Four 16-bit counters share a long.
 
+    One expression for all bits: spelt out bit by bit it fills the driver with plans and generated code.
+    """
+    def lanes(g: Column):
+        return lambda acc, h: acc + F.call_function("shiftrightunsigned", h, g).bitwiseAND(F.lit(0x0001000100010001))
 
-def _simhash(hashes: str) -> Column:
-    """64-bit SimHash: bit b is set when most hashes have it. Four 16-bit counters share a long."""
-    n = F.size(hashes)
-    out = F.lit(0).cast("bigint")
-    for g in range(16):
-        counts = F.aggregate(hashes, F.lit(0).cast("bigint"), _add_lanes(g))
+    def bits(counts: Column, g: Column) -> Column:
+        out = F.lit(0).cast("bigint")
         for lane in range(4):
             count = F.shiftrightunsigned(counts, 16 * lane).bitwiseAND(F.lit(0xFFFF))
-            bit = 1 << (g + 16 * lane)
-            out = out + F.when(count * 2 > n, F.lit(bit if bit < 1 << 63 else bit - (1 << 64))).otherwise(F.lit(0))
-    return out
+            bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), g + 16 * lane)
+            out = out.bitwiseOR(F.when(count * 2 > F.size(hashes), bit).otherwise(F.lit(0).cast("bigint")))
+        return out
+
+    zero = F.lit(0).cast("bigint")
+    counts = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda g: F.aggregate(hashes, zero, lanes(g)))
+    return F.aggregate(F.transform(counts, bits), zero, lambda acc, x: acc.bitwiseOR(x))
 
 
 def _blocks(fingerprint: Column) -> Column:
@@ -139,10 +143,12 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILA
                           .withColumn("window", F.monotonically_increasing_id()), "windows")
 
     held_by = of_items.groupBy("h").agg(F.countDistinct("item_id").alias("held_by"))
-    weighed = of_items.select("item_id", "length", "h").distinct().join(held_by, "h").withColumn("w", 1 / F.col("held_by"))
+    # what depends on the items alone is written once: the plans over the windows stay small in the driver
+    weighed = materialize(of_items.select("item_id", "length", "h").distinct().join(held_by, "h")
+                          .withColumn("w", 1 / F.col("held_by")), "benchmark-shingles")
     weights = weighed.groupBy("item_id").agg(F.collect_list(F.struct("h", "w")).alias("weighed"))
-    right = items.join(weights, "item_id").select(
-        "item_id", "length", F.col("fingerprint").alias("item_fingerprint"), "weighed")
+    right = materialize(items.join(weights, "item_id").select(
+        "item_id", "length", F.col("fingerprint").alias("item_fingerprint"), "weighed"), "benchmark-weights")
     blocks = (right.withColumn("b", F.explode(_blocks(F.col("item_fingerprint"))))
               .select("*", "b.block", "b.bits").drop("b"))
     left = (windows.withColumn("b", F.explode(_blocks(F.col("fingerprint"))))
@@ -150,10 +156,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILA
     near = left.join(blocks, ["length", "block", "bits"])
     difference = F.col("fingerprint").bitwiseXOR(F.col("item_fingerprint"))
     # a pair that agrees on several blocks is kept at the first of them
-    earlier = F.aggregate(F.arrays_zip(_blocks(F.col("fingerprint")).alias("a"),
-                                       _blocks(F.col("item_fingerprint")).alias("b")), F.lit(RADIUS + 1),
-                          lambda acc, x: F.when(x.a == x.b, F.least(acc, x.a.block)).otherwise(acc))
-    near = near.filter((F.bit_count(difference) <= RADIUS) & (earlier == F.col("block")))
+    first = F.array_position(F.transform(_blocks(difference), lambda x: x.bits == 0), True) - 1
+    near = near.filter((F.bit_count(difference) <= RADIUS) & (first == F.col("block")))
     near = near.select("doc_id", "h_text", "length", "start", "shingles", "item_id", "weighed").unionByName(
         _beyond_radius(windows, right, weighed, similarity))
     near = near.withColumn("seen", F.array_distinct("shingles"))
@@ -179,7 +183,7 @@ def _beyond_radius(windows: DataFrame, items: DataFrame, weighed: DataFrame, sim
     difference = F.col("fingerprint").bitwiseXOR(F.col("item_fingerprint"))
     pairs = (windows.select("window", "length", "fingerprint", F.explode(F.array_distinct("shingles")).alias("h"))
              .join(rare, ["length", "h"]).filter(F.bit_count(difference) > RADIUS).select("window", "item_id").distinct())
-    return (pairs.join(windows, "window").join(items.select("item_id", "weighed"), "item_id")
+    return (materialize(pairs, "rare-pairs").join(windows, "window").join(items.select("item_id", "weighed"), "item_id")
             .select("doc_id", "h_text", "length", "start", "shingles", "item_id", "weighed"))
 
 
