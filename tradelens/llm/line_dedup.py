@@ -32,7 +32,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tradelens.llm.common import bitmap_of, materialize, split_by_bitmap, text_or_empty
+from tradelens.llm.common import bitmap_of, materialize, released, split_by_bitmap, text_or_empty
 
 GRAM_WORDS, WINDOW_WORDS = 30, 50
 
@@ -101,7 +101,7 @@ def _all_fingerprints(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 
-    return docs.select(*_key(), text_or_empty().alias("text")).mapInArrow(run, _FINGERPRINT)
+    return docs.select(*_key(), text_or_empty().alias("text")).mapInArrow(released(run), _FINGERPRINT)
 
 
 def _key() -> tuple[Column, Column]:
@@ -177,7 +177,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
             yield batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
 
     whole = rest.drop("__id", "__h").withColumn("gone", F.lit(None).cast("array<int>"))
-    return whole.unionByName(joined.mapInArrow(run, joined.schema))
+    return whole.unionByName(joined.mapInArrow(released(run), joined.schema))
 
 
 def _without(text: str, gone: set[int]) -> str:

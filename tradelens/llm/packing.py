@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tradelens.llm.common import materialize, text_or_empty
+from tradelens.llm.common import materialize, released, text_or_empty
 from tradelens.llm.pretokens import DEFAULT_TOKENIZER, load_tokens
 
 #: Pre-tokens whose ids a worker remembers before it starts anew (bounded memory).
@@ -58,7 +58,7 @@ def tokenize(docs: DataFrame, end_id: int = 1, tokenizer: str = DEFAULT_TOKENIZE
                 ["doc_id", "part", "start_in_part", "doc_tokens", "ids"])
 
     return (docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-            .mapInArrow(run, "doc_id long, part long, start_in_part long, doc_tokens long, ids binary"))
+            .mapInArrow(released(run), "doc_id long, part long, start_in_part long, doc_tokens long, ids binary"))
 
 
 def pack(docs: DataFrame, length: int = 2048, end_id: int = 1, tokenizer: str = DEFAULT_TOKENIZER) -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tradelens.llm.common import held_out, materialize, text_or_empty
+from tradelens.llm.common import held_out, materialize, released, text_or_empty
 
 #: Words of a passage; hash buckets of its words; sizes of the encoding and of the attention.
 PASSAGE_WORDS, BUCKETS, ENCODING, ATTENTION = 64, 256, 24, 16
@@ -210,7 +210,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> AttentionModel:
 
     texts = (docs.select("doc_id", text_or_empty().alias("text"))
              .join(F.broadcast(chosen), "doc_id").select("doc_id", "text", F.col("quality").cast("int")))
-    bagged = materialize(texts.mapInArrow(bags, "doc_id long, bag binary, n long, quality int"), "quality-bags")
+    bagged = materialize(texts.mapInArrow(released(bags), "doc_id long, bag binary, n long, quality int"), "quality-bags")
     so_far = F.sum("n").over(Window.orderBy(F.xxhash64("doc_id"), "doc_id", "n").rowsBetween(Window.unboundedPreceding, 0))
     within = (bagged.select("doc_id", "n").withColumn("so_far", so_far)  # SAMPLE_DOCS ids
               .groupBy("doc_id").agg(F.max("so_far").alias("so_far")).filter(F.col("so_far") <= SAMPLE_PASSAGES))
@@ -243,4 +243,4 @@ def score_quality(docs: DataFrame, labels: DataFrame, accept: float = 0.3) -> Da
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(np.concatenate(scores) if scores else np.empty(0), pa.float64())], names)
 
-    return marked.mapInArrow(run, schema).withColumn("predicted", (F.col("score") >= accept).cast("int"))
+    return marked.mapInArrow(released(run), schema).withColumn("predicted", (F.col("score") >= accept).cast("int"))
