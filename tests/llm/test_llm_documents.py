@@ -10,8 +10,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tradelens.llm import jaccard_join, quality_mil
-from tradelens.llm.common import held_out, read
+from tradelens.llm import components as components_module, jaccard_join, quality_mil
+from tradelens.llm.common import held_out, materialize, read
 from tradelens.llm.components import components
 from tradelens.llm.decontaminate import find_leaks
 from tradelens.llm.jaccard_join import _band, drop_near_copies, jaccard_components, join_region, not_alone
@@ -138,6 +138,25 @@ def test_components_of_a_long_path(spark):
     assert components(spark.createDataFrame([], "u long, v long")).collect() == []
 
 
+def test_steps_are_small_plans(spark, monkeypatch):
+    # Spark keeps and prints a step's plan anew at every change; members and stars had 72,000 and 53,000
+    # characters here, as they held their input many times
+    sizes = {}
+
+    def measured(frame, name):
+        sizes[name] = max(sizes.get(name, 0), len(frame._jdf.queryExecution().toString()))
+        return materialize(frame, name)
+
+    for module in (jaccard_join, components_module):
+        monkeypatch.setattr(module, "materialize", measured)
+    rows = [(i, t) for i, t in enumerate(near_copies(7, 6, 60, 3))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_components(docs, 5, 80).collect()}
+    assert got == components_by_hand(docs.collect(), 5, 80)
+    assert {"members", "stars", "members-left", "links"} <= set(sizes)
+    assert max(sizes.values()) < 20_000, sizes
+
+
 # ------------------------------------------------------------------ lines
 
 def check_lines(source, report):
